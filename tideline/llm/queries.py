@@ -6,13 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts
+from . import chat_trees, embed_dedup, extendible_sharding, hyperminhash, packing, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
+    return found.withColumnRenamed("vec_key", "vec_id")
+
+
+def op2_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    done = chat_trees.format_trees(chat_trees.threads(turns.unionByName(extra)))
+    back, loss = chat_trees.read_back(F.col("formatted")), chat_trees.loss_text(F.col("segments"))
+    done = done.select(F.col("conv").alias("conv_id"), back.alias("turns"), loss.alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select(F.col("key").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -23,9 +39,78 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("doc_key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Bytes of text in a shard.
+SHARD_BYTES = 16 << 20
+
+
+def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = extendible_sharding.shard(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return placed.select(F.col("doc_key").alias("doc_id"), "n_bytes", "shard_id", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_docs")
+
+
+def op9_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hyperminhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+    return found.withColumnRenamed("doc_key", "doc_id")
+
+
 def queries() -> dict:
-    return {"op4_token_counts": op4_token_counts, "op5_packing": op5_packing}
+    return {q.__name__: q for q in (op1_embedding_dedup, op2_chat_trees, op4_token_counts, op5_packing, op7_extendible_sharding, op9_hyperminhash_dedup)}
+
+
+_OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, x -> x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id)::BIGINT AS n_links, c.m AS component_id, v.vec_id = c.m AS kept
+FROM v JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = v.vec_id"""
+
+_OP2_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+_OP7_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+    ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:10])::BIGINT AS code FROM documents),
+tree AS (
+  SELECT k AS depth, code >> (40 - k)::BIGINT AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_docs
+  FROM d, range(0, 41) r(k) GROUP BY 1, 2),
+leaf AS (
+  SELECT d.doc_id, d.n_bytes, min(depth) AS depth FROM d JOIN tree ON tree.prefix = d.code >> (40 - depth)::BIGINT
+  WHERE shard_bytes <= {SHARD_BYTES} OR shard_docs = 1 GROUP BY d.doc_id, d.n_bytes)
+SELECT d.doc_id, d.n_bytes, 'shard-' || right(lpad(bin(tree.prefix), 60, '0'), leaf.depth::INT) AS shard_id,
+  leaf.depth::BIGINT AS depth, shard_bytes, shard_docs
+FROM d JOIN leaf ON leaf.doc_id = d.doc_id JOIN tree ON tree.depth = leaf.depth AND tree.prefix = d.code >> (40 - leaf.depth)::BIGINT"""
+
+_OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+x AS (SELECT doc_id, hash(unnest(s)) AS h FROM s),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id
+  JOIN s sa ON sa.doc_id = a.doc_id JOIN s sb ON sb.doc_id = b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(len(sa.s)) + any_value(len(sb.s)) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.m AS component_id, s.doc_id = c.m AS kept
+FROM s JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = s.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_dedup": _OP1_SQL, "op2_chat_trees": _OP2_SQL, "op7_extendible_sharding": _OP7_SQL, "op9_hyperminhash_dedup": _OP9_SQL}
