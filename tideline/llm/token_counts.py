@@ -19,30 +19,37 @@ from pyspark.sql import functions as F
 
 from . import common, pretokens
 
-_FREQUENCIES = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("key", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("pretoken", pa.string()), ("postings", pa.binary())])
-_FREQUENCIES_DDL = "block long, slot int, key long, n_bytes long, n_tokens long, pretoken string, postings binary"
-_SUMS = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("key", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
-_SUMS_DDL = "block long, slot int, key long, n_bytes long, n_tokens long"
+_FREQUENCIES = pa.schema([("block", pa.int64()), ("pretoken", pa.string()), ("postings", pa.binary())])
+_FREQUENCIES_DDL = "block long, pretoken string, postings binary"
+_SUMS = pa.schema([("block", pa.int64()), ("of_docs", pa.bool_()), ("packed", pa.binary())])
+_SUMS_DDL = "block long, of_docs boolean, packed binary"
+_OUT_DDL = "key long, n_bytes long, n_tokens long"
+#: A chunk's documents, and the sums of some of their pre-tokens.
+_DOC = np.dtype([("key", "<i8"), ("known", "?"), ("n_bytes", "<i8"), ("n_tokens", "<i8")])
+_SUM = np.dtype([("slot", "<u2"), ("n", "<u4")])
 #: Sums that a task holds before it hands them on.
 _HELD = 2_000_000
+#: Characters of a chunk.
+_CHUNK = 8_000_000
 
 
 def _frequencies(path: str):
-    """Per document one row with the tokens counted so far; per chunk and further pre-token one row whose
-    postings name a document's slot (two bytes) once for each occurrence."""
+    """Per chunk one row of its documents with the tokens counted so far, and per further pre-token one row
+    whose postings name a document's slot (two bytes) once for each occurrence."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pretokens.whole_pieces(path)
         block = (TaskContext.get().partitionId() << 32) - 1
-        for ids, texts in common.chunks(batches):
+        for ids, texts in common.chunks(batches, most=_CHUNK):
             block += 1
             flat: list[str] = []
             lengths = np.empty(len(texts), np.int64)
-            counted = np.empty(len(texts), np.int64)
-            for i, text in enumerate(texts):
+            docs = np.zeros(len(texts), _DOC)
+            for i, (key, text) in enumerate(zip(ids, texts, strict=True)):
                 found, special = pretokens.byte_level_pretokens(text, path)
                 flat += found
-                lengths[i], counted[i] = len(found), special
+                lengths[i] = len(found)
+                docs[i] = (key or 0, key is not None, len(text.encode()), special)
             coded = pa.array(flat, pa.string()).dictionary_encode()
             del flat
             names = coded.dictionary.to_pylist()
@@ -50,9 +57,8 @@ def _frequencies(path: str):
             slots = np.repeat(np.arange(len(texts), dtype=np.uint16), lengths)
             single = np.fromiter((n in whole for n in names), bool, len(names))
             alone = single[codes] if len(codes) else np.zeros(0, bool)
-            counted += np.bincount(slots[alone], minlength=len(texts))
-            n = len(texts)
-            yield from common.rows_out(_FREQUENCIES, [np.full(n, block), np.arange(n, dtype=np.int32), ids, [len(t.encode()) for t in texts], counted, pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())])
+            docs["n_tokens"] += np.bincount(slots[alone], minlength=len(texts))
+            yield from common.rows_out(_FREQUENCIES, [[block], pa.nulls(1, pa.string()), [docs.tobytes()]])
             codes, slots = codes[~alone], slots[~alone]
             order = np.argsort(codes, kind="stable")
             posted = np.bincount(codes, minlength=len(names))
@@ -60,8 +66,7 @@ def _frequencies(path: str):
             offsets = np.zeros(len(kept) + 1, np.int32)
             np.cumsum(2 * posted[kept], out=offsets[1:])
             postings = pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(offsets), pa.py_buffer(slots[order])])
-            n = len(kept)
-            yield from common.rows_out(_FREQUENCIES, [np.full(n, block), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), coded.dictionary.take(pa.array(kept)), postings])
+            yield from common.rows_out(_FREQUENCIES, [np.full(len(kept), block), coded.dictionary.take(pa.array(kept)), postings])
 
     return run
 
@@ -83,14 +88,18 @@ def _counted(path: str):
             return block[first], slot[first], np.add.reduceat(n, first)
 
         def out(block, slot, n):
-            yield from common.rows_out(_SUMS, [block, slot.astype(np.int32), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), n])
+            sums = np.empty(len(n), _SUM)
+            sums["slot"], sums["n"] = slot, n
+            at = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block)]
+            packed = [sums[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield from common.rows_out(_SUMS, [block[at[:-1]], [False] * len(packed), packed], 1_000)
 
         for batch in batches:
-            at = pa.compute.is_valid(batch.column("slot"))
-            if at.true_count:
-                docs = batch.filter(at)
-                yield pa.RecordBatch.from_arrays([docs.column(f.name) for f in _SUMS], schema=_SUMS)
-                batch = batch.filter(pa.compute.invert(at))
+            named = pa.compute.is_valid(batch.column("pretoken"))
+            if named.false_count:
+                docs = batch.filter(pa.compute.invert(named))
+                yield from common.rows_out(_SUMS, [docs.column("block"), [True] * docs.num_rows, docs.column("postings")], 10)
+                batch = batch.filter(named)
             if not batch.num_rows:
                 continue
             coded = batch.column("pretoken").dictionary_encode()
@@ -119,6 +128,19 @@ def _counted(path: str):
     return run
 
 
+def _summed(chunk: pa.Table) -> pa.Table:
+    """A chunk's documents with all sums added; no more than the chunk's own pre-tokens meet here."""
+    of_docs = chunk.column("of_docs").to_pylist()
+    packed = chunk.column("packed").to_pylist()
+    docs = np.frombuffer(packed[of_docs.index(True)], _DOC)
+    total = docs["n_tokens"].copy()
+    for more, part in zip(of_docs, packed, strict=True):
+        if not more:
+            sums = np.frombuffer(part, _SUM)
+            np.add.at(total, sums["slot"], sums["n"])
+    return pa.table({"key": pa.array(docs["key"].copy(), pa.int64(), mask=~docs["known"]), "n_bytes": docs["n_bytes"].copy(), "n_tokens": total})
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``key, n_bytes, n_tokens`` per row of ``docs``, as the library's byte-level BPE gives them without
     begin, end or padding; special strings inside a text count one token each, as by default.
@@ -130,6 +152,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
     """
     texts = common.own_columns(docs, key=id_column, text=text_column).select(F.col("key").cast("long"), "text")
     rows = texts.mapInArrow(_frequencies(tokenizer_path), _FREQUENCIES_DDL)
-    meets = F.when(F.col("pretoken").isNull(), F.xxhash64("block", "slot")).otherwise(F.xxhash64("pretoken"))
+    meets = F.when(F.col("pretoken").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("pretoken"))
     sums = rows.repartition(meets).sortWithinPartitions("pretoken").mapInArrow(_counted(tokenizer_path), _SUMS_DDL)
-    return sums.groupBy("block", "slot").agg(F.max("key").alias("key"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")).select("key", "n_bytes", "n_tokens")
+    return sums.groupBy("block").applyInArrow(_summed, _OUT_DDL)
