@@ -46,8 +46,8 @@ def chunks(batches: Iterable[pa.RecordBatch], text_at: int = 1, most: int = CHUN
     ids: list = []
     texts: list[str] = []
     held = 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(text_at).to_pylist(), strict=True):
+    for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
+        for key, text in zip(part.column(0).to_pylist(), part.column(text_at).to_pylist(), strict=True):
             text = text or ""
             if texts and (held + len(text) > most or len(texts) >= CHUNK_DOCS):
                 yield ids, texts
@@ -63,3 +63,29 @@ def rows_out(schema: pa.Schema, columns: list, most: int = 10_000) -> Iterator[p
     """Columns as record batches of at most ``most`` rows."""
     table = pa.table([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
     yield from table.to_batches(max_chunksize=most)
+
+
+def rows_where(docs: DataFrame, text_column: str, test) -> DataFrame:
+    """The rows of ``docs``, all columns, for whose texts a test holds. ``test()`` is called once a task and
+    returns a function from a list of texts to a list of booleans; nothing is shuffled."""
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds = test()
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            yield batch.filter(pa.array(holds(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def texts_changed(docs: DataFrame, text_column: str, change) -> DataFrame:
+    """``docs`` with each text (null stays null) replaced; ``change()`` is called once a task and returns a
+    function from a list of texts to a list of texts."""
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        changed = change()
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            yield batch.set_column(at, batch.schema.field(at), pa.array(changed(batch.column(at).to_pylist()), batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, embed_dedup, extendible_sharding, hyperminhash, packing, token_counts
+from . import chat_trees, decontaminate, embed_dedup, extendible_sharding, hyperminhash, language_mixture, packing, pii_crf, rule_quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op2_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"doc_key": "doc_id", "item_key": "item_id"})
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select(F.col("key").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -39,6 +44,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("doc_key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_crf.find(_table(spark, sf_dir, "documents"))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in pii_crf.KINDS]
+    return found.select(F.col("doc_key").alias("doc_id"), *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
 #: Bytes of text in a shard.
 SHARD_BYTES = 16 << 20
 
@@ -48,21 +61,39 @@ def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("doc_key").alias("doc_id"), "n_bytes", "shard_id", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_docs")
 
 
+def _fold(folds: int) -> Column:
+    """crc32 of the id as text, modulo the number of folds."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_mixture.learn(docs.where(_fold(3) != 1))
+    found = language_mixture.detect(docs.select("doc_id", "text"), model).withColumnRenamed("doc_key", "doc_id")
+    return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hyperminhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
     return found.withColumnRenamed("doc_key", "doc_id")
 
 
+def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where(_fold(5) != 0).select(F.col("doc_id").alias("doc_key"), F.col("quality").alias("label"))
+    scored = rule_quality.score_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels).withColumnRenamed("doc_key", "doc_id")
+    return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_embedding_dedup, op2_chat_trees, op4_token_counts, op5_packing, op7_extendible_sharding, op9_hyperminhash_dedup)}
+    return {q.__name__: q for q in (op1_embedding_dedup, op2_chat_trees, op3_decontaminate, op4_token_counts, op5_packing, op6_pii_crf, op7_extendible_sharding, op8_language_mixture, op9_hyperminhash_dedup, op10_rule_quality)}
 
 
 _OP1_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 ok AS (
-  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0),
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
 link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
@@ -98,15 +129,15 @@ FROM d JOIN leaf ON leaf.doc_id = d.doc_id JOIN tree ON tree.depth = leaf.depth
 
 _OP9_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
-x AS (SELECT doc_id, hash(unnest(s)) AS h FROM s),
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM s),
 link AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id
-  JOIN s sa ON sa.doc_id = a.doc_id JOIN s sb ON sb.doc_id = b.doc_id
-  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(len(sa.s)) + any_value(len(sb.s)) - count(*))),
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.m AS component_id, s.doc_id = c.m AS kept
 FROM s JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = s.doc_id"""
