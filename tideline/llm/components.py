@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", "m")).distinct()
 
 
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest position that each of n positions reaches by the pairs (i, j), within one task."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[i], root[j])
+        after = root.copy()
+        np.minimum.at(after, i, least)
+        np.minimum.at(after, j, least)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``u, v long`` links in any direction to ``node, component``: the smallest node that each node
     with a link reaches. Nodes that are smallest themselves, and those without a link, have no row.

@@ -60,20 +60,6 @@ def _tabled(batches):
         yield from common.rows_out(schema, [np.tile(np.arange(TABLES, dtype=np.int32), n), signs, np.repeat(batch.column("label_key").to_numpy(), TABLES), np.repeat(batch.column("rep").to_numpy(), TABLES)])
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest position that each of n positions reaches by the pairs."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[i], root[j])
-        after = root.copy()
-        np.minimum.at(after, i, least)
-        np.minimum.at(after, j, least)
-        after = after[after]
-        if (after == root).all():
-            return root
-        root = after
-
-
 def _linked(least: float):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("label_key", "ascending"), ("tab", "ascending"), ("sign", "ascending"), ("rep", "ascending")])
@@ -101,7 +87,7 @@ def _linked(least: float):
             at = np.flatnonzero(count)
             reps.append(rep[a + at])
             links.append(count[at])
-            roots.append(rep[a + _roots(b - a, i, j)[at]])
+            roots.append(rep[a + components.local_roots(b - a, i, j)[at]])
         if not reps:
             reps = links = roots = [np.zeros(0, np.int64)]
         return pa.table({"rep": np.concatenate(reps), "links": np.concatenate(links), "root": np.concatenate(roots)})

@@ -134,23 +134,59 @@ def _chosen(least: float):
     return run
 
 
-def _across(least: float):
-    """Pairs of two blocks of a bucket that lie in different components and that the estimate leaves open."""
+def _open_pairs(group: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of a group's two blocks that lie in different components, that the estimate leaves
+    open, and that meet in no earlier band."""
+    doc, comp, n, block = (group.column(c).to_numpy() for c in ("doc", "component", "n_shingles", "block"))
+    codes = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+    keys = band_keys(codes).view(np.int64)
+    own = keys == group.column("band")[0].as_py()
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in left:
+        other = right[(comp[right] != comp[i]) & ((doc[right] > doc[i]) | (low != high))]
+        other = other[plausible(codes[i], codes[other], n[i], n[other], least)] if len(other) else other
+        if len(other):
+            other = other[(keys[other] == keys[i]).argmax(axis=1) == own[i].argmax()]
+            xs.append(np.full(len(other), i))
+            ys.append(other)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _open_members(least: float):
+    """Of a bucket's two blocks, the members that have an open pair; never the pairs."""
 
     def run(group: pa.Table) -> pa.Table:
-        doc, comp, n, block = (group.column(c).to_numpy() for c in ("doc", "component", "n_shingles", "block"))
-        codes = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        low = group.column("low")[0].as_py()
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == group.column("high")[0].as_py())
-        xs, ys = [], []
-        for i in left:
-            other = right[(comp[right] != comp[i]) & ((doc[right] > doc[i]) | (block[right] != low))]
-            if len(other):
-                other = other[plausible(codes[i], codes[other], n[i], n[other], least)]
-                xs.append(np.full(len(other), doc[i]))
-                ys.append(doc[other])
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+        x, y = _open_pairs(group, least)
+        return group.take(pa.array(np.union1d(x, y)))
+
+    return run
+
+
+def _joined(words: int, percent: int):
+    """Components of a bucket's two blocks that full sets join, each with the smallest that it is joined to."""
+    least = percent / 100
+
+    def run(group: pa.Table) -> pa.Table:
+        x, y = _open_pairs(group, least)
+        texts = [zlib.decompress(z).decode() for z in group.column("zipped").to_pylist()]
+        sets = [s for at in range(0, len(texts), 64) for s in shingles.shingle_sets(texts[at : at + 64], words)]
+        sizes = np.array([len(s) for s in sets])
+        names, comp = np.unique(group.column("component").to_numpy(), return_inverse=True)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.unique(x):
+            for part in np.array_split(y[x == i], max(1, int((x == i).sum()) // 64)):
+                if len(part):
+                    both = np.concatenate([sets[j] for j in part])
+                    at = np.minimum(np.searchsorted(sets[i], both), len(sets[i]) - 1)
+                    shared = np.add.reduceat(sets[i][at] == both, np.cumsum(np.r_[0, sizes[part][:-1]]), dtype=np.int64)
+                    same = part[100 * shared >= percent * (sizes[i] + sizes[part] - shared)]
+                    us.append(np.full(len(same), comp[i]))
+                    vs.append(comp[same])
+        root = components.local_roots(len(names), np.concatenate(us), np.concatenate(vs))
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"u": names[moved], "v": names[root[moved]]})
 
     return run
 
@@ -232,10 +268,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     own_block = F.pmod(F.xxhash64("doc"), n_blocks).cast("int")
     blocked = open_rows.withColumn("block", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     blocked = blocked.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "component", "n_shingles", "registers")
-    rest = blocked.groupBy("band", "low", "high").applyInArrow(_across(least), "x long, y long").distinct()
-    more = confirmed(rest)
+    members = common.stored(blocked.groupBy("band", "low", "high").applyInArrow(_open_members(least), blocked.schema))
+    last = members.join(zipped, "doc").groupBy("band", "low", "high").applyInArrow(_joined(words, percent), "u long, v long")
 
-    last = more.join(found.toDF("x", "cx"), "x", "left").join(found.toDF("y", "cy"), "y", "left").select(F.coalesce("cx", "x").alias("u"), F.coalesce("cy", "y").alias("v"))
     merged = components.components(last)
     final = found.join(merged.toDF("component", "further"), "component", "left").select("node", F.coalesce("further", "component").alias("component"))
     final = final.union(merged.join(found, "node", "left_anti"))
