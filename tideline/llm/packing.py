@@ -7,7 +7,9 @@ key, and each group is packed on its own.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,42 +21,63 @@ from pyspark.sql import functions as F
 from . import common, pretokens
 
 _CUT = regex.compile(pretokens.WORD_LEVEL).findall
-#: Words whose ids a Python worker keeps; beyond, it begins anew.
-_CACHE_WORDS = 300_000
+#: Words whose ids a Python worker keeps, of those seen last and of those before them.
+_CACHE_WORDS = 250_000
 #: Bytes of text for each random group; a group's pieces are packed in one task.
 GROUP_BYTES = 8_000_000
 _PIECES = pa.schema([("grp", pa.int64()), ("doc_key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 _PIECES_DDL = "grp long, doc_key long, start long, length long, doc_tokens long, ids binary"
 _PACKED_DDL = "doc_key long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
-_words: dict[str, dict[str, bytes]] = {}
 
 
-def encoded(texts: list[str], path: str) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers, without special tokens.
+class _Encoder:
+    """Ids of texts as little-endian unsigned 32-bit numbers, without special tokens.
 
-    The library encodes each new word once; texts with uncommon characters or special strings it encodes whole.
+    Pre-tokens never reach over white space, so the ids of a text are those of its words one after another:
+    each word is cut into pre-tokens, and each pre-token given to the library's model, once while it is
+    remembered. Texts with uncommon characters or special strings the library encodes whole.
     """
-    made = pretokens.tokenizer(path)
-    special = pretokens.special_strings(path)
-    known = _words.setdefault(path, {})
-    cut: list[list[str] | None] = []
-    for text in texts:
-        plain = not pretokens.UNCOMMON.search(text) and not (special is not None and special.search(text))
-        cut.append(_CUT(text.lower()) if plain else None)
-    fresh = list(set().union(*(c for c in cut if c)) - known.keys())
-    if len(known) + len(fresh) > _CACHE_WORDS:
-        known.clear()
-        fresh = list(set().union(*(c for c in cut if c)))
-    for at in range(0, len(fresh), 20_000):
-        part = fresh[at : at + 20_000]
-        for word, x in zip(part, made.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[word] = np.array(x.ids, "<u4").tobytes()
-    get = known.__getitem__
-    for text, words in zip(texts, cut, strict=True):
-        if words is None:
-            yield np.array(made.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            yield b"".join(map(get, words))
+
+    def __init__(self, path: str):
+        self.library = pretokens.tokenizer(path)
+        self.model = self.library.model
+        self.special = pretokens.special_strings(path)
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.pretokens: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        letters = map(chr, range(0xA1, 0x180))
+        self.mapped = str.maketrans({c: "".join(x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(c)) for c in letters})
+
+    def _pretoken(self, one: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(one if one.isascii() else one.translate(self.mapped))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        young, old = self.pretokens
+        out = []
+        for one in _CUT(word):
+            if (ids := young.get(one)) is None:
+                ids = young[one] = old.get(one) or self._pretoken(one)
+            out.append(ids)
+        return b"".join(out)
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [not pretokens.UNCOMMON.search(t) and not (self.special is not None and self.special.search(t)) for t in texts]
+        cut = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
+        if len(self.words[0]) > _CACHE_WORDS:
+            self.words = ({}, self.words[0])
+        if len(self.pretokens[0]) > _CACHE_WORDS:
+            self.pretokens = ({}, self.pretokens[0])
+        young, old = self.words
+        for word in set().union(*cut) - young.keys():
+            ids = old.get(word)
+            young[word] = self._word(word) if ids is None else ids
+        for text, words, p in zip(texts, cut, plain, strict=True):
+            yield b"".join(map(young.__getitem__, words)) if p else np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> _Encoder:
+    """One a Python worker, so that tasks after the first find known words."""
+    return _Encoder(path)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -70,11 +93,11 @@ def _pieces(path: str, room: int, end_id: int, groups: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         row = TaskContext.get().partitionId() << 36
-        for keys, texts in common.chunks(batches, most=1_000_000):
+        for keys, texts in common.chunks(batches, most=2_000_000):
             grp = (_mixed(np.arange(row, row + len(keys)) + 1) % np.uint64(groups)).astype(np.int64).tolist()
             row += len(keys)
             out: list[tuple] = []
-            for g, key, ids in zip(grp, keys, encoded(texts, path), strict=True):
+            for g, key, ids in zip(grp, keys, encoder(path)(texts), strict=True):
                 ids += end
                 total = len(ids) // 4
                 out += [(g, key, start, min(room, total - start), total, ids[4 * start : 4 * (start + room)]) for start in range(0, total, room)]
