@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import aggregates, domain, evaluation, joins, live, panels, relational, windowed  # noqa: F401  (they register themselves)
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
