@@ -71,9 +71,10 @@ def shingle_sets(texts: list[str], words: int) -> Iterator[np.ndarray]:
     bounds = np.cumsum([0] + [len(r) + 1 for r in raw])
     first = np.searchsorted(starts, bounds)
     with np.errstate(over="ignore"):
-        sums = np.zeros(max(0, len(own) - words + 1), np.uint64)
+        full = max(0, len(own) - words + 1)
+        sums = np.zeros(full, np.uint64)
         for j in range(words):
-            sums += own[j : len(own) - words + 1 + j] * np.uint64(_BASE ^ (0x5851F42D4C957F2D * (j + 1) & 0xFFFFFFFFFFFFFFF) | 1)
+            sums += own[j : j + full] * np.uint64(_BASE ^ (0x5851F42D4C957F2D * (j + 1) & 0xFFFFFFFFFFFFFFF) | 1)
         sums = mixed(sums)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b - a >= words:
