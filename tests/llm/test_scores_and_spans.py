@@ -1,0 +1,214 @@
+"""Decontamination, personal data, languages and quality."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tideline.llm import decontaminate, language_mixture, pii_crf, queries, rule_quality
+
+# ---- decontamination
+
+
+def semi_global(item, text):
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for c in text:
+        new = [0]
+        for i, p in enumerate(item, 1):
+            new.append(min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (p != c)))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc ", min_size=1, max_size=70).map(str.encode), st.text("abc ", max_size=90).map(str.encode))
+def test_myers_is_the_edit_distance(item, text):
+    assert decontaminate.myers(item, text)[0] == semi_global(item, text)
+
+
+def passages(seed=1):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(2, 7)))
+    items = [" ".join(word() for _ in range(rnd.randint(12, 40))) for _ in range(12)] + ["too short", None, ""]
+    docs = []
+    for _ in range(60):
+        text = [word() for _ in range(rnd.randint(0, 60))]
+        if rnd.random() < 0.6:
+            own = list(items[rnd.randrange(12)])
+            for _ in range(rnd.randint(0, int(len(own) * 0.12))):
+                at, how = rnd.randrange(len(own)), rnd.random()
+                own[at : at + (how > 0.33)] = [] if how > 0.66 else [rnd.choice("abcxyz")]
+            text.insert(rnd.randint(0, len(text)), "".join(own).upper() if rnd.random() < 0.3 else "".join(own).replace(" ", ",\n", 3))
+        docs.append(" ".join(text))
+    return items, docs
+
+
+def test_leaks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE_CHARS", 400)  # several slices
+    items, docs = passages()
+    want = set()
+    for i, item in enumerate(items):
+        p = decontaminate.normalised(item or "")
+        for d, text in enumerate(docs):
+            if len(p) >= 40:
+                least = semi_global(p, decontaminate.normalised(text))
+                if least <= decontaminate.budget(len(p)):
+                    want.add((d, i))
+    table = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*docs, None, ""])], "doc_id long, text string, item_key string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.find_leaks(table, bench).collect()
+    assert {(r.doc_key, r.item_key) for r in found} == want and len(found) == len(want) > 10
+    kept = decontaminate.without_leaks(table, bench)
+    assert kept.columns == table.columns
+    assert {r.doc_id for r in kept.collect()} == set(range(len(docs) + 2)) - {d for d, _ in want}
+
+
+def test_leaks_of_awkward_tables(spark, awkward, awkward_rows, empty):
+    bench = spark.createDataFrame([(1, "the quick brown fox the quick brown fox the quick brown fox"), (None, None)], "item_id long, text string")
+    none = bench.where("false")
+    assert [(r.doc_key, r.distance) for r in decontaminate.find_leaks(awkward, bench).collect()] == [(13, 0)]
+    assert decontaminate.without_leaks(awkward, none).count() == len(awkward_rows)
+    assert decontaminate.find_leaks(empty, bench).collect() == [] == decontaminate.find_leaks(awkward, none).collect()
+
+
+# ---- personal data
+
+
+def plain_base(text):
+    """The stated patterns, as they are written down."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), m.end(), "email"))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), m.end(), "ip"))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0:
+            out.append((m.start(), m.end(), "card"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), m.end(), "phone"))
+    return out
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text("a.@-+%_ 0123456789()é\n", max_size=60))
+def test_base_spans_are_the_stated_patterns(text):
+    assert sorted(pii_crf.base_spans(text)) == sorted(plain_base(text))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["1", "23", "256", "4111111111111111", ".", ".", "-", " ", "+", "a@b.c", "@", "x", "(5)", "0003"]), max_size=25).map("".join))
+def test_base_spans_in_dense_texts(text):
+    assert sorted(pii_crf.base_spans(text)) == sorted(plain_base(text))
+
+
+def test_long_runs_stay_linear():
+    for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "a@" * 200_000, "+1" * 200_000, "1 " * 200_000, "@" * 300_000):
+        pii_crf.base_spans(text)
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii_crf.train(pii_crf.labelled_rows())
+
+
+def test_field_on_fresh_rows(field):
+    hit = miss = wrong = 0
+    for text, spans in pii_crf.labelled_rows(300, seed=77):
+        got = {(a, b) for a, b, _ in field.spans([text])[0]}
+        want = {(a, b) for a, b, _ in spans}
+        hit, miss, wrong = hit + len(got & want), miss + len(want - got), wrong + len(got - want)
+    assert hit / (hit + miss) > 0.9 and hit / (hit + wrong) > 0.9
+
+
+def test_viterbi_is_the_best_path(field):
+    import itertools
+
+    runs = [r for text, _ in pii_crf.labelled_rows(60, seed=3) for r in pii_crf._runs(text) if len(r) <= 3][:20]
+    for run, path in zip(runs, field.viterbi(runs), strict=True):
+        scores = field.scores(run)
+        value = lambda p: field.start[p[0]] + scores[0, p[0]] + sum(field.move[a, b] + scores[t, b] for t, (a, b) in enumerate(zip(p[:-1], p[1:], strict=True), 1))  # noqa: B023, E731
+        best = max(itertools.product(range(len(pii_crf.LABELS)), repeat=len(run)), key=value)
+        assert value(path) >= value(best) - 1e-9
+
+
+def test_spans_over_tables(spark, field, awkward, awkward_rows, empty):
+    texts = ["mail a.b@c.de now", "call (212) 555-0147, ok", "none here", None]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    rows = {r.doc_key: r for r in pii_crf.find(df, field).collect()}
+    assert [tuple(s) for s in rows[0].base] == [("email", 5, 13)] and rows[2].spans == [] == rows[3].spans
+    assert any(s.kind == "phone" for s in rows[1].spans) and rows[1].base == []
+    masked = {r.doc_id: r.text for r in pii_crf.redact(df, field).collect()}
+    assert masked[0] == "mail [EMAIL] now" and masked[2] == "none here" and masked[3] is None and "555" not in masked[1]
+    assert pii_crf.find(awkward, field).count() == len(awkward_rows) and pii_crf.find(empty, field).collect() == []
+    assert pii_crf.redact(awkward, field).columns == awkward.columns
+
+
+def test_redaction_joins_overlaps():
+    assert pii_crf.redacted("0123456789", [(2, 5, "ip"), (4, 7, "card")]) == "01[IP]789"
+
+
+# ---- languages
+
+
+def test_language_held_out(spark, sf):
+    rows = queries.op8_language_mixture(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert len(rows) > 30 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.95
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_mixture_of_two_languages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names, logs = language_mixture.learn(docs)
+    one = {r.lang: r.text for r in docs.where("length(text) > 2000").groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    shares = language_mixture.mixture(one["de"][:1500] + " " + one["fr"][:1500], names, logs)
+    assert set(shares) >= {"de", "fr"} and abs(shares["de"] - 0.5) < 0.15
+    assert language_mixture.mixture("123 !!", names, logs) == {} and language_mixture.predicted(None, names, logs) == ("und", 0.0)
+
+
+def test_languages_of_awkward_tables(spark, sf, awkward, awkward_rows, empty):
+    model = language_mixture.learn(spark.read.parquet(f"{sf}/documents.parquet"))
+    rows = language_mixture.detect(awkward, model).collect()
+    assert len(rows) == len(awkward_rows)
+    assert {r.doc_key for r in rows if r.lang_pred == "und"} >= {0, 1, 2, 15}
+    assert language_mixture.detect(empty, model).collect() == []
+    nothing = language_mixture.learn(empty)
+    assert nothing[0] == [] and {r.lang_pred for r in language_mixture.detect(awkward, nothing).collect()} == {"und"}
+    kept = language_mixture.known_language(awkward, model)
+    assert kept.columns == awkward.columns and {0, 1, 2}.isdisjoint({r.doc_id for r in kept.collect()})
+
+
+# ---- quality
+
+
+def test_quality_held_out(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    rows = queries.op10_rule_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.9
+    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    assert np.mean([g > b for g in good for b in bad]) > 0.95
+
+
+def test_rules_of_a_printed_tree():
+    tree = "DecisionTree\n  If (feature 1 <= 0.5)\n   If (feature 0 > 2.0)\n    Predict: 0.0\n   Else (feature 0 <= 2.0)\n    Predict: 1.0\n  Else (feature 1 > 0.5)\n   Predict: 1.0\n"
+    a, b = rule_quality.STATISTICS[:2]
+    assert rule_quality.rules_of(tree) == {((b, "<=", 0.5),), ((b, ">", 0.5),), tuple(sorted([(b, "<=", 0.5), (a, ">", 2.0)])), tuple(sorted([(b, "<=", 0.5), (a, "<=", 2.0)]))}
+
+
+def test_quality_of_awkward_tables(spark, awkward, awkward_rows, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1), (3, None)], "doc_key long, label int")
+    rows = rule_quality.score_quality(awkward, labels).collect()
+    assert len(rows) == len(awkward_rows) and all(0 <= r.score <= 1 for r in rows)
+    assert rule_quality.score_quality(empty, labels).collect() == []
+    assert {r.score for r in rule_quality.score_quality(awkward, labels.where("false")).collect()} == {0.5}
+    assert all(r.score > 0.9 for r in rule_quality.score_quality(awkward, labels.where("label = 1")).collect())

@@ -75,7 +75,7 @@ def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
     texts of assistants do. ``loss_spans`` are the same ranges in code points, end exclusive. Null roles
     and texts are empty. Messages with a null conversation form one. An empty table gives no row.
     """
-    keyed = messages.withColumn("tree", F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit("none")))
+    keyed = messages.select("conv", "node", "parent", "role", "text", "score").withColumn("tree", F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit("none")))
     found = paths(keyed)
     scored = found.join(keyed.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("path_score"))
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
