@@ -171,7 +171,7 @@ def reality_check(differences: np.ndarray, draws: int = 2_000, mean_block: float
         last = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
         at = (start[last] + np.arange(n) - last) % n
         hits += np.sqrt(n) * (differences[at].mean(0) - differences.mean(0)).max() >= best
-    return (1 + hits) / (draws + 1)
+    return float((1 + hits) / (draws + 1))
 
 
 def alpha_spending(times: list[float], alpha: float = 0.05) -> list[float]:
