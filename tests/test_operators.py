@@ -239,7 +239,7 @@ def test_models(spark):
     assert np.allclose(models.solve(models.gram(df, ["x"], "d").first().asDict(), 1), np.polyfit(x, x + d, 1)[::-1])
     theta = models.partial_effect(models.cross_fitted(df, ["x"], ["y", "d"], "fold", 1e-6), "y_residual", "d_residual", "s").first()
     assert abs(theta.theta - 0.5) < 0.01 and theta.clusters == 30
-    h = models.ewma(spark.createDataFrame([("a", i, 0.1 * i) for i in range(1, 6)], "k string, t int, v double"), "k", "t", "v", 0.5, 3).orderBy("t").collect()
+    h = models.ewma(spark.createDataFrame([("a", i, 0.1 * i) for i in range(1, 6)], "k string, t int, v double").withColumn("s", F.floor(F.col("t") / 2)), "k", "s", "t", "v", 0.5, 3).orderBy("t").collect()
     state, want = None, []
     for i in range(1, 6):
         state = (0.1 * i) ** 2 if state is None else 0.5 * state + 0.5 * (0.1 * i) ** 2
@@ -253,3 +253,36 @@ def test_plans_push_down_and_do_not_multiply(spark, sf):
     plan = catalogue.queries()["scan_project"](spark, sf)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate)" in plan and "l_comment" not in plan
     assert "CartesianProduct" not in catalogue.queries()["two_clock_window"](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_model_choice():
+    from tideline.operators import selection
+
+    rng = np.random.default_rng(6)
+    losses = rng.normal(1, 0.1, (60, 4)) + [0.0, 0.0, 0.5, 0.0]
+    kept = {name: stays for name, _, stays in selection.confidence_set(losses, list("abcd"), draws=300)}
+    assert not kept["c"] and any(kept[m] for m in "abd")
+    assert selection.overfitting(losses + [0.0, 0.0, 0.0, -1.0]) == 0.0
+    assert math.isclose(selection.detectable(1.0), 2.8015852, rel_tol=1e-6)
+    assert selection.condition_number(np.eye(3)) == pytest.approx(1.0)
+
+
+def test_strategy_uses_only_the_past(spark):
+    from tideline.operators import selection
+
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([0.1, -0.2, 0.3, 0.4])], "k string, t int, r double")
+    rows = selection.strategy(df, ["k"], "t", F.col("r"), F.col("r"), 0.01).orderBy("t").collect()
+    assert [r.position for r in rows] == [0.0, 1.0, -1.0, 1.0] and [r.turnover for r in rows] == [0.0, 1.0, 2.0, 2.0]
+    assert math.isclose(rows[2].pnl, -0.3 - 0.02)
+
+
+def test_saved_forecaster_scores_alike(spark, sf, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    df = spark.createDataFrame([(float(i), float(2 * i + 1)) for i in range(1, 30)], "x double, y double")
+    for kind in ("ols", "gamma"):
+        model = models.fitted(df, ["x"], "y", kind)
+        model.save(str(tmp_path / kind))
+        again = PipelineModel.load(str(tmp_path / kind))
+        assert rows_of(model.transform(df), "x", "prediction") == rows_of(again.transform(df), "x", "prediction")
+    assert len(df.select(*models.spline_basis("x", [5.0, 10.0])).columns) == 2

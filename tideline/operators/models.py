@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def gram(rows: DataFrame, features: list[str], target: str, by: list[str] | None = None) -> DataFrame:
@@ -68,41 +70,74 @@ def fitted(train: DataFrame, features: list[str], target: str, kind: str = "ols"
     return Pipeline(stages=[assembled, model]).fit(train)
 
 
-def ewma(rows: DataFrame, key: str, order: str, value: str, decay: float = 0.94, warm_up: int = 20) -> DataFrame:
-    """Exponentially weighted variance carried along each key's order, null during the warm-up. A recursion, so each
-    key's rows meet in one Arrow group; the plan holds a few numbers per row."""
-    schema = rows.select(key, order, value).schema.add("h", "double")
+def recurrence(rows: DataFrame, key: str, segment: str, order: str, factor: Column, term: Column, start: DataFrame, name: str) -> DataFrame:
+    """``state = factor * state + term`` along each key's order; the column holds the state before each row, and
+    ``<name>_after`` the one after it.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    A linear recurrence over a segment is one factor and one term, so this is a parallel scan: segments are
+    reduced on their own, their reductions (a row each) are carried along the key, and each segment is then
+    unrolled from its own start. No task holds more than a segment, or one number pair per segment of a key.
+    ``start``: key and ``state``.
+    """
+    marked = rows.withColumn("_a", factor.cast("double")).withColumn("_b", term.cast("double"))
+    kinds = {f.name: f.dataType.simpleString() for f in marked.schema}
+
+    def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        x = pdf[value].to_numpy(float)
-        h, state = np.full(len(x), np.nan), np.nan
-        seen = 0
-        for i, v in enumerate(x):
-            if np.isfinite(v):
-                state = v * v if seen == 0 else decay * state + (1 - decay) * v * v
-                seen += 1
-            if seen >= warm_up:
-                h[i] = state
-        return pdf.assign(h=pd.Series(h, index=pdf.index))
-
-    out = rows.select(key, order, value).groupBy(key).applyInPandas(run, schema)
-    return out.withColumn("h", F.nullif(F.col("h"), F.lit(float("nan"))))
-
-
-def garch_filter(rows: DataFrame, key: str, order: str, value: str, omega: float, alpha: float, beta: float) -> DataFrame:
-    """Conditional variance of a GARCH(1,1) with given parameters, from its long-run level."""
-    schema = rows.select(key, order, value).schema.add("h", "double")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = 1.0, 0.0
+        for x, y in zip(pdf["_a"].to_numpy(), pdf["_b"].to_numpy(), strict=True):
+            a, b = a * x, b * x + y
+        return pd.DataFrame({key: [pdf[key].iloc[0]], segment: [pdf[segment].iloc[0]], "_a": [a], "_b": [b]})
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(segment)
+        state, out = float(pdf["state"].iloc[0]), []
+        for x, y in zip(pdf["_a"].to_numpy(), pdf["_b"].to_numpy(), strict=True):
+            out.append(state)
+            state = x * state + y
+        return pdf[[key, segment]].assign(_start=out)
+
+    def unrolled(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        h, out = omega / max(1e-12, 1 - alpha - beta), []
-        for v in pdf[value].to_numpy(float):
-            out.append(h)
-            h = omega + alpha * (v * v if np.isfinite(v) else h) + beta * h
-        return pdf.assign(h=out)
-
-    return rows.select(key, order, value).groupBy(key).applyInPandas(run, schema)
+        state, out = float(pdf["_start"].iloc[0]), []
+        for x, y in zip(pdf["_a"].to_numpy(), pdf["_b"].to_numpy(), strict=True):
+            out.append(state)
+            state = x * state + y
+        return pdf.drop(columns=["_a", "_b", "_start"]).assign(**{name: out, f"{name}_after": [*out[1:], state]})
+
+    parts = marked.select(key, segment, order, "_a", "_b").groupBy(key, segment).applyInPandas(reduced, f"`{key}` {kinds[key]}, `{segment}` {kinds[segment]}, _a double, _b double")
+    starts = parts.join(start, key).groupBy(key).applyInPandas(carried, f"`{key}` {kinds[key]}, `{segment}` {kinds[segment]}, _start double")
+    schema = T.StructType(list(rows.schema.fields)).add(name, "double").add(f"{name}_after", "double")
+    return marked.join(starts, [key, segment]).select(*rows.columns, "_a", "_b", "_start").groupBy(key, segment).applyInPandas(unrolled, schema)
+
+
+def _known(value: str) -> Column:
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.lit(False))
+
+
+def ewma(rows: DataFrame, key: str, segment: str, order: str, value: str, decay: float = 0.94, warm_up: int = 20) -> DataFrame:
+    """Exponentially weighted variance ``h`` carried along each key's order, from its first square; rows without
+    a value leave it as it is; null until ``warm_up`` values were seen."""
+    rows = rows.select(key, segment, order, value)
+    square = F.col(value) * F.col(value)
+    known = _known(value)
+    first = rows.where(known).groupBy(key).agg(F.min_by(square, F.struct(segment, order)).alias("state"))
+    out = recurrence(rows, key, segment, order, F.when(known, decay).otherwise(1.0), F.when(known, (1 - decay) * square).otherwise(0.0), first, "h")
+    counts = rows.groupBy(key, segment).agg(F.count_if(known).alias("_n"))
+    before = counts.select(key, segment, F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy(segment).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    seen = F.col("_before") + F.count_if(known).over(W.partitionBy(key, segment).orderBy(order))
+    return out.join(before, [key, segment]).withColumn("_seen", seen).select(key, segment, order, value, F.when(F.col("_seen") >= warm_up, F.col("h_after")).alias("h"))
+
+
+def garch_filter(rows: DataFrame, key: str, segment: str, order: str, value: str, omega: float, alpha: float, beta: float) -> DataFrame:
+    """Conditional variance ``h`` of a GARCH(1,1) with given parameters, before each row, from its long-run level; a
+    row without a value counts as its expectation."""
+    rows = rows.select(key, segment, order, value)
+    known = _known(value)
+    start = rows.select(key).distinct().withColumn("state", F.lit(omega / max(1e-12, 1 - alpha - beta)))
+    factor = F.when(known, beta).otherwise(alpha + beta)
+    term = F.lit(omega) + F.when(known, alpha * F.col(value) * F.col(value)).otherwise(0.0)
+    return recurrence(rows, key, segment, order, factor, term, start, "h").drop("h_after")
 
 
 def spline_basis(x: str, knots: list[float]) -> list[Column]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, models
 from ..sources.tables import tape
-from .registry import TAPE, query, r6, s6
+from .registry import GRID, TAPE, query, r6, s6
 from .windowed import KEYS, returns
 
 #: Forecasts: actual is the hour's premium; one model repeats the hour before, the other an hourly constant.
@@ -158,16 +158,19 @@ def partial_pooling(spark, sf):
 # ---- without a SQL counterpart -----------------------------------------------------------------------------
 
 
-@query("ewma_state")
+@query("ewma_state", f"""WITH RECURSIVE {GRID}, o AS (SELECT asset, session_date, bar, r, row_number() OVER (PARTITION BY asset ORDER BY session_date, bar) AS i FROM returns WHERE r IS NOT NULL),
+  e AS (SELECT asset, session_date, bar, i, r * r AS h FROM o WHERE i = 1 UNION ALL SELECT o.asset, o.session_date, o.bar, o.i, 0.94 * h + 0.06 * o.r * o.r FROM e JOIN o ON o.asset = e.asset AND o.i = e.i + 1)
+  SELECT asset, session_date, bar::INTEGER AS bar, {s6('h')} AS h FROM e WHERE i >= 20""", dates=["session_date"])
 def ewma_state(spark, sf):
-    rows = returns(spark, sf).withColumn("at", F.concat_ws(" ", F.col("session_date").cast("string"), F.lpad(F.col("bar").cast("string"), 2, "0")))
-    return models.ewma(rows, "asset", "at", "r").select("asset", "at", "h")
+    h = models.ewma(returns(spark, sf), "asset", "session_date", "bar", "r")
+    return h.where("h is not null and r is not null").select(*KEYS, "bar", r6("h").alias("h"))
 
 
-@query("garch_state")
+@query("garch_state", f"""WITH RECURSIVE {GRID}, o AS (SELECT asset, session_date, bar, r, row_number() OVER (PARTITION BY asset ORDER BY session_date, bar) AS i FROM returns),
+  e AS (SELECT asset, session_date, bar, r, i, 0.05 / (1 - 0.1 - 0.8) AS h FROM o WHERE i = 1 UNION ALL SELECT o.asset, o.session_date, o.bar, o.r, o.i, 0.05 + CASE WHEN e.r IS NULL THEN 0.9 * h ELSE 0.1 * e.r * e.r + 0.8 * h END FROM e JOIN o ON o.asset = e.asset AND o.i = e.i + 1)
+  SELECT asset, session_date, bar::INTEGER AS bar, {s6('h')} AS h FROM e""", dates=["session_date"])
 def garch_state(spark, sf):
-    rows = returns(spark, sf).withColumn("at", F.concat_ws(" ", F.col("session_date").cast("string"), F.lpad(F.col("bar").cast("string"), 2, "0")))
-    return models.garch_filter(rows, "asset", "at", "r", 0.05, 0.1, 0.8).select("asset", "at", "h")
+    return models.garch_filter(returns(spark, sf), "asset", "session_date", "bar", "r", 0.05, 0.1, 0.8).select(*KEYS, "bar", r6("h").alias("h"))
 
 
 @query("block_bootstrap")
