@@ -32,6 +32,16 @@ def test_asof_edges_and_ties(spark):
     assert {(r.k, r.at): r.v for r in bounded.collect()}[("b", 100)] is None
 
 
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_asof_in_buckets_is_the_same(spark, inclusive):
+    rnd = random.Random(5)
+    rows = spark.createDataFrame([(rnd.choice("ab"), rnd.randrange(200), i, float(i)) for i in range(80)], "k string, t long, seq long, v double")
+    origins = spark.createDataFrame(sorted({(rnd.choice("abc"), rnd.randrange(260)) for _ in range(60)}), "k string, at long")
+    plain = asof.latest(origins, rows, ["k"], "at", "t", ["seq"], ["v"], inclusive)
+    parted = asof.latest(origins, rows, ["k"], "at", "t", ["seq"], ["v"], inclusive, bucket=17)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, parted.collect()))
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 60), st.integers(0, 5)), max_size=25), st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 60)), min_size=1, max_size=8, unique=True))
 def test_within_is_the_closed_interval(spark, rows, origins):

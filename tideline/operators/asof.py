@@ -12,15 +12,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def latest(origins: DataFrame, rows: DataFrame, keys: list[str], cutoff: str, clock: str, order: list[str], values: list[str], inclusive: bool = True, oldest: str | None = None) -> DataFrame:
+def latest(origins: DataFrame, rows: DataFrame, keys: list[str], cutoff: str, clock: str, order: list[str], values: list[str], inclusive: bool = True, oldest: str | None = None, bucket: int | None = None) -> DataFrame:
     """Each origin with the values of the last row of its keys whose ``clock`` is at or before (``inclusive``) or
     strictly before ``cutoff``; ``order`` breaks ties, last wins. With ``oldest``, a column of the origins, a
-    row before it counts as none: the latest is chosen first and then judged, there is no walking back."""
+    row before it counts as none: the latest is chosen first and then judged, there is no walking back.
+
+    With ``bucket``, a length in units of long clocks, keys of any weight are parted by time: each bucket is ordered
+    on its own, and only its last row (one row per key and bucket) is carried on to those after it."""
     kept = F.struct(F.col(clock).alias("asof_clock"), *[F.col(v).alias(v) for v in values])
     right = rows.where(F.col(clock).isNotNull()).select(*keys, F.col(clock).alias("_t"), F.lit(1).alias("_side"), F.struct(*order).alias("_o"), kept.alias("_row"), F.lit(None).cast(origins.schema.simpleString()).alias("_origin"))
     left = origins.select(*keys, F.col(cutoff).alias("_t"), F.lit(2 if inclusive else 0).alias("_side"), F.lit(None).cast(right.schema["_o"].dataType).alias("_o"), F.lit(None).cast(right.schema["_row"].dataType).alias("_row"), F.struct(*origins.columns).alias("_origin"))
-    stream = W.partitionBy(*keys).orderBy("_t", "_side", "_o").rowsBetween(W.unboundedPreceding, 0)
-    found = right.unionByName(left).withColumn("_last", F.last("_row", ignorenulls=True).over(stream)).where(F.col("_origin").isNotNull())
+    merged = right.unionByName(left)
+    part = [*keys]
+    if bucket is not None:
+        merged = merged.withColumn("_bucket", F.floor(F.col("_t") / bucket))
+        part.append("_bucket")
+    stream = W.partitionBy(*part).orderBy("_t", "_side", "_o").rowsBetween(W.unboundedPreceding, 0)
+    found = merged.withColumn("_last", F.last("_row", ignorenulls=True).over(stream)).where(F.col("_origin").isNotNull())
+    if bucket is not None:
+        ends = merged.groupBy(*part).agg(F.max_by("_row", F.when(F.col("_row").isNotNull(), F.struct("_t", "_o"))).alias("_end"))
+        before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+        carried = ends.select(*part, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+        same = [F.col(f"f.{k}").eqNullSafe(F.col(f"c.{k}")) for k in part]
+        found = found.alias("f").join(carried.alias("c"), same, "left").select("f._origin", F.coalesce("f._last", "c._carried").alias("_last"))
     found = found.select("_origin.*", "_last")
     if oldest is not None:
         found = found.withColumn("_last", F.when(F.col("_last.asof_clock") >= F.col(oldest), F.col("_last")))

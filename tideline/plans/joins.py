@@ -107,7 +107,7 @@ def asof_latest_per_key(spark, sf):
     rows = tape(spark, sf)
     origins = rows.where("asset = 'purchase'").select("seq", "contract", "executed_us")
     views = rows.where("asset = 'view'").select("contract", F.col("seq").alias("view_seq"), F.col("premium").alias("view_premium"), "executed_us")
-    return asof.latest(origins, views, ["contract"], "executed_us", "executed_us", ["view_seq"], ["view_seq", "view_premium"]).select("seq", "view_seq", "view_premium")
+    return asof.latest(origins, views, ["contract"], "executed_us", "executed_us", ["view_seq"], ["view_seq", "view_premium"], bucket=7 * DAY).select("seq", "view_seq", "view_premium")
 
 
 @query("asof_tie_sequence", f"""WITH {TAPE}, t AS (SELECT seq, asset, premium, executed_us // {HOUR} AS tick FROM tape), o AS (SELECT DISTINCT asset, tick FROM t)
