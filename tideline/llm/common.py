@@ -36,6 +36,26 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Ids that a broadcast may hold: some 20 MB.
+BROADCAST_IDS = 500_000
+
+
+def by_ids(frame: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of ``frame`` whose key is (``left_semi``) or is not (``left_anti``) in the one column of ``ids``.
+
+    The ids are counted first: up to a bound they are broadcast, so that whole texts needn't be shuffled; beyond
+    it both sides are shuffled by id.
+    """
+    ids = ids.toDF("_id").distinct()
+    few = ids.count() <= BROADCAST_IDS
+    return frame.join(F.broadcast(ids) if few else ids, frame[key] == ids["_id"], how)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts are large: hand them to Python workers by the thousand."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def own_columns(docs: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that extra columns of any name do no harm."""
     return docs.select(*[F.col(f"`{column}`").alias(name) for name, column in names.items()])
@@ -57,6 +77,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text_at: int = 1, most: int = CHUN
             held += len(text)
     if texts:
         yield ids, texts
+    pa.default_memory_pool().release_unused()  # a worker lives on, beside the next stage's
 
 
 def rows_out(schema: pa.Schema, columns: list, most: int = 10_000) -> Iterator[pa.RecordBatch]:

@@ -246,8 +246,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     bands = common.stored(classes.select("doc", "registers").mapInArrow(_banded, "band long, doc long"))
     heads = bands.groupBy("band").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last").drop("last")
     shared = common.stored(bands.join(heads, "band"))
-    needed = shared.select("doc").distinct()
-    zipped = texts.join(needed, texts.doc_key == needed.doc, "left_semi").select(F.col("doc_key").alias("doc"), "text").mapInArrow(_zipped, "doc long, zipped binary")
+    zipped = common.by_ids(texts, "doc_key", shared.select("doc"), "left_semi").select(F.col("doc_key").alias("doc"), "text").mapInArrow(_zipped, "doc long, zipped binary")
     zipped = common.stored(zipped.groupBy("doc").agg(F.max("zipped").alias("zipped")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, pretokens
 
@@ -27,7 +28,6 @@ _CACHE_WORDS = 250_000
 GROUP_BYTES = 8_000_000
 _PIECES = pa.schema([("grp", pa.int64()), ("doc_key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 _PIECES_DDL = "grp long, doc_key long, start long, length long, doc_tokens long, ids binary"
-_PACKED_DDL = "doc_key long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
 class _Encoder:
@@ -136,19 +136,29 @@ def _packed(room: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, room: int = 4096, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """One row per piece: ``doc_key, start, length, doc_tokens, ids`` (little-endian unsigned 32-bit),
-    ``sequence_id, offset``.
+def pieces(docs: DataFrame, tokenizer_path: str, room: int = 4096, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``grp, doc_key, start, length, doc_tokens, ids`` (little-endian unsigned 32-bit): each document encoded,
+    closed with ``end_id`` and cut at multiples of ``room``, with the random group that it is packed in.
 
-    Documents are encoded and closed with ``end_id``; those longer than ``room`` are cut at its multiples.
-    Null texts are empty and give the end id alone. Each row of ``docs`` is packed, repeated rows and null
-    ids too; an empty table gives no piece. Offsets in a sequence run without a gap from 0.
+    Null texts are empty and give the end id alone. Every row of ``docs`` counts, repeated rows and null ids too;
+    an empty table gives no piece.
     """
     texts = common.own_columns(docs, doc_key=id_column, text=text_column).select(F.col("doc_key").cast("long"), "text")
     total = texts.agg(F.sum(F.octet_length("text") + F.lit(4))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    pieces = texts.mapInArrow(_pieces(tokenizer_path, room, end_id, groups), _PIECES_DDL)
-    return pieces.groupBy("grp").applyInArrow(_packed(room), _PACKED_DDL)
+    return texts.mapInArrow(_pieces(tokenizer_path, room, end_id, groups), _PIECES_DDL)
+
+
+def placed(cut: DataFrame, room: int = 4096) -> DataFrame:
+    """Each piece with its ``sequence_id`` and ``offset``; other columns pass. Only lengths decide, so a caller that
+    needs no ids here drops them, and nothing large is shuffled. Offsets in a sequence run without a gap from 0."""
+    schema = T.StructType([f for f in cut.schema if f.name != "grp"]).add("sequence_id", "long").add("offset", "long")
+    return cut.groupBy("grp").applyInArrow(_packed(room), schema)
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, room: int = 4096, **options) -> DataFrame:
+    """Pieces with their ids and places: ``doc_key, start, length, doc_tokens, ids, sequence_id, offset``."""
+    return placed(pieces(docs, tokenizer_path, room, **options), room)
 
 
 def sequences(packed: DataFrame, room: int = 4096, pad_id: int = 0) -> DataFrame:

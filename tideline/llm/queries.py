@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, decontaminate, embed_dedup, extendible_sharding, hyperminhash, language_mixture, packing, pii_crf, rule_quality, token_counts
+from . import chat_trees, common, decontaminate, embed_dedup, extendible_sharding, hyperminhash, language_mixture, packing, pii_crf, rule_quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,8 +41,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packed.select(F.col("doc_key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    packed = packing.placed(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packed.select(F.col("doc_key").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes that are hashed together.
-_SLICE = 1 << 21
+_SLICE = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
