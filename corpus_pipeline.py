@@ -18,6 +18,7 @@ LEAST_SHARE = 0.35
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language, judged by trigrams of the labelled ones among them."""
+    common.small_batches(spark)
     return language_mixture.known_language(docs, language_mixture.learn(docs), LEAST_SHARE)
 
 
@@ -25,8 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document, that of the smallest id, of each group linked at a Jaccard similarity of 0.8 or more on
     five-word shingles. Rows without an id stay."""
     found = hyperminhash.near_duplicates(docs, words=5, percent=80)
-    dropped = found.where("not kept").select(F.col("doc_key").alias("doc_id")).distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return common.by_ids(docs, "doc_id", common.stored(found.where("not kept").select("doc_key")), "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +43,11 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens, with their ids, places and sequences."""
-    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packed.select(F.col("doc_key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", F.base64("ids").alias("ids_base64"))
+    """Pieces of at most 4096 tokens with a digest of their ids, and their places in sequences.
+    ``packing.pack_documents`` gives the ids themselves, ``packing.sequences`` the padded rows."""
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    packed = packing.placed(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packed.select(F.col("doc_key").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [
