@@ -73,3 +73,41 @@ def test_streams(spark, tmp_path):
     assert sorted((r.start.minute, r.n) for r in sums.collect()) == [(0, 2), (5, 2)]
     live.append_to(live.flagged(stream.withColumn("got", F.col("at") + F.expr("interval 2 minutes")), "at", "got", 60), str(tmp_path / "out"), str(tmp_path / "c3")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where("late").count() == 4
+
+
+def test_promotion_and_queries(spark, tmp_path):
+    path = str(tmp_path / "set")
+    assert tables.promote(spark.range(3), path, "a") == 3
+    assert tables.promote(spark.range(5), path, "b") == 5
+    with pytest.raises(ValueError, match="EMPTY_RESULT"):
+        tables.promote(spark.range(0), path, "c")
+    assert tables.current(spark, path).count() == 5
+    assert tables.query_parquet(spark, f"{path}/loads/load_id=a", "SELECT sum(id) AS s FROM {data} WHERE id > 0").first().s == 3
+
+
+def test_reconciliation(spark):
+    old = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 1)], "k int, v string, n int")
+    new = spark.createDataFrame([(1, "a", None), (2, "x", 1), (4, "d", 1)], "k int, v string, n int")
+    assert {r.k: r.action for r in tables.reconciled(old, new, ["k"]).collect()} == {1: "keep", 2: "update", 3: "delete", 4: "insert"}
+
+
+def test_stream_resumes_and_beats(spark, tmp_path):
+    import time
+
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    rows = lambda ids: spark.createDataFrame([(i, "2024-01-01 00:00:0%d" % (i % 10)) for i in ids], "id int, at string").withColumn("at", F.to_timestamp("at"))
+    rows([1, 2]).write.parquet(source)
+    beat = live.Heartbeat()
+    spark.streams.addListener(beat)
+    for more in (None, [2, 3], [3, 4]):
+        if more:
+            rows(more).write.mode("append").parquet(source)
+        stream = live.source(spark, source, spark.read.parquet(source).schema)
+        live.append_to(live.deduplicated(stream, ["id"], "at", "1 hour"), out, check).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
+    for _ in range(50):
+        if beat.last:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(beat)
+    assert beat.last and beat.stale(3600) == []

@@ -120,3 +120,31 @@ def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 def content_digest(columns: list[Column]) -> Column:
     """SHA-256 of a row's canonical text."""
     return F.sha2(F.to_json(F.array(*[c.cast("string") for c in columns])), 256)
+
+
+def query_parquet(spark: SparkSession, path: str, sql: str) -> DataFrame:
+    """SQL over one Parquet path, which the statement names ``{data}``; nothing is registered in the session."""
+    return spark.sql(sql, data=spark.read.parquet(path))
+
+
+def promote(frame: DataFrame, path: str, load_id: str) -> int:
+    """Load under an id of its own, check it, and only then make it the current version. A load that is empty or
+    fails leaves the version before it in place. Returns the rows."""
+    spark = frame.sparkSession
+    rows = write_new(frame, f"{path}/loads/load_id={load_id}")
+    spark.createDataFrame([(load_id, rows)], "load_id string, rows long").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    return rows
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version that was promoted last."""
+    return spark.read.parquet(f"{path}/loads/load_id={spark.read.parquet(f'{path}/current').first().load_id}")
+
+
+def reconciled(existing: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """What makes one table the other: each key with insert, update, delete or keep. Nulls in values compare equal."""
+    values = [c for c in wanted.columns if c not in keys]
+    left = existing.select(*keys, F.struct(*values).alias("_old"))
+    right = wanted.select(*keys, F.struct(*values).alias("_new"))
+    action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(~F.col("_old").eqNullSafe(F.col("_new")), "update").otherwise("keep")
+    return left.join(right, keys, "full").select(*keys, action.alias("action"))

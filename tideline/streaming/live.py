@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 def source(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_trigger: int = 64) -> DataFrame:
@@ -40,3 +43,31 @@ def run_to_end(frame: DataFrame, name: str, mode: str, checkpoint: str) -> DataF
 def append_to(frame: DataFrame, path: str, checkpoint: str):
     """Append to Parquet exactly once per batch."""
     return frame.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Heartbeat(StreamingQueryListener):
+    """Keeps the last progress of each query by name: batch, rows and watermark; ``stale`` names the silent ones."""
+
+    def __init__(self):
+        self.last: dict[str, dict] = {}
+
+    def onQueryStarted(self, event):
+        self.last[event.name or str(event.id)] = {"batch": None, "rows": 0, "watermark": None, "at": time.monotonic()}
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.last[p.name or str(p.id)] = {"batch": p.batchId, "rows": p.numInputRows, "watermark": p.eventTime.get("watermark"), "at": time.monotonic()}
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def stale(self, seconds: float) -> list[str]:
+        return sorted(n for n, p in self.last.items() if time.monotonic() - p["at"] > seconds)
+
+
+def first_receipts(stream: DataFrame, keys: list[str], clock: str, delay: str, receipt: str) -> DataFrame:
+    """Per key the earliest receipt within the watermark's windows of an hour; state goes as the watermark passes."""
+    return stream.withWatermark(clock, delay).groupBy(F.window(clock, "1 hour"), *keys).agg(F.min(receipt).alias("first_receipt")).select(*keys, F.col("window.start").alias("hour"), "first_receipt")
