@@ -170,3 +170,14 @@ def test_vectors_in_blocks(spark, monkeypatch):
 
 def test_no_vectors(spark):
     assert embed_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_ids_are_kept_or_dropped_either_way(spark, monkeypatch):
+    from tideline.llm import common
+
+    frame = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
+    ids = spark.createDataFrame([(2,), (2,), (9,), (None,)], "x long")
+    for bound in (common.BROADCAST_IDS, 0):
+        monkeypatch.setattr(common, "BROADCAST_IDS", bound)
+        assert sorted(r.text for r in common.by_ids(frame, "doc_id", ids, "left_semi").collect()) == ["b", "c"]
+        assert sorted(r.text for r in common.by_ids(frame, "doc_id", ids, "left_anti").collect()) == ["a", "d"]

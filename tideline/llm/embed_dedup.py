@@ -20,7 +20,7 @@ from . import common, components
 #: At a cosine of 0.98 a sign agrees with probability 0.936, so 24 tables of 16 signs miss 4 links in 100,000.
 BITS, TABLES = 16, 24
 #: Members of a bucket that one block holds, and rows of small buckets that one task takes together.
-BLOCK, SHELF = 512, 4_000
+BLOCK, SHELF = 512, 1_000
 
 
 @lru_cache(maxsize=16)

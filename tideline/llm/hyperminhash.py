@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     sketches = common.stored(texts.mapInArrow(_sketched(words), _SKETCH_DDL))
     filled = sketches.where("n_shingles > 0 and doc_key is not null")
     classes = common.stored(filled.groupBy("set_a", "set_b").agg(F.min("doc_key").alias("doc"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")))
-    sets = classes.groupBy("doc").agg(F.max(F.struct("n_shingles", "registers")).alias("s")).select("doc", "s.*")
+    # written, so that joins with it stand on plain exchanges, which Spark splits where one head has many copies
+    sized = common.stored(classes.groupBy("doc").agg(F.max(F.struct("n_shingles", "registers")).alias("s")).select("doc", "s.*"))
 
     bands = common.stored(classes.select("doc", "registers").mapInArrow(_banded, "band long, doc long"))
     heads = bands.groupBy("band").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last").drop("last")
@@ -255,17 +256,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
 
     first = shared.where("head <> doc").groupBy(F.col("doc").alias("y"), F.col("head").alias("x")).count()
     first = first.groupBy("y").agg(F.max_by("x", F.struct("count", -F.col("x"))).alias("x"))
-    sized = sets.select("doc", "n_shingles", "registers")
     first = first.join(sized.toDF("x", "nx", "rx"), "x").join(sized.toDF("y", "ny", "ry"), "y").mapInArrow(_chosen(least), "x long, y long")
     links = confirmed(first)
     found = components.components(links)
 
     placed = shared.select("band", "doc").distinct().join(found, F.col("doc") == F.col("node"), "left").select("band", "doc", F.coalesce("component", "doc").alias("component"))
-    spread = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a < b").drop("a", "b")
-    open_rows = placed.join(spread, "band").join(sized, "doc")
-    n_blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own_block = F.pmod(F.xxhash64("doc"), n_blocks).cast("int")
-    blocked = open_rows.withColumn("block", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    # a bucket's largest component is compared with the rest, never with itself: its members are in one component already
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band")
+    spread = parts.agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("main_size"), F.sum("k").alias("size"), F.count("*").alias("n")).where("n > 1")
+    of_main, blocks = F.col("component") == F.col("main"), lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    mains, rests = blocks(F.col("main_size")), blocks(F.col("size") - F.col("main_size"))
+    block = F.when(of_main, rests + F.pmod(F.xxhash64("doc"), mains).cast("int")).otherwise(F.pmod(F.xxhash64("doc"), rests).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(of_main, rests).otherwise(rests + mains) - 1))
+    blocked = placed.join(spread, "band").join(sized, "doc").withColumn("block", block).withColumn("other", other)
     blocked = blocked.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "component", "n_shingles", "registers")
     members = common.stored(blocked.groupBy("band", "low", "high").applyInArrow(_open_members(least), blocked.schema))
     last = members.join(zipped, "doc").groupBy("band", "low", "high").applyInArrow(_joined(words, percent), "u long, v long")

@@ -54,7 +54,7 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """Languages and their log-likelihoods by bucket, from about ``sample_rows`` rows that have a text and a
     label, drawn by a hash of the id (all, where there are fewer). The result's size is bounded."""
     rows = common.own_columns(docs, key=id_column, text=text_column, lang=lang_column).where("text is not null and lang is not null")
-    share = min(1.0, sample_rows / max(1, rows.count()))
+    share = min(1.0, sample_rows / max(1, docs.where(F.col(lang_column).isNotNull()).count()))
     drawn = rows.where(F.pmod(F.xxhash64("key", F.length("text")), F.lit(1 << 20)) < int(share * (1 << 20)))
     schema = pa.schema([("lang", pa.string()), ("rows", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
 

@@ -24,8 +24,10 @@ from . import common, pretokens
 _CUT = regex.compile(pretokens.WORD_LEVEL).findall
 #: Words whose ids a Python worker keeps, of those seen last and of those before them.
 _CACHE_WORDS = 250_000
-#: Bytes of text for each random group; a group's pieces are packed in one task.
-GROUP_BYTES = 8_000_000
+#: Documents of each random group, and whole pieces of each further one; a group is packed in one task.
+GROUP_ROWS, GROUP_WHOLE = 4_096, 1_024
+#: Groups of whole pieces are numbered from here on.
+_WHOLE, _WHOLE_OF_TASK = 1 << 30, 1 << 10
 _PIECES = pa.schema([("grp", pa.int64()), ("doc_key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 _PIECES_DDL = "grp long, doc_key long, start long, length long, doc_tokens long, ids binary"
 
@@ -92,15 +94,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def _pieces(path: str, room: int, end_id: int, groups: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
-        row = TaskContext.get().partitionId() << 36
+        task = TaskContext.get().partitionId()
+        row, whole = task << 36, 0
         for keys, texts in common.chunks(batches, most=2_000_000):
             grp = (_mixed(np.arange(row, row + len(keys)) + 1) % np.uint64(groups)).astype(np.int64).tolist()
             row += len(keys)
             out: list[tuple] = []
-            for g, key, ids in zip(grp, keys, encoder(path)(texts), strict=True):
+            for own, key, ids in zip(grp, keys, encoder(path)(texts), strict=True):
                 ids += end
                 total = len(ids) // 4
-                out += [(g, key, start, min(room, total - start), total, ids[4 * start : 4 * (start + room)]) for start in range(0, total, room)]
+                for start in range(0, total, room):
+                    length, g = min(room, total - start), own
+                    if length == room:  # it fills a sequence alone; such pieces of long documents don't swell the random groups
+                        g, whole = _WHOLE + task * _WHOLE_OF_TASK + whole // GROUP_WHOLE, whole + 1
+                    out.append((g, key, start, length, total, ids[4 * start : 4 * (start + room)]))
             yield from common.rows_out(_PIECES, list(zip(*out, strict=True)), 2_000)
 
     return run
@@ -130,13 +137,13 @@ def _packed(room: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("doc_key", "ascending"), ("start", "ascending")])
         bins, offsets = first_fit_decreasing(group.column("length").to_numpy(), room)
-        first = group.column("grp")[0].as_py() << 32
+        first = group.column("grp")[0].as_py() << 20  # below 2 ** 53
         return group.drop_columns(["grp"]).append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
 
     return run
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, room: int = 4096, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, room: int = 4096, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
     """``grp, doc_key, start, length, doc_tokens, ids`` (little-endian unsigned 32-bit): each document encoded,
     closed with ``end_id`` and cut at multiples of ``room``, with the random group that it is packed in.
 
@@ -144,8 +151,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, room: int = 4096, end_id: int =
     an empty table gives no piece.
     """
     texts = common.own_columns(docs, doc_key=id_column, text=text_column).select(F.col("doc_key").cast("long"), "text")
-    total = texts.agg(F.sum(F.octet_length("text") + F.lit(4))).first()[0] or 0
-    groups = max(1, -(-total // group_bytes))
+    groups = max(1, -(-docs.count() // group_rows))  # of Parquet, from its footers
     return texts.mapInArrow(_pieces(tokenizer_path, room, end_id, groups), _PIECES_DDL)
 
 
