@@ -145,7 +145,7 @@ def regime_subsets(spark, sf):
     return d.select("rv", F.explode(F.array(F.lit("ALL"), regime)).alias("regime")).groupBy("regime").agg(F.count("*").alias("n"), r6(F.avg("rv")).alias("rv"))
 
 
-@query("strategy_economics", f"""WITH {GRID}, s AS (SELECT asset, session_date, bar, r, coalesce(sign(lag(r) OVER w), 0.0) AS position FROM returns WHERE r IS NOT NULL WINDOW w AS (PARTITION BY asset, session_date ORDER BY bar)),
+@query("strategy_economics", f"""WITH {GRID}, s AS (SELECT asset, session_date, bar, r, coalesce(sign(lag(r) OVER w), 0)::DOUBLE AS position FROM returns WHERE r IS NOT NULL WINDOW w AS (PARTITION BY asset, session_date ORDER BY bar)),
   t AS (SELECT *, abs(position - coalesce(lag(position) OVER (PARTITION BY asset, session_date ORDER BY bar), 0.0)) AS turnover FROM s), p AS (SELECT asset, turnover, position * r - 0.001 * turnover AS pnl FROM t)
   SELECT asset, count(pnl) AS n, {s6('avg(pnl)')} AS mean, {s6('avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END)')} AS hit_rate, {s6('sum(turnover)')} AS turnover, {s6('avg(pnl) / stddev_samp(pnl) * sqrt(252)')} AS sharpe FROM p GROUP BY 1""")
 def strategy_economics(spark, sf):
