@@ -43,11 +43,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with a digest of their ids, and their places in sequences.
-    ``packing.pack_documents`` gives the ids themselves, ``packing.sequences`` the padded rows."""
-    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    packed = packing.placed(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
-    return packed.select(F.col("doc_key").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    """Pieces of at most 4096 tokens with their ids, a digest of them, and their places in sequences;
+    ``packing.sequences`` gives the padded rows."""
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(F.col("doc_key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", F.base64("ids").alias("ids_base64"))
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tideline.llm import packing, pretokens, token_counts
+import corpus_pipeline
+from tideline.llm import packing, pretokens, queries, token_counts
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -87,6 +89,20 @@ def test_packing_holds_every_id_once(awkward, awkward_rows, word):
         assert at <= 64
 
 
+def test_registered_packing_returns_every_id(spark, tmp_path, sf, word):
+    texts = [(1, "one two three"), (1, "four five"), (None, None), (2, "a " * 9_000)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted(repr((i, [*word.encode(t or "", add_special_tokens=False).ids, 2])) for i, t in texts)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for packed in (queries.op5_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, sf)):
+        found = defaultdict(list)
+        for r in sorted(packed.collect(), key=lambda r: r.start):
+            ids = base64.b64decode(r.ids_base64)
+            assert len(ids) == 4 * r.length and zlib.crc32(ids) == r.ids_crc32
+            found[r.doc_id, r.doc_tokens].extend(np.frombuffer(ids, "<u4").tolist())
+        assert sorted(repr((i, ids)) for (i, _), ids in found.items()) == want
+
+
 def test_packing_an_empty_table(empty):
     assert packing.pack_documents(empty, WORD).collect() == []
 

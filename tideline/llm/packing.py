@@ -2,7 +2,7 @@
 
 First-fit decreasing: the bins' free room stands in a tournament tree, so the first bin with room is found
 in logarithmic time. Groups of pieces are drawn at random by the position of their document, whatever its
-key, and each group is packed on its own.
+key, and each group is packed on its own. Lengths alone decide the places; each piece's key brings its ids back.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ _CACHE_WORDS = 250_000
 GROUP_ROWS, GROUP_WHOLE = 4_096, 1_024
 #: Groups of whole pieces are numbered from here on.
 _WHOLE, _WHOLE_OF_TASK = 1 << 30, 1 << 10
-_PIECES = pa.schema([("grp", pa.int64()), ("doc_key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-_PIECES_DDL = "grp long, doc_key long, start long, length long, doc_tokens long, ids binary"
+_PIECES = pa.schema([("piece", pa.int64()), ("grp", pa.int64()), ("doc_key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+_PIECES_DDL = "piece long, grp long, doc_key long, start long, length long, doc_tokens long, ids binary"
 
 
 class _Encoder:
@@ -95,7 +95,7 @@ def _pieces(path: str, room: int, end_id: int, groups: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         task = TaskContext.get().partitionId()
-        row, whole = task << 36, 0
+        row, piece, whole = task << 36, task << 36, 0
         for keys, texts in common.chunks(batches, most=2_000_000):
             grp = (_mixed(np.arange(row, row + len(keys)) + 1) % np.uint64(groups)).astype(np.int64).tolist()
             row += len(keys)
@@ -107,7 +107,8 @@ def _pieces(path: str, room: int, end_id: int, groups: int):
                     length, g = min(room, total - start), own
                     if length == room:  # it fills a sequence alone; such pieces of long documents don't swell the random groups
                         g, whole = _WHOLE + task * _WHOLE_OF_TASK + whole // GROUP_WHOLE, whole + 1
-                    out.append((g, key, start, length, total, ids[4 * start : 4 * (start + room)]))
+                    out.append((piece, g, key, start, length, total, ids[4 * start : 4 * (start + room)]))
+                    piece += 1
             yield from common.rows_out(_PIECES, list(zip(*out, strict=True)), 2_000)
 
     return run
@@ -144,8 +145,9 @@ def _packed(room: int):
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, room: int = 4096, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``grp, doc_key, start, length, doc_tokens, ids`` (little-endian unsigned 32-bit): each document encoded,
-    closed with ``end_id`` and cut at multiples of ``room``, with the random group that it is packed in.
+    """``piece, grp, doc_key, start, length, doc_tokens, ids`` (little-endian unsigned 32-bit): each document encoded,
+    closed with ``end_id`` and cut at multiples of ``room``, with a key of its own and the random group that it is
+    packed in. Keys and groups go by row position: write the pieces once before they are read twice.
 
     Null texts are empty and give the end id alone. Every row of ``docs`` counts, repeated rows and null ids too;
     an empty table gives no piece.
@@ -163,8 +165,14 @@ def placed(cut: DataFrame, room: int = 4096) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, room: int = 4096, **options) -> DataFrame:
-    """Pieces with their ids and places: ``doc_key, start, length, doc_tokens, ids, sequence_id, offset``."""
-    return placed(pieces(docs, tokenizer_path, room, **options), room)
+    """Pieces with their ids and places: ``doc_key, start, length, doc_tokens, ids, sequence_id, offset``.
+
+    The pieces are written once, lengths are placed without ids, and the places, small beside the ids, are joined
+    back by the piece's key. Their side is hashed, so ids are shuffled but never sorted or held in a group.
+    """
+    cut = common.stored(pieces(docs, tokenizer_path, room, **options))
+    places = placed(cut.select("piece", "grp", "doc_key", "start", "length"), room).select("piece", "sequence_id", "offset")
+    return cut.drop("grp").join(places.hint("shuffle_hash"), "piece").select("doc_key", "start", "length", "doc_tokens", "ids", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame, room: int = 4096, pad_id: int = 0) -> DataFrame:
