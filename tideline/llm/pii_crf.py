@@ -1,8 +1,9 @@
 """Personal data in texts (operator 6): fixed patterns, and a linear-chain conditional random field.
 
-The field labels white-space tokens that hold a digit or an at sign; any other token is outside by definition,
-so the chain falls apart into short runs, which Viterbi decodes in numpy batches. It is trained by gradient
-ascent on a small labelled table. Its spans are added where no pattern's span stands.
+The field labels every white-space token. Scores come from tables by distinct word; a token whose change to outside
+would better any path is outside in the best one, which parts the chain into runs without loss, and Viterbi decodes
+the runs in numpy batches. It is trained by gradient ascent on a small labelled table. Its spans are added where no
+pattern's span stands.
 """
 
 from __future__ import annotations
@@ -89,26 +90,40 @@ def shape(word: str) -> str:
         c = m[0][0]
         return ("0" if c.isdigit() else "A" if c.isupper() else "a") + (str(len(m[0])) if len(m[0]) <= 4 else "+")
 
-    return re.sub(r"[0-9]+|[A-Z]+|[a-zß-ſ]+", run, word[:400])
+    return re.sub(r"[0-9]+|[A-Z]+|[a-zß-ſ]+", run, word)
 
 
-def features(words: list[str], i: int) -> list[str]:
-    """Word-shape features of token i, and of its neighbours."""
-    word = words[i].strip(_TRIM_LEFT + _TRIM_RIGHT) or words[i]
+def _trimmed(word: str) -> str:
+    return word.strip(_TRIM_LEFT + _TRIM_RIGHT)
+
+
+def own_features(raw: str) -> list[str]:
+    """Features of a token by itself."""
+    word = _trimmed(raw) or raw
     digits = sum(c.isdigit() for c in word)
     letters = sum(c.isalpha() for c in word)
-    coarse = re.sub(r"[0-9]+", "0", re.sub(r"[A-Za-zß-ſ]+", "a", word[:400]))
+    coarse = re.sub(r"[0-9]+", "0", re.sub(r"[A-Za-zß-ſ]+", "a", word))
     hexed = len(word) >= 16 and re.fullmatch(r"[0-9a-f]+", word) is not None
-    near = lambda k: words[k].strip(_TRIM_LEFT + _TRIM_RIGHT).lower() if 0 <= k < len(words) else "<>"
-    beside = lambda k: shape(words[k]) if 0 <= k < len(words) and _MARK.search(words[k]) else "-"
     return [
-        "bias", f"shape={shape(word)}", f"raw={shape(words[i])}", f"coarse={coarse[:24]}", f"digits={min(digits, 20)}", f"letters={min(letters, 12)}",
+        "bias", f"shape={shape(word)}", f"raw={shape(raw)}", f"coarse={coarse}", f"digits={min(digits, 20)}", f"letters={min(letters, 12)}",
         f"long={min(len(word) // 4, 10)}", f"mixed={digits > 2 and letters > 2}/{len(word) >= 16}", f"hex={hexed}", f"upper={word.isupper() and len(word) >= 16}",
-        f"at={'@' in word}/{'.' in word}", f"equals={'=' in word}", f"plus={words[i][:1] == '+'}", f"open={words[i][:1] == '('}",
-        f"prev={near(i - 1)}", f"prev2={near(i - 2)}", f"next={near(i + 1)}", f"before={beside(i - 1)}", f"after={beside(i + 1)}",
+        f"at={'@' in word}/{'.' in word}", f"equals={'=' in word}", f"plus={raw[:1] == '+'}", f"open={raw[:1] == '('}", f"head={word[:4]}",
     ]
 
 
+def near_features(raw: str | None) -> list[list[str]]:
+    """What a token, or the text's edge, tells the next one, the one after that, and the one before."""
+    near = "<>" if raw is None else _trimmed(raw).lower()
+    beside = shape(raw) if raw is not None and _MARK.search(raw) else "-"
+    return [[f"prev={near}", f"before={beside}"], [f"prev2={near}"], [f"next={near}", f"after={beside}"]]
+
+
+def features(words: list[str], i: int) -> list[str]:
+    """Word-shape features of token i, and of its neighbours."""
+    at = lambda k: near_features(words[k] if 0 <= k < len(words) else None)
+    return own_features(words[i]) + at(i - 1)[0] + at(i - 2)[1] + at(i + 1)[2]
+
+
 def labelled_rows(n: int = 900, seed: int = 5) -> list[tuple[str, list[Span]]]:
     """The small labelled table: sentences with marked personal data, and with numbers that are none."""
     rnd = random.Random(seed)
@@ -145,25 +160,47 @@ def labelled_rows(n: int = 900, seed: int = 5) -> list[tuple[str, list[Span]]]:
     return rows
 
 
+def letter_rows(n: int = 400, seed: int = 6) -> list[tuple[str, list[Span]]]:
+    """Further labelled rows: secrets of letters alone, among words of every case and length, marks and addresses."""
+    rnd = random.Random(seed)
+    pick = lambda letters, low, high: "".join(rnd.choice(letters) for _ in range(rnd.randint(low, high)))
+    small, capital = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    word = lambda k: "".join(rnd.choice(["an", "er", "the", "ou", "st", "in", "ße", "li", "mo", "ka", "ä", "qu", "é", "sch"]) for _ in range(rnd.randint(1, k)))
+    secret = [lambda: "AKIA" + pick(capital, 16, 16), lambda: f"password={pick(small, 8, 24)}", lambda: f"password={pick(small + capital, 8, 24)}", lambda: f'token = "{pick(small + capital, 24, 40)}"', lambda: f"api_key={pick(small + capital, 20, 40)}"]
+    clean = [lambda: word(4), lambda: word(12), lambda: word(4).title(), lambda: word(10).title(), lambda: word(4).upper(), lambda: word(9).upper(), lambda: word(3) + "-" + word(3), lambda: word(3) + "'" + word(1), lambda: word(3) + rnd.choice(".,;:!?"), lambda: f"({word(3)})", lambda: f'"{word(3).title()}"', lambda: rnd.choice(["-", "=", "&", "|", "*", "###", "$$$", "%%%", "...", "--"]), lambda: f"https://{word(3)}.example.org/{word(2)}/{word(3)}", lambda: f"{word(2)}={word(2)}", lambda: f"{word(3)}:", lambda: f"password {word(2)}", lambda: f"token {word(2)}", lambda: f"the {word(3)} = {word(2)}", lambda: f"<{word(2)}>", lambda: f"{word(2)}_{word(2)}()", lambda: pick(small, 1, 9)]
+    rows = []
+    for _ in range(n):
+        text, spans = "", []
+        for _ in range(rnd.randint(4, 12)):
+            if rnd.random() < 0.1:
+                own = rnd.choice(secret)()
+                quoted = own.find('"') + 1
+                spans.append((len(text) + quoted, len(text) + len(own) - (quoted > 0), "secret"))
+                text += own + rnd.choice(["", "", ".", ",", "###", "$$$"]) + " "
+            else:
+                text += rnd.choice(clean)() + " "
+        rows.append((text, spans))
+    return rows
+
+
+def training_rows() -> list[tuple[str, list[Span]]]:
+    """The labelled table that a field is trained on where none is given."""
+    return labelled_rows() + letter_rows()
+
+
 def _runs(text: str) -> list[list[tuple[int, int, list[str], int]]]:
-    """Runs of neighbouring tokens that hold a digit or an at sign: start, end, words around, own place in them."""
-    if not _MARK.search(text):
-        return []
-    words, places, marked = [], [], []
-    for m in _TOKEN.finditer(text):
-        words.append(m[0])
-        places.append(m.span())
-        marked.append(_MARK.search(m[0]) is not None)
-    runs: list[list] = []
-    last = -2
-    for i, x in enumerate(marked):
-        if x:
-            if i != last + 1:
-                runs.append([])
-            low = max(0, i - 2)
-            runs[-1].append((*places[i], words[low : i + 3], i - low))
-            last = i
-    return runs
+    """All tokens of a text as one run, none of an empty one: start, end, words around, own place in them."""
+    found = [(m[0], *m.span()) for m in _TOKEN.finditer(text)]
+    words = [w for w, _, _ in found]
+    run = [(a, b, words[max(0, i - 2) : i + 3], min(i, 2)) for i, (_, a, b) in enumerate(found)]
+    return [run] if run else []
+
+
+_FORM = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "a" * 26 + "A" * 26)
+#: Distinct words, and their characters, whose scores a field remembers from one batch to the next.
+_WORDS, _WORD_CHARS = 60_000, 4_000_000
+#: How often the bounds on a token's labels are narrowed by its neighbours; more only costs time.
+ROUNDS = 1
 
 
 class Field:
@@ -171,16 +208,116 @@ class Field:
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray, start: np.ndarray):
         self.index, self.emit, self.move, self.start = index, emit, move, start
+        self._forget()
+
+    def __getstate__(self):
+        return self.index, self.emit, self.move, self.start
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _forget(self) -> None:
+        self._known: dict[str | None, int] = {}
+        self._forms: dict[str, int] = {}
+        self._form_sums: list[np.ndarray] = []
+        self._tables, self._chars = np.zeros((0, 4, len(LABELS))), 0
+
+    def _sum(self, names: list[str]) -> np.ndarray:
+        return self.emit[[self.index[f] for f in names if f in self.index]].sum(axis=0)
+
+    def emissions(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by token and label of all texts' tokens one after another, with two empty rows before each text
+        and at the end; and the first token's row of each text."""
+        if len(self._known) > _WORDS or self._chars > _WORD_CHARS:
+            self._forget()
+        known = self._known
+        new = list(dict.fromkeys(w for w in set().union([None], *texts) if w not in known))
+        if new:
+            made, parts = np.empty((len(new), 4, len(LABELS))), np.full((len(new), 5), -1)
+            slow = []
+            for k, w in enumerate(new):
+                known[w] = len(self._tables) + k
+                self._chars += len(w or "")
+                if w is None or len(w) >= 16 or _MARK.search(w):
+                    slow.append(k)
+                    continue
+                # such words of one form differ by their first letters and as neighbours alone
+                form = w.translate(_FORM)
+                if (own := self._forms.get(form)) is None:
+                    own = self._forms[form] = len(self._form_sums)
+                    self._form_sums.append(self._sum(own_features(w)[:-1]))
+                trimmed = _trimmed(w)
+                near = trimmed.lower()
+                get = self.index.get
+                parts[k] = own, get(f"head={(trimmed or w)[:4]}", -1), get(f"prev={near}", -1), get(f"prev2={near}", -1), get(f"next={near}", -1)
+            emit = np.vstack([self.emit, np.zeros(len(LABELS))])  # its last row, -1, stands for an unknown feature
+            made[:] = emit[np.c_[parts[:, 1], parts[:, 2], parts[:, 3], parts[:, 4]]]
+            made[:, 1] += self._sum(["before=-"])
+            made[:, 3] += self._sum(["after=-"])
+            if self._form_sums:
+                made[:, 0] += np.array(self._form_sums)[parts[:, 0]]
+            for k in slow:
+                made[k] = [np.zeros(len(LABELS)) if new[k] is None else self._sum(own_features(new[k])), *map(self._sum, near_features(new[k]))]
+            self._tables = np.concatenate([self._tables, made])
+        edge = [known[None]] * 2
+        ids: list[int] = []
+        first = []
+        for words in texts:
+            ids += edge
+            first.append(len(ids))
+            ids += map(known.__getitem__, words)
+        at = np.array(ids + edge)
+        out = self._tables[at, 0]
+        out[1:] += self._tables[at[:-1], 1]
+        out[2:] += self._tables[at[:-2], 2]
+        out[:-1] += self._tables[at[1:], 3]
+        return out, np.array(first, int)
 
     def scores(self, run) -> np.ndarray:
-        out = np.zeros((len(run), len(LABELS)))
-        for k, (_, _, words, i) in enumerate(run):
-            at = [self.index[f] for f in features(words, i) if f in self.index]
-            out[k] = self.emit[at].sum(axis=0)
-        return out
+        return self.emissions([[words[i] for _, _, words, i in run]])[0][2:-2]
+
+    def outside(self, scores: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether a token is outside in every best path, of texts in rows ``first`` to ``ends``. How far the best
+        way to a label may lead the best way to outside is bounded whatever stands before, and likewise behind;
+        a round over the neighbours narrows the bounds. Where they leave each label behind, none can win."""
+        to, gain = self.move - self.move[:, :1], scores - scores[:, :1]
+        edge = self.start - self.start[0]
+        plain = [i for i, n in enumerate(LABELS) if n[0] != "I"]
+        inner = [(LABELS.index(f"B-{kind}"), LABELS.index(f"I-{kind}")) for kind in FIELD_KINDS]
+        sure = np.zeros(len(scores), bool)
+        for low in range(0, len(scores), 4_096):
+            # rows beside the block only lend their bounds
+            a, b = max(0, low - 2), min(len(scores), low + 4_098)
+            own = gain[a:b]
+            begins, stops = first[(first >= a) & (first < b)] - a, ends[(ends > a) & (ends <= b)] - a - 1
+            ahead, behind = np.tile(to.max(axis=0), (b - a, 1)), np.tile((self.move - self.move[:1])[:, plain].max(axis=1), (b - a, 1))
+            for x, y in inner:  # a span that goes on behind could begin anew there
+                anew = own[1:, y] - own[1:, x] + max(0.0, (self.move[y, [*plain, y]] - self.move[x, [*plain, y]]).max())
+                for label in (x, y):
+                    behind[:-1, label] = np.maximum(behind[:-1, label], self.move[label, y] - self.move[0, x] + anew)
+            behind[-1] = np.inf
+            ahead[begins], behind[stops] = edge, 0.0
+            for _ in range(ROUNDS):
+                lead, rest = (own + ahead)[:-1], (own + behind)[1:]
+                came, goes = np.full(lead.shape, -np.inf), np.full(rest.shape, -np.inf)
+                for label in range(len(LABELS)):
+                    np.maximum(came, lead[:, label, None] + self.move[label], out=came)
+                    np.maximum(goes, rest[:, label, None] + self.move[:, label], out=goes)
+                came[:, 0], goes[:, 0] = self.move[0, 0], self.move[0, 0]
+                ahead[1:], behind[:-1] = np.minimum(ahead[1:], came - self.move[0, 0]), np.minimum(behind[:-1], goes - self.move[0, 0])
+                ahead[begins], behind[stops] = edge, 0.0
+            top = min(len(scores), low + 4_096)
+            sure[low:top] = ((own + ahead + behind)[low - a : top - a, 1:] < -1e-6).all(axis=1)
+        return sure
 
     def viterbi(self, runs: list) -> list[list[int]]:
-        """Best labels of many runs at once, those of like length together."""
+        """Best labels of many runs at once."""
+        scores = [self.scores(run) for run in runs]
+        return self.decoded(scores, [(True, True)] * len(runs))
+
+    def decoded(self, runs: list[np.ndarray], edges: list[tuple[bool, bool]]) -> list[list[int]]:
+        """Best labels of runs by their scores, those of like length together; ``edges`` say whether a run begins
+        and ends its text, or stands beside an outside token."""
         out: list[list[int]] = [[] for _ in runs]
         order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
         at = 0
@@ -192,14 +329,14 @@ class Field:
             lengths = np.array([len(runs[i]) for i in batch])
             padded = np.zeros((len(batch), lengths.max(), len(LABELS)))
             for b, i in enumerate(batch):
-                padded[b, : lengths[b]] = self.scores(runs[i])
-            best = self.start + padded[:, 0]
+                padded[b, : lengths[b]] = runs[i]
+            best = padded[:, 0] + np.where([[edges[i][0]] for i in batch], self.start, self.move[0])
             back = np.zeros(padded.shape, np.int16)
             for t in range(1, padded.shape[1]):
                 way = best[:, :, None] + self.move
                 back[:, t] = way.argmax(axis=1)
                 best = np.where((t < lengths)[:, None], way.max(axis=1) + padded[:, t], best)
-            label = best.argmax(axis=1)
+            label = (best + np.where([[edges[i][1]] for i in batch], 0.0, self.move[:, 0])).argmax(axis=1)
             for b, i in enumerate(batch):
                 path = [int(label[b])]
                 for t in range(lengths[b] - 1, 0, -1):
@@ -207,15 +344,33 @@ class Field:
                 out[i] = path[::-1]
         return out
 
+    def labels(self, texts: list[list[str]]) -> list[list[int] | None]:
+        """Best labels of each text's words; None where all are outside."""
+        scores, first = self.emissions(texts)
+        ends = first + np.array([len(words) for words in texts], int)
+        some = ends > first
+        open_ = ~self.outside(scores, first[some], ends[some])
+        open_[0] = False  # as are all rows between texts
+        for k in range(2):
+            open_[np.r_[first - 1 - k, len(scores) - 1 - k].astype(int)] = False
+        turn = np.flatnonzero(np.diff(np.r_[False, open_, False]))
+        low, high = turn[::2], turn[1::2]
+        text = np.searchsorted(first, low, "right") - 1
+        out: list[list[int] | None] = [None] * len(texts)
+        paths = self.decoded([scores[a:b] for a, b in zip(low, high, strict=True)], [(a == first[n], b == ends[n]) for n, a, b in zip(text, low, high, strict=True)])
+        for n, a, path in zip(text.tolist(), low.tolist(), paths, strict=True):
+            if any(path):
+                own = out[n] = out[n] or [0] * len(texts[n])
+                own[a - first[n] : a - first[n] + len(path)] = path
+        return out
+
     def spans(self, texts: list[str]) -> list[list[Span]]:
         """The field's spans in each text, without brackets and marks around them."""
-        where, runs = [], []
-        for n, text in enumerate(texts):
-            for run in _runs(text):
-                where.append(n)
-                runs.append(run)
         out: list[list[Span]] = [[] for _ in texts]
-        for n, run, labels in zip(where, runs, self.viterbi(runs), strict=True):
+        for n, labels in enumerate(self.labels([text.split() for text in texts])):
+            if labels is None:
+                continue
+            run = [m.span() for m in _TOKEN.finditer(texts[n])]
             open_at = None
             for k in range(len(run) + 1):
                 name = LABELS[labels[k]] if k < len(run) else "O"
@@ -236,15 +391,15 @@ class Field:
 
 
 def train(rows: Iterable[tuple[str, list[Span]]], rounds: int = 150, rate: float = 0.2, ridge: float = 2e-4) -> Field:
-    """Fit the field to labelled texts by gradient ascent on the penalised likelihood (forward-backward in log
-    space). The table is small, so this runs where it is called."""
+    """Fit the field to labelled texts by gradient ascent on the penalised likelihood (forward-backward, scaled
+    at each token). The table is small, so this runs where it is called."""
     runs, golds = [], []
     for text, spans in rows:
         for run in _runs(text):
             gold = []
-            for a, b, _, _ in run:
+            for t, (a, b, _, _) in enumerate(run):
                 hit = next((s for s in spans if s[0] < b and a < s[1]), None)
-                started = hit is not None and any(s < a and e > hit[0] for s, e, _, _ in run)
+                started = hit is not None and any(s < a and e > hit[0] for s, e, _, _ in run[max(0, t - 20) : t])
                 gold.append(0 if hit is None else LABELS.index(("I-" if started else "B-") + hit[2]))
             runs.append(run)
             golds.append(gold)
@@ -270,6 +425,9 @@ def train(rows: Iterable[tuple[str, list[Span]]], rounds: int = 150, rate: float
             token_at[r, t], gold_at[r, t] = tokens, golds[r][t]
             tokens += 1
     flat_feature, flat_token = np.array(flat_feature), np.array(flat_token)
+    by_feature = np.argsort(flat_feature, kind="stable")
+    token_of, feature_starts = flat_token[by_feature], np.searchsorted(flat_feature[by_feature], np.arange(len(index)))
+    token_starts = np.searchsorted(flat_token, np.arange(tokens))
     real = token_at >= 0
     weights = [np.zeros((len(index), k)), np.zeros((k, k)), np.zeros(k)]
     # an inside label follows only its own kind
@@ -280,37 +438,31 @@ def train(rows: Iterable[tuple[str, list[Span]]], rounds: int = 150, rate: float
     barred_start = np.where([n[0] == "I" for n in LABELS], -1e4, 0.0)
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
 
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
+    both = real[:, 1:]
+    gold_pairs = np.zeros((k, k))
+    np.add.at(gold_pairs, (gold_at[:, :-1][both], gold_at[:, 1:][both]), 1.0)
     for step in range(1, rounds + 1):
         emit, move, start = weights[0], weights[1] + barred, weights[2] + barred_start
-        per_token = np.zeros((tokens, k))
-        np.add.at(per_token, flat_token, emit[flat_feature])
-        scores = np.where(real[:, :, None], per_token[token_at], 0.0)
-        forward = np.zeros(scores.shape)
-        forward[:, 0] = start + scores[:, 0]
-        for t in range(1, longest):
-            forward[:, t] = np.where(real[:, t, None], lse(forward[:, t - 1, :, None] + move, 1) + scores[:, t], forward[:, t - 1])
-        total = lse(forward[:, -1], 1)
-        backward = np.zeros(scores.shape)
+        per_token = np.add.reduceat(emit[flat_feature], token_starts)  # every token has the bias
+        local = np.where(real[:, :, None], np.exp(per_token - per_token.max(axis=1, keepdims=True))[token_at], 1.0)
+        step_to, scale = np.exp(move - move.max()), np.ones((*real.shape, 1))
+        forward, backward = np.empty(local.shape), np.ones(local.shape)
+        for t in range(longest):
+            on = real[:, t, None]
+            way = (forward[:, t - 1] @ step_to if t else np.exp(start - start.max())) * local[:, t]
+            total = way.sum(axis=1, keepdims=True)
+            forward[:, t] = np.where(on, way / total, forward[:, t - 1])
+            scale[:, t] = np.where(on, total, 1.0)
         for t in range(longest - 2, -1, -1):
-            backward[:, t] = np.where(real[:, t + 1, None], lse(move + (scores[:, t + 1] + backward[:, t + 1])[:, None, :], 2), 0.0)
-        belief = np.exp(forward + backward - total[:, None, None])
-        gap = -belief
-        np.add.at(gap, (*np.nonzero(real), gold_at[real]), 1.0)
+            way = (local[:, t + 1] * backward[:, t + 1] / scale[:, t + 1]) @ step_to.T
+            backward[:, t] = np.where(real[:, t + 1, None], way, 1.0)
+        gap = -forward * backward
+        gap[(*np.nonzero(real), gold_at[real])] += 1.0
         gap[~real] = 0
-        grads = [np.zeros_like(w) for w in weights]
         token_gap = np.zeros((tokens, k))
         token_gap[token_at[real]] = gap[real]
-        np.add.at(grads[0], flat_feature, token_gap[flat_token])
-        grads[2] += gap[:, 0].sum(axis=0)
-        for t in range(1, longest):
-            on = real[:, t]
-            pair = np.exp(forward[on, t - 1, :, None] + move + (scores[on, t] + backward[on, t])[:, None, :] - total[on, None, None])
-            grads[1] -= pair.sum(axis=0)
-            np.add.at(grads[1], (gold_at[on, t - 1], gold_at[on, t]), 1.0)
+        came = (local * backward / scale)[:, 1:][both]
+        grads = [np.add.reduceat(token_gap[token_of], feature_starts), gold_pairs - step_to * (forward[:, :-1][both].T @ came), gap[:, 0].sum(axis=0)]
         for w, g, (m, v) in zip(weights, grads, moments, strict=True):
             g = g / len(runs) - ridge * w
             m += 0.1 * (g - m)
@@ -334,7 +486,7 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Spa
 def find(docs: DataFrame, field: Field | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_key, base, spans`` per row: arrays of (kind, start, end) in code points, end exclusive, by start and
     then kind. A null text is empty. Texts are searched whole, in time linear in their length."""
-    made = docs.sparkSession.sparkContext.broadcast(field or train(labelled_rows()))
+    made = docs.sparkSession.sparkContext.broadcast(field or train(training_rows()))
     texts = common.own_columns(docs, doc_key=id_column, text=text_column).select(F.col("doc_key").cast("long"), "text")
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_key", pa.int64()), ("base", span), ("spans", span)])
@@ -365,5 +517,5 @@ def redacted(text: str | None, spans: list[Span]) -> str | None:
 
 def redact(docs: DataFrame, field: Field | None = None, text_column: str = "text") -> DataFrame:
     """``docs``, all columns, with the spans of each text masked; nothing is shuffled."""
-    made = docs.sparkSession.sparkContext.broadcast(field or train(labelled_rows()))
+    made = docs.sparkSession.sparkContext.broadcast(field or train(training_rows()))
     return common.texts_changed(docs, text_column, lambda: lambda texts: [redacted(t, a) for t, (_, a) in zip(texts, all_spans([t or "" for t in texts], made.value), strict=True)])
