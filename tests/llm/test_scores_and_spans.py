@@ -71,6 +71,16 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == set(range(len(docs) + 2)) - {d for d, _ in want}
 
 
+def test_short_items_are_searched(spark):
+    items = ["What is the capital of Australia?", "E = mc2", "no", "", None]
+    texts = ["we ask: what is the capital of australia", "What is the capitol of Australia? Canberra.", "e mc2", "so e = mc2, he said", "he mc2 e mc27", "oh no", "No.", "know nothing", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_key, r.item_key, r.distance) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert found == {(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 0), (5, 2, 0), (6, 2, 0)}
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()} == {4, 7, 8, 9}
+
+
 def test_leaks_of_awkward_tables(spark, awkward, awkward_rows, empty):
     bench = spark.createDataFrame([(1, "the quick brown fox the quick brown fox the quick brown fox"), (None, None)], "item_id long, text string")
     none = bench.where("false")

@@ -3,6 +3,7 @@
 A test item with an error budget of e edits is split into e + 1 pieces: wherever a document holds the item
 within that budget, it holds one piece exactly. All pieces of a slice of the benchmark are found in one pass
 of an Aho-Corasick automaton; the window around a hit is verified with Myers' bit-parallel edit distance.
+Items so short that their budget is none must stand as whole words.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from . import common
 
 #: Edits that an item may have lost or gained, as a share of its length.
 ERROR_RATE = 0.08
-#: Normalised items below this length could stand anywhere by chance; they are not searched.
-LEAST_CHARS = 40
 #: Characters of items in one slice of the benchmark: what a task holds, however large the benchmark.
 SLICE_CHARS = 4_000_000
 
@@ -78,8 +77,11 @@ class Matcher:
         places: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
             item = normalised(text)
-            if len(item) >= LEAST_CHARS:
-                errors = budget(len(item), rate)
+            errors = budget(len(item), rate)
+            if item and not errors:
+                places.setdefault(f" {item.decode('latin-1')} ", []).append((len(self.items), -1))
+                self.items.append((key, item, errors))
+            elif item:
                 for offset, piece in pieces(item, errors):
                     places.setdefault(piece.decode("latin-1"), []).append((len(self.items), offset))
                 self.items.append((key, item, errors))
@@ -94,9 +96,10 @@ class Matcher:
             return []
         text = normalised(text)
         hits: dict[int, set[int]] = {}
-        for end, (length, at) in self.found.iter(text.decode("latin-1")):
+        # a space on either side closes the first and last words; places count from the text's own start
+        for end, (length, at) in self.found.iter(f" {text.decode('latin-1')} "):
             for n, offset in at:
-                hits.setdefault(n, set()).add(end + 1 - length - offset)
+                hits.setdefault(n, set()).add(end - length - offset)
         out = []
         for n, starts in hits.items():
             key, item, errors = self.items[n]
@@ -133,7 +136,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     the item's error budget, with the least distance found.
 
     Texts are compared in lower case with runs of marks and white space as one space. Null and empty texts
-    match nothing; items under 40 such characters are not searched. Repeated documents and items give
+    match nothing; items whose budget is no error match whole words only. Repeated documents and items give
     repeated rows. The benchmark is taken in slices of bounded size, each one pass over the documents.
     """
     texts = common.own_columns(docs, doc_key=id_column, text=text_column).select(F.col("doc_key").cast("long"), "text")
