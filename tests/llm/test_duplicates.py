@@ -123,12 +123,72 @@ def test_awkward_documents(awkward, awkward_rows):
     for r in rows:
         by.setdefault(r.doc_key, []).append(r)
     assert {by[k][0].component_id for k in (5, 6, 7)} == {5} and len(by[5]) == 2
-    assert all(r.component_id is None and r.kept for r in by[None])
+    assert sorted((r.component_id is None, r.n_shingles) for r in by[None]) == [(False, 5), (True, 0)]  # one links with 5
     assert all(by[k][0].n_shingles == 0 and by[k][0].kept for k in (0, 1, 2))
 
 
 def test_no_documents(empty):
     assert hyperminhash.near_duplicates(empty).collect() == []
+    assert hyperminhash.without_near_duplicates(empty).collect() == []
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated ids, repeated rows, null ids and clashing columns: a row is dropped for its own text alone."""
+    rnd = random.Random(21)
+    texts = [" ".join(f"w{rnd.randrange(300)}" for _ in range(40)) for _ in range(8)]
+    near = [t + " tail" for t in texts]
+    rows = [
+        (1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[2]), (5, texts[3]), (5, texts[4]), (3, texts[3]),
+        (None, texts[5]), (None, texts[5]), (None, near[5]), (9, near[4]), (None, texts[6]), (7, texts[6]), (None, None), (4, ""), (4, ""),
+    ]
+    rows = [(*r, "c", 1.5, i) for i, r in enumerate(rows)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, component string, row_at double, place long").repartition(3)
+    kept = hyperminhash.without_near_duplicates(table)
+    assert kept.columns == table.columns
+    got = kept.collect()
+    sets = [word_sets(r[1], 5) for r in rows]
+    groups = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    want = []
+    for g in sorted(set(groups)):
+        members = [i for i in range(len(rows)) if groups[i] == g]
+        want.append(min((rows[i][0] is None, rows[i][0] or 0) for i in members))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(want)
+    assert {groups[r.place] for r in got} == set(groups) and len(got) == len(set(groups))
+    found = hyperminhash.near_duplicates(table).collect()
+    least = {g: min((rows[i][0] for i in range(len(rows)) if groups[i] == g and rows[i][0] is not None), default=None) for g in groups}
+    want = sorted(repr((rows[i][0], least[groups[i]] if sets[i] else rows[i][0])) for i in range(len(rows)))
+    assert sorted(repr((r.doc_key, r.component_id)) for r in found) == want
+
+
+def test_rows_of_a_scan_have_names(spark, sf, tmp_path):
+    from tideline.llm import common
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert common.scanned(docs) is docs and common.scanned(docs.where("doc_id > 3").select("text")).columns == ["text"]
+    assert docs.select(*common.row_name(docs)).distinct().count() == docs.count()
+    joined = docs.join(docs.select("doc_id"), "doc_id")
+    assert common.scanned(joined) is not joined and common.scanned(joined).count() == joined.count()
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tideline.llm import common
+
+    session = lambda master, root: SimpleNamespace(conf={"spark.checkpoint.dir": root}, sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(session("spark://host:7077", None))
+    assert common.shared_folder(session("spark://host:7077", "hdfs://x/y/")).startswith("hdfs://x/y/")
+    assert common.shared_folder(session("local[4]", None))
+
+
+def test_stored_steps_go(spark, sf):
+    import os
+
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    assert hyperminhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).count() > 0
+    assert len(set(os.listdir(root)) - before) <= 3
 
 
 def vectors(seed=2, n=220, size=24):

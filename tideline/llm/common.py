@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
+from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one chunk of documents may hold before it is worked on.
@@ -16,14 +19,20 @@ CHUNK_CHARS = 4_000_000
 CHUNK_DOCS = 60_000
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that setting is empty."""
+    """A fresh folder below ``spark.checkpoint.dir``. Where that setting is empty, a local master takes a
+    temporary folder; on a cluster that is an error, as executors would write to disks of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _own_folder()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -33,27 +42,91 @@ def stored(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = shared_folder(spark)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the folders of stored frames that nothing reads any more."""
+    for frame in frames:
+        if path := getattr(frame, "stored_at", None):
+            jvm = frame.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(frame.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+class Steps:
+    """The stored steps of one operator, deleted together once its result is stored."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, frame: DataFrame) -> DataFrame:
+        self.frames.append(stored(frame))
+        return self.frames[-1]
+
+    def result(self, frame: DataFrame) -> DataFrame:
+        out = stored(frame)
+        forget(*self.frames)
+        return out
 
 
 #: Ids that a broadcast may hold: some 20 MB.
 BROADCAST_IDS = 500_000
 
 
-def by_ids(frame: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of ``frame`` whose key is (``left_semi``) or is not (``left_anti``) in the one column of ``ids``.
+def by_ids(frame: DataFrame, key: str | list[str], ids: DataFrame, how: str) -> DataFrame:
+    """The rows of ``frame`` whose key is (``left_semi``, ``inner``) or is not (``left_anti``) among ``ids``, whose
+    first columns are the key; ``inner`` adds the others, and takes each key once.
 
     The ids are counted first: up to a bound they are broadcast, so that whole texts needn't be shuffled; beyond
     it both sides are shuffled by id.
     """
-    ids = ids.toDF("_id").distinct()
+    keys = [key] if isinstance(key, str) else key
+    ids = ids.toDF(*[f"_id{i}" for i in range(len(keys))], *ids.columns[len(keys) :])
+    if how != "inner":
+        ids = ids.distinct()
     few = ids.count() <= BROADCAST_IDS
-    return frame.join(F.broadcast(ids) if few else ids, frame[key] == ids["_id"], how)
+    same = reduce(and_, [frame[k] == ids[f"_id{i}"] for i, k in enumerate(keys)])
+    return frame.join(F.broadcast(ids) if few else ids, same, how).drop(*[f"_id{i}" for i in range(len(keys))])
+
+
+#: Plan nodes that pass the rows of a scan on, one by one.
+_PASSING = {"Project", "Filter", "SubqueryAlias", "View"}
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """``docs`` itself where each row has a name that every reading repeats (a scan of Parquet files, projected
+    or filtered); any other frame is stored first. Partition and position are no such name: both change when
+    executors are lost or the frame is computed anew."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in _PASSING:
+        plan = plan.children().head()
+    if "LogicalRelation" in plan.nodeName():
+        try:
+            docs.select(docs.metadataColumn("_metadata").getField("row_index"))
+            return docs
+        except AnalysisException:
+            pass
+    return stored(docs)
+
+
+def row_name(docs: DataFrame) -> list[Column]:
+    """The name of each row of a ``scanned`` frame: a hash of its file, and its place there."""
+    hidden = docs.metadataColumn("_metadata")
+    return [F.xxhash64(hidden.getField("file_path")).alias("row_file"), hidden.getField("row_index").alias("row_at")]
+
+
+def named_columns(docs: DataFrame, **names: str) -> DataFrame:
+    """As ``own_columns``, after ``row_file, row_at``; ``docs`` is ``scanned``."""
+    return docs.select(*row_name(docs), *[F.col(f"`{column}`").alias(name) for name, column in names.items()])
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows with whole texts are large: hand them to Python workers by the thousand."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Rows with whole texts are large: hand them to Python workers by the thousand, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def own_columns(docs: DataFrame, **names: str) -> DataFrame:
@@ -62,12 +135,15 @@ def own_columns(docs: DataFrame, **names: str) -> DataFrame:
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text_at: int = 1, most: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts (null: empty) in lists of bounded size; a single longer text comes alone."""
+    """Keys (the column before the text, or tuples of all of them) and texts (null: empty) in lists of bounded size;
+    a single longer text comes alone."""
     ids: list = []
     texts: list[str] = []
     held = 0
     for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
-        for key, text in zip(part.column(0).to_pylist(), part.column(text_at).to_pylist(), strict=True):
+        keys = [part.column(i).to_pylist() for i in range(text_at)]
+        keys = keys[0] if text_at == 1 else zip(*keys, strict=True)
+        for key, text in zip(keys, part.column(text_at).to_pylist(), strict=True):
             text = text or ""
             if texts and (held + len(text) > most or len(texts) >= CHUNK_DOCS):
                 yield ids, texts

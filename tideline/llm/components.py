@@ -54,6 +54,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         following = common.stored(_small_star(_large_star(current)))
         after = state(following)
+        common.forget(current)
         if after == before or after[0] == 0:
-            return following.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = following.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.stored_at = following.stored_at
+            return out
         current, before = following, after

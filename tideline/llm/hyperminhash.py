@@ -28,10 +28,11 @@ BANDS, ROWS = 25, 5
 _EMPTY = 0xFFFF
 #: Standard errors by which an estimate may lie below the threshold and still be confirmed on full sets.
 ERRORS = 4.0
-#: Members of a bucket that one block holds.
-BLOCK = 256
-_SKETCH = pa.schema([("doc_key", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.binary())])
-_SKETCH_DDL = "doc_key long, n_shingles long, set_a long, set_b long, registers binary"
+#: Members of a bucket that one block holds, and about how many shingles, whose texts meet in one task.
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+_LONGS = ("row_file", "row_at", "doc_key", "n_shingles", "set_a", "set_b")
+_SKETCH = pa.schema([*((c, pa.int64()) for c in _LONGS), ("registers", pa.binary())])
+_SKETCH_DDL = ", ".join(f"{c} long" for c in _LONGS) + ", registers binary"
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -104,12 +105,13 @@ def plausible(a, b, size_a, size_b, least: float) -> np.ndarray:
 
 def _sketched(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in common.chunks(batches, most=2_000_000):
+        for keys, texts in common.chunks(batches, text_at=3, most=2_000_000):
             for at in range(0, len(keys), 2_000):
                 sets = list(shingles.shingle_sets(texts[at : at + 2_000], words))
-                marks = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets])
-                codes = registers(sets)
-                yield from common.rows_out(_SKETCH, [keys[at : at + 2_000], [len(s) for s in sets], marks[:, 0], marks[:, 1], [c.tobytes() for c in codes]])
+                digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+                marks = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                names = zip(*keys[at : at + 2_000], strict=True)
+                yield from common.rows_out(_SKETCH, [*names, [len(s) for s in sets], marks[:, 0], marks[:, 1], [c.tobytes() for c in registers(sets)]])
 
     return run
 
@@ -228,55 +230,99 @@ def _confirmed(words: int, least: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_key, n_shingles, component_id, kept`` per row of ``docs``.
-
-    Documents link where their sets of shingles have a Jaccard similarity of ``percent`` or more; component_id
-    is the smallest id reachable by links. Null, empty and blank texts have no shingle and link with nothing;
-    shorter texts than a shingle are one. Rows with a null id stay alone, with a null component, and are kept.
-    Rows that repeat an id are one document. Exact copies are one class from the start, however many.
-    """
+def _grouped(docs: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """``row_file, row_at, doc_key, n_shingles, component, component_id`` per row of a scanned frame; the component
+    is null for rows without a shingle."""
+    steps = common.Steps()
     least = percent / 100
-    texts = common.own_columns(docs, doc_key=id_column, text=text_column).select(F.col("doc_key").cast("long"), "text")
-    sketches = common.stored(texts.mapInArrow(_sketched(words), _SKETCH_DDL))
-    filled = sketches.where("n_shingles > 0 and doc_key is not null")
-    classes = common.stored(filled.groupBy("set_a", "set_b").agg(F.min("doc_key").alias("doc"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")))
-    # written, so that joins with it stand on plain exchanges, which Spark splits where one head has many copies
-    sized = common.stored(classes.groupBy("doc").agg(F.max(F.struct("n_shingles", "registers")).alias("s")).select("doc", "s.*"))
-
-    bands = common.stored(classes.select("doc", "registers").mapInArrow(_banded, "band long, doc long"))
+    texts = common.named_columns(docs, doc_key=id_column, text=text_column)
+    texts = texts.select("row_file", "row_at", F.col("doc_key").cast("long"), "text")
+    sketches = steps(texts.mapInArrow(_sketched(words), _SKETCH_DDL))
+    # a class of equal sets is one node, whatever ids its rows have; its number is fixed by writing it
+    classes = sketches.where("n_shingles > 0").groupBy("set_a", "set_b").agg(
+        F.min("doc_key").alias("least_key"), F.min(F.struct("row_file", "row_at")).alias("row"),
+        F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"),
+    )
+    classes = steps(classes.withColumn("doc", F.monotonically_increasing_id()))
+    sized = classes.select("doc", "n_shingles", "registers")
+
+    bands = steps(sized.select("doc", "registers").mapInArrow(_banded, "band long, doc long"))
     heads = bands.groupBy("band").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last").drop("last")
-    shared = common.stored(bands.join(heads, "band"))
-    zipped = common.by_ids(texts, "doc_key", shared.select("doc"), "left_semi").select(F.col("doc_key").alias("doc"), "text").mapInArrow(_zipped, "doc long, zipped binary")
-    zipped = common.stored(zipped.groupBy("doc").agg(F.max("zipped").alias("zipped")))
+    shared = steps(bands.join(heads, "band"))
+    met = classes.select("row.*", "doc").join(shared.select("doc").distinct(), "doc", "left_semi")
+    named = common.by_ids(texts, ["row_file", "row_at"], steps(met.select("row_file", "row_at", "doc")), "inner")
+    zipped = steps(named.select("doc", "text").mapInArrow(_zipped, "doc long, zipped binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         zx, zy = zipped.toDF("x", "zx"), zipped.toDF("y", "zy")
-        return common.stored(pairs.join(zx, "x").join(zy, "y").mapInArrow(_confirmed(words, percent), "x long, y long"))
+        return steps(pairs.join(zx, "x").join(zy, "y").mapInArrow(_confirmed(words, percent), "x long, y long"))
 
     first = shared.where("head <> doc").groupBy(F.col("doc").alias("y"), F.col("head").alias("x")).count()
     first = first.groupBy("y").agg(F.max_by("x", F.struct("count", -F.col("x"))).alias("x"))
-    first = first.join(sized.toDF("x", "nx", "rx"), "x").join(sized.toDF("y", "ny", "ry"), "y").mapInArrow(_chosen(least), "x long, y long")
-    links = confirmed(first)
+    first = first.join(sized.toDF("x", "nx", "rx"), "x").join(sized.toDF("y", "ny", "ry"), "y")
+    links = confirmed(first.mapInArrow(_chosen(least), "x long, y long"))
     found = components.components(links)
 
-    placed = shared.select("band", "doc").distinct().join(found, F.col("doc") == F.col("node"), "left").select("band", "doc", F.coalesce("component", "doc").alias("component"))
+    placed = shared.select("band", "doc").distinct().join(found, F.col("doc") == F.col("node"), "left")
+    placed = placed.select("band", "doc", F.coalesce("component", "doc").alias("component")).join(sized, "doc")
     # a bucket's largest component is compared with the rest, never with itself: its members are in one component already
-    parts = placed.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band")
-    spread = parts.agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("main_size"), F.sum("k").alias("size"), F.count("*").alias("n")).where("n > 1")
-    of_main, blocks = F.col("component") == F.col("main"), lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    mains, rests = blocks(F.col("main_size")), blocks(F.col("size") - F.col("main_size"))
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("s")).groupBy("band")
+    spread = parts.agg(
+        F.max_by(F.struct("component", "k", "s"), F.struct("k", "component")).alias("main"),
+        F.sum("k").alias("size"), F.sum("s").alias("load"), F.count("*").alias("n"),
+    ).where("n > 1")
+    of_main = F.col("component") == F.col("main.component")
+
+    def blocks(members, load):
+        """Blocks bounded by their members and by the length of their texts."""
+        return F.greatest(F.ceil(members / F.lit(BLOCK)), F.ceil(load / F.lit(BLOCK_SHINGLES))).cast("int")
+
+    mains = blocks(F.col("main.k"), F.col("main.s"))
+    rests = blocks(F.col("size") - F.col("main.k"), F.col("load") - F.col("main.s"))
     block = F.when(of_main, rests + F.pmod(F.xxhash64("doc"), mains).cast("int")).otherwise(F.pmod(F.xxhash64("doc"), rests).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.when(of_main, rests).otherwise(rests + mains) - 1))
-    blocked = placed.join(spread, "band").join(sized, "doc").withColumn("block", block).withColumn("other", other)
-    blocked = blocked.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "component", "n_shingles", "registers")
-    members = common.stored(blocked.groupBy("band", "low", "high").applyInArrow(_open_members(least), blocked.schema))
+    blocked = placed.join(spread, "band").withColumn("block", block).withColumn("other", other)
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    blocked = blocked.select("band", low, high, "block", "doc", "component", "n_shingles", "registers")
+    members = steps(blocked.groupBy("band", "low", "high").applyInArrow(_open_members(least), blocked.schema))
     last = members.join(zipped, "doc").groupBy("band", "low", "high").applyInArrow(_joined(words, percent), "u long, v long")
 
     merged = components.components(last)
     final = found.join(merged.toDF("component", "further"), "component", "left").select("node", F.coalesce("further", "component").alias("component"))
     final = final.union(merged.join(found, "node", "left_anti"))
+    whole = classes.select("set_a", "set_b", "doc", "least_key").join(final, F.col("doc") == F.col("node"), "left")
+    whole = steps(whole.select(F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.coalesce("component", "doc").alias("component"), "least_key"))
+    names = whole.groupBy("component").agg(F.min("least_key").alias("component_id"))
+    whole = whole.drop("least_key").join(names, "component")
+    same = (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb")) & (F.col("n_shingles") > 0)
+    rows = sketches.drop("registers").join(whole, same, "left")
+    rows = rows.withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_key")).otherwise(F.col("component_id")))
+    steps.frames += [found, merged]
+    return steps.result(rows.select("row_file", "row_at", "doc_key", "n_shingles", "component", "component_id"))
+
 
-    whole = classes.select("set_a", "set_b", "doc").join(final, F.col("doc") == F.col("node"), "left").select(F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.coalesce("component", "doc").alias("component_id"))
-    joined = sketches.join(whole, (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb")) & (F.col("n_shingles") > 0) & F.col("doc_key").isNotNull(), "left")
-    return joined.select("doc_key", "n_shingles", F.coalesce("component_id", "doc_key").alias("component_id")).withColumn("kept", F.expr("doc_key <=> component_id"))
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_key, n_shingles, component_id, kept`` per row of ``docs``.
+
+    Documents link where their sets of shingles have a Jaccard similarity of ``percent`` or more; component_id
+    is the smallest id reachable by links. Null, empty and blank texts have no shingle and link with nothing;
+    shorter texts than a shingle are one. A null id names no component: among rows with ids such a row is not
+    kept, and a group of null ids alone has a null component. Rows that repeat an id are each their own text.
+    Exact copies are one class from the start, however many.
+    """
+    rows = _grouped(common.scanned(docs), words, percent, id_column, text_column)
+    return rows.select("doc_key", "n_shingles", "component_id").withColumn("kept", F.expr("doc_key <=> component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, but one row alone of each group of linked ones: that of the smallest id
+    (null ids last), of equal ids the first in its file. Rows without a shingle stay. Rows are told apart by their
+    place in the files, so neither repeated nor null ids matter."""
+    docs = common.scanned(docs)
+    rows = _grouped(docs, words, percent, id_column, text_column).where("component is not null")
+    order = F.struct(F.col("doc_key").isNull().alias("unnamed"), "doc_key", "row_file", "row_at")
+    stay = rows.groupBy("component").agg(F.min(order).alias("first")).select("first.row_file", "first.row_at")
+    dropped = common.stored(rows.select("row_file", "row_at").join(stay, ["row_file", "row_at"], "left_anti"))
+    file_, at = common.row_name(docs)
+    named = docs.select("*", file_.alias("__row_file"), at.alias("__row_at"))
+    return common.by_ids(named, ["__row_file", "__row_at"], dropped, "left_anti").select(*[f"`{c}`" for c in docs.columns])
