@@ -40,6 +40,41 @@ def test_counts_of_an_empty_table(empty):
     assert token_counts.token_counts(empty, BYTE).collect() == []
 
 
+def test_registered_counts_are_the_librarys(spark, sf, byte):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op4_token_counts(spark, sf).collect()
+    want = {k: (len(t.encode()), len(byte.encode(t, add_special_tokens=False).ids)) for k, t in texts.items()}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in rows} == want and all(r.over_limit == (r.n_tokens > 1024) for r in rows)
+
+
+def test_hot_pretokens_are_shared_out(spark, byte, monkeypatch):
+    monkeypatch.setattr(token_counts, "_LONG", 8)
+    texts = [f"{'zqxjkv ' * (i % 9)} plain words {i}" for i in range(200)]
+    rows = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), BYTE).collect()
+    assert {r.key: r.n_tokens for r in rows} == {i: len(byte.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_registered_packing_is_the_librarys(spark, sf, word):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    ids = {k: [*word.encode(t, add_special_tokens=False).ids, 2] for k, t in texts.items()}
+    rows = queries.op5_packing(spark, sf).collect()
+    covered, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        own = ids[r.doc_id]
+        assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(np.array(own[r.start : r.start + r.length], "<u4").tobytes())
+        covered[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert set(covered) == set(ids)
+    for key, parts in [*covered.items(), *sequences.items()]:
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+    assert all(sum(n for _, n in covered[k]) == len(ids[k]) for k in ids)
+    used = [sum(n for _, n in parts) for parts in sequences.values()]
+    assert max(used) <= 4096 and sum(used) / (4096 * len(used)) > 0.95  # little padding
+
+
 TEXTS = st.text(alphabet=st.one_of(st.sampled_from("aA'sd ,.\n\t\r!0129éßÉſK \x1c\x85²ªº_-|<>"), st.characters(exclude_categories=["Cs"])), max_size=60)
 
 

@@ -1,6 +1,6 @@
 """Shards of bounded bytes by extendible hashing (operator 7), in DataFrame functions only.
 
-Each row has 60 hash bits: 40 of its key, then 20 of its position, so that rows of one key can part too. A
+Each row has 60 hash bits: 40 of its key, then 20 of its place in the files, so that rows of one key can part too. A
 bucket is a prefix of these bits; one that is over the limit is split on its next bit, and no other. The
 directory is computed from byte sums of prefixes, without touching the texts again.
 """
@@ -21,21 +21,24 @@ STEP = 8
 
 
 def coded(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_key, row, code, n_bytes`` per row; a null id hashes as the empty string, a null text has no bytes."""
-    rows = common.own_columns(docs, doc_key=id_column, text=text_column).withColumn("row", F.monotonically_increasing_id())
+    """``doc_key, row_file, row_at, code, n_bytes`` per row of a scanned frame; a null id hashes as the empty string,
+    a null text has no bytes."""
+    rows = common.named_columns(docs, doc_key=id_column, text=text_column)
     of_key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_key").cast("string"), F.lit("")).cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
-    of_row = F.pmod(F.xxhash64("row"), F.lit(1 << ROW_BITS))
-    return rows.select("doc_key", "row", (F.shiftleft(of_key, ROW_BITS) + of_row).alias("code"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    of_row = F.pmod(F.xxhash64("row_file", "row_at"), F.lit(1 << ROW_BITS))
+    return rows.select("doc_key", "row_file", "row_at", (F.shiftleft(of_key, ROW_BITS) + of_row).alias("code"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
 
 
 def shard(docs: DataFrame, limit: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_key, row, n_bytes, shard_id, depth, shard_bytes, shard_docs`` per row of ``docs``.
+    """``doc_key, row_file, row_at, n_bytes, shard_id, depth, shard_bytes, shard_docs`` per row of ``docs``.
 
     Each shard holds at most ``limit`` bytes of text, unless it is a single document above that. A shard is
     the shortest prefix that fits: its parent does not. Rows with equal or null ids are parted by their
-    position, which a scan repeats. An empty table gives no row.
+    place in the files. An empty table gives no row; a limit below one byte is an error.
     """
-    rows = common.stored(coded(docs, id_column, text_column))
+    if limit < 1:
+        raise ValueError("a shard needs room for a byte")
+    rows = common.stored(coded(common.scanned(docs), id_column, text_column))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     done: DataFrame | None = None
     above, depth = -1, min(BITS, max(1, ceil(log2(max(2, 4 * total / limit)))))
@@ -54,10 +57,12 @@ def shard(docs: DataFrame, limit: int, id_column: str = "doc_id", text_column: s
             break
         above, depth = depth, min(BITS, depth + STEP)
     bits = F.expr("right(concat(repeat('0', 60), bin(leaf.prefix)), leaf.depth)")
-    return done.select("doc_key", "row", "n_bytes", F.concat(F.lit("shard-"), bits).alias("shard_id"), F.col("leaf.depth").alias("depth"), F.col("leaf.shard_bytes").alias("shard_bytes"), F.col("leaf.shard_docs").alias("shard_docs"))
+    return done.select("doc_key", "row_file", "row_at", "n_bytes", F.concat(F.lit("shard-"), bits).alias("shard_id"), F.col("leaf.depth").alias("depth"), F.col("leaf.shard_bytes").alias("shard_bytes"), F.col("leaf.shard_docs").alias("shard_docs"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Write the rows as Parquet, one folder per shard, all columns kept."""
-    placed = shard(docs, limit, id_column, text_column).select(F.col("row").alias("_row"), "shard_id")
-    docs.withColumn("_row", F.monotonically_increasing_id()).join(placed, "_row").drop("_row").repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    docs = common.scanned(docs)
+    placed = shard(docs, limit, id_column, text_column).select("row_file", "row_at", "shard_id")
+    rows = docs.select("*", *common.row_name(docs)).join(placed, ["row_file", "row_at"]).drop("row_file", "row_at")
+    rows.repartition("shard_id").write.partitionBy("shard_id").parquet(path)

@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 15
-#: Labelled rows, about, from which the likelihoods are learned; a documented bound.
-SAMPLE_ROWS = 20_000
-#: Languages at most, those with most rows; a language needs so many rows.
-MOST_LANGUAGES, LEAST_ROWS = 256, 3
-#: Languages that a document's mixture starts from.
-CANDIDATES = 8
+#: Labelled rows of one language, about, from which its likelihoods are learned; a documented bound. A language
+#: of fewer rows is learned from all of them, so that none is lost as the table grows.
+LANGUAGE_ROWS = 5_000
+#: Occurrences that a language borrows from the mean of all, so that one of few rows isn't a flat one.
+BORROWED = 300.0
 #: Rounds of expectation-maximisation, and by how much trigrams count as dependent in the penalty.
 ROUNDS, DEPENDENCE = 12, 4.0
 UNKNOWN = "und"
@@ -50,41 +49,57 @@ def trigram_counts(text: str) -> tuple[np.ndarray, int]:
     return np.bincount((code >> np.uint64(49)).astype(np.int64), minlength=BUCKETS), letters
 
 
-def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-likelihoods by bucket, from about ``sample_rows`` rows that have a text and a
-    label, drawn by a hash of the id (all, where there are fewer). The result's size is bounded."""
-    rows = common.own_columns(docs, key=id_column, text=text_column, lang=lang_column).where("text is not null and lang is not null")
-    share = min(1.0, sample_rows / max(1, docs.where(F.col(lang_column).isNotNull()).count()))
-    drawn = rows.where(F.pmod(F.xxhash64("key", F.length("text")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    schema = pa.schema([("lang", pa.string()), ("rows", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
+def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", language_rows: int = LANGUAGE_ROWS) -> tuple[list[str], np.ndarray]:
+    """Languages and their log-likelihoods by bucket, from about ``language_rows`` rows of each language that have a
+    text and a label, drawn by a hash of the row's place (all, where there are fewer; one is enough). The result
+    holds 128 KB a language, so its size is bounded by the set of labels. Texts without a letter teach nothing."""
+    docs = common.scanned(docs)
+    rows = common.named_columns(docs, text=text_column, lang=lang_column).where("text is not null and lang is not null")
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    parts = 1 << 20
+    shares = [x for lang, n in sorted(sizes.items()) if n > language_rows for x in (F.lit(lang), F.lit(int(parts * language_rows / n)))]
+    if shares:
+        place = F.pmod(F.xxhash64("row_file", "row_at"), F.lit(parts))
+        rows = rows.where(place < F.coalesce(F.element_at(F.create_map(*shares), F.col("lang")), F.lit(parts)))
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[int, np.ndarray]] = {}
+        held: dict[str, np.ndarray] = {}
 
         def out():
-            for lang, (n, counts) in held.items():
+            for lang, counts in held.items():
                 at = np.flatnonzero(counts)
-                yield from common.rows_out(schema, [[lang] * len(at), np.where(np.arange(len(at)) == 0, n, 0), at.astype(np.int32), counts[at]])
+                yield from common.rows_out(schema, [[lang] * len(at), at.astype(np.int32), counts[at]])
 
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
                 counts, letters = trigram_counts(text.as_py())
                 if letters:
-                    n, own = held.get(lang, (0, 0))
-                    held[lang] = (n + 1, own + counts)
+                    held[lang] = held.get(lang, 0) + counts
             if len(held) > 64:
                 yield from out()
                 held = {}
         yield from out()
 
-    sums = common.stored(drawn.select("text", "lang").mapInArrow(counted, "lang string, rows long, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")))
-    known = sums.groupBy("lang").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= LEAST_ROWS).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES)
-    names = sorted(r.lang for r in known.collect())
-    table = np.full((len(names), BUCKETS), 0.2)
-    place = {name: i for i, name in enumerate(names)}
-    for lang, bucket, n in sums.where(F.col("lang").isin(names)).select("lang", "bucket", "n").toLocalIterator() if names else ():
-        table[place[lang], bucket] += n
-    return names, np.log(table / table.sum(axis=1, keepdims=True))
+    sums = rows.select("text", "lang").mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = sums.toArrow()
+    names = sorted(sums.column("lang").unique().to_pylist())
+    places = {name: i for i, name in enumerate(names)}
+    table = np.zeros((len(names), BUCKETS), np.float32)
+    for part in sums.to_batches():
+        at = np.array([places[x] for x in part.column("lang").to_pylist()], int)
+        table[at, part.column("bucket").to_numpy()] = part.column("n").to_numpy()
+    return names, likelihoods(table)
+
+
+def likelihoods(table: np.ndarray) -> np.ndarray:
+    """Log-likelihoods from counts by language and bucket. Each language borrows from the mean of all languages,
+    which gives even a bucket that none has seen a little."""
+    if not len(table):
+        return table
+    totals = table.sum(axis=1, keepdims=True)
+    mean = (table / np.maximum(totals, 1)).mean(axis=0) * 0.9 + 0.1 / BUCKETS
+    return np.log((table + BORROWED * mean) / (totals + BORROWED)).astype(np.float32)
 
 
 def _mixture(likely: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
@@ -104,20 +119,20 @@ def mixture(text: str | None, names: list[str], logs: np.ndarray) -> dict[str, f
         return {}
     at = np.flatnonzero(counts)
     n = counts[at].astype(np.float64)
-    alone = logs[:, at] @ n
-    order = np.argsort(-alone, kind="stable")[:CANDIDATES]
-    shift = logs[np.ix_(order, at)]
-    likely = np.exp(shift)
-    chosen, best, shares = [0], float(alone[order[0]]), np.ones(1)
-    if len(order) > 1:
+    own = logs[:, at].astype(np.float64)
+    alone = own @ n
+    likely = np.exp(own)
+    chosen = [int(alone.argmax())]
+    best, shares = float(alone[chosen[0]]), np.ones(1)
+    if len(names) > 1:
         overall, _ = _mixture(likely, n)
         price = 0.5 * np.log(n.sum() + 1) * DEPENDENCE
-        for i in [i for i in np.argsort(-overall, kind="stable").tolist() if i != 0]:
+        for i in [i for i in np.argsort(-overall, kind="stable").tolist() if i != chosen[0]]:
             more, value = _mixture(likely[[*chosen, i]], n)
             if value - best <= price:
                 break
             chosen, best, shares = [*chosen, i], value, more
-    return {names[order[i]]: float(s) for i, s in zip(chosen, shares, strict=True)}
+    return {names[i]: float(s) for i, s in zip(chosen, shares, strict=True)}
 
 
 def predicted(text: str | None, names: list[str], logs: np.ndarray) -> tuple[str, float]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -471,12 +472,30 @@ def train(rows: Iterable[tuple[str, list[Span]]], rounds: int = 150, rate: float
     return Field(index, weights[0], weights[1] + barred, weights[2] + barred_start)
 
 
+@lru_cache(maxsize=1)
+def trained() -> Field:
+    """The field of ``training_rows``, fitted once a process."""
+    return train(training_rows())
+
+
+def sound(found: str, kind: str) -> bool:
+    """Whether a span of the field can be of its kind: a card's digits have a checksum, an address's parts a bound."""
+    if kind == "card":
+        digits = _NO_DIGIT.sub("", found)
+        return 12 <= len(digits) <= 19 and _luhn(digits)
+    if kind == "ip" and ":" not in found:
+        parts = _NO_DIGIT.split(found)
+        return all(len(p.lstrip("0")) <= 3 and int(p or "0") <= 255 for p in parts)
+    return True
+
+
 def all_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
-    """For each text the patterns' spans, and all: the field's are added where no pattern's stands."""
+    """For each text the patterns' spans, and all: the field's sound ones are added where no pattern's stands."""
     out = []
     for text, more in zip(texts, field.spans(texts), strict=True):
         base = base_spans(text)
-        out.append((base, base + [s for s in more if not any(a < s[1] and s[0] < b for a, b, _ in base)]))
+        added = [s for s in more if not any(a < s[1] and s[0] < b for a, b, _ in base) and sound(text[s[0] : s[1]], s[2])]
+        out.append((base, base + added))
     return out
 
 
@@ -486,7 +505,7 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Spa
 def find(docs: DataFrame, field: Field | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_key, base, spans`` per row: arrays of (kind, start, end) in code points, end exclusive, by start and
     then kind. A null text is empty. Texts are searched whole, in time linear in their length."""
-    made = docs.sparkSession.sparkContext.broadcast(field or train(training_rows()))
+    made = docs.sparkSession.sparkContext.broadcast(field or trained())
     texts = common.own_columns(docs, doc_key=id_column, text=text_column).select(F.col("doc_key").cast("long"), "text")
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_key", pa.int64()), ("base", span), ("spans", span)])
@@ -517,5 +536,5 @@ def redacted(text: str | None, spans: list[Span]) -> str | None:
 
 def redact(docs: DataFrame, field: Field | None = None, text_column: str = "text") -> DataFrame:
     """``docs``, all columns, with the spans of each text masked; nothing is shuffled."""
-    made = docs.sparkSession.sparkContext.broadcast(field or train(training_rows()))
+    made = docs.sparkSession.sparkContext.broadcast(field or trained())
     return common.texts_changed(docs, text_column, lambda: lambda texts: [redacted(t, a) for t, (_, a) in zip(texts, all_spans([t or "" for t in texts], made.value), strict=True)])

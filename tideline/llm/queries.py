@@ -50,11 +50,12 @@ def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     counts = [count(kind).alias(f"n_{kind}") for kind in pii_crf.KINDS]
-    return found.select(F.col("doc_key").alias("doc_id"), *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+    n_found = F.size("spans").cast("long").alias("n_found")
+    return found.select(F.col("doc_key").alias("doc_id"), *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"), n_found)
 
 
 #: Bytes of text in a shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 64 << 10
 
 
 def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +115,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id"""
 
+#: Repeated ids are parted by 20 further bits of a row's position, which SQL doesn't know: ids are unique here.
 _OP7_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
