@@ -30,6 +30,8 @@ _EMPTY = 0xFFFF
 ERRORS = 4.0
 #: Members of a bucket that one block holds, and about how many shingles, whose texts meet in one task.
 BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+#: Rows and shingles of small buckets, on average, that one task takes together; pairs that it looks at together.
+SHELF, SHELF_SHINGLES, _PAIRS = 1_000, 500_000, 20_000
 _LONGS = ("row_file", "row_at", "doc_key", "n_shingles", "set_a", "set_b")
 _SKETCH = pa.schema([*((c, pa.int64()) for c in _LONGS), ("registers", pa.binary())])
 _SKETCH_DDL = ", ".join(f"{c} long" for c in _LONGS) + ", registers binary"
@@ -136,30 +138,46 @@ def _chosen(least: float):
     return run
 
 
+def _met(band: np.ndarray, block: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of rows that meet, some thousands of pairs at a time: the two blocks of one bucket, or the
+    members of each bucket with the ones after them."""
+    if low != high:
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        for part in np.array_split(left, max(1, len(left) * len(right) // _PAIRS)):
+            yield np.repeat(part, len(right)), np.tile(right, len(part))
+        return
+    end = np.searchsorted(band, band, "right")
+    after = end - np.arange(len(band)) - 1  # members behind each row in its own bucket
+    for part in np.array_split(np.arange(len(band)), max(1, int(after.sum()) // _PAIRS)):
+        x = np.repeat(part, after[part])
+        start = np.cumsum(after[part]) - after[part]
+        yield x, x + 1 + np.arange(len(x)) - np.repeat(start, after[part])
+
+
 def _open_pairs(group: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of a group's two blocks that lie in different components, that the estimate leaves
+    """Positions of the pairs of a group, sorted by band, that lie in different components, that the estimate leaves
     open, and that meet in no earlier band."""
-    doc, comp, n, block = (group.column(c).to_numpy() for c in ("doc", "component", "n_shingles", "block"))
+    band, comp, n, block = (group.column(c).to_numpy() for c in ("band", "component", "n_shingles", "block"))
     codes = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
     keys = band_keys(codes).view(np.int64)
-    own = keys == group.column("band")[0].as_py()
-    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    own = (keys == band[:, None]).argmax(axis=1)
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in left:
-        other = right[(comp[right] != comp[i]) & ((doc[right] > doc[i]) | (low != high))]
-        other = other[plausible(codes[i], codes[other], n[i], n[other], least)] if len(other) else other
-        if len(other):
-            other = other[(keys[other] == keys[i]).argmax(axis=1) == own[i].argmax()]
-            xs.append(np.full(len(other), i))
-            ys.append(other)
+    for x, y in _met(band, block, group.column("low")[0].as_py(), group.column("high")[0].as_py()):
+        likely = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9)
+        x, y = x[likely], y[likely]
+        likely = plausible(codes[x], codes[y], n[x], n[y], least)
+        x, y = x[likely], y[likely]
+        first = (keys[x] == keys[y]).argmax(axis=1) == own[x]
+        xs.append(x[first])
+        ys.append(y[first])
     return np.concatenate(xs), np.concatenate(ys)
 
 
 def _open_members(least: float):
-    """Of a bucket's two blocks, the members that have an open pair; never the pairs."""
+    """Of a group's buckets, the members that have an open pair; never the pairs."""
 
     def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("band")
         x, y = _open_pairs(group, least)
         return group.take(pa.array(np.union1d(x, y)))
 
@@ -167,10 +185,11 @@ def _open_members(least: float):
 
 
 def _joined(words: int, percent: int):
-    """Components of a bucket's two blocks that full sets join, each with the smallest that it is joined to."""
+    """Components of a group's buckets that full sets join, each with the smallest that it is joined to."""
     least = percent / 100
 
     def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("band")
         x, y = _open_pairs(group, least)
         texts = [zlib.decompress(z).decode() for z in group.column("zipped").to_pylist()]
         sets = [s for at in range(0, len(texts), 64) for s in shingles.shingle_sets(texts[at : at + 64], words)]
@@ -271,6 +290,9 @@ def _grouped(docs: DataFrame, words: int, percent: int, id_column: str, text_col
         F.max_by(F.struct("component", "k", "s"), F.struct("k", "component")).alias("main"),
         F.sum("k").alias("size"), F.sum("s").alias("load"), F.count("*").alias("n"),
     ).where("n > 1")
+    spread = steps(spread)
+    rows, load = spread.agg(F.sum("size"), F.sum("load")).first()
+    shelves = max(1, (rows or 0) // SHELF, (load or 0) // SHELF_SHINGLES)
     of_main = F.col("component") == F.col("main.component")
 
     def blocks(members, load):
@@ -280,12 +302,18 @@ def _grouped(docs: DataFrame, words: int, percent: int, id_column: str, text_col
     mains = blocks(F.col("main.k"), F.col("main.s"))
     rests = blocks(F.col("size") - F.col("main.k"), F.col("load") - F.col("main.s"))
     block = F.when(of_main, rests + F.pmod(F.xxhash64("doc"), mains).cast("int")).otherwise(F.pmod(F.xxhash64("doc"), rests).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.when(of_main, rests).otherwise(rests + mains) - 1))
-    blocked = placed.join(spread, "band").withColumn("block", block).withColumn("other", other)
+    others = F.sequence(F.lit(0), F.when(of_main, rests).otherwise(rests + mains) - 1)
+    # a bucket of one block shares its task with others: main and rest are compared in it as one
+    small = blocks(F.col("size"), F.col("load")) == 1
+    blocked = placed.join(spread, "band").withColumn("small", small)
+    blocked = blocked.withColumn("block", F.when(F.col("small"), 0).otherwise(block))
+    blocked = blocked.withColumn("other", F.explode(F.when(F.col("small"), F.array(F.lit(0))).otherwise(others)))
     low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    blocked = blocked.select("band", low, high, "block", "doc", "component", "n_shingles", "registers")
-    members = steps(blocked.groupBy("band", "low", "high").applyInArrow(_open_members(least), blocked.schema))
-    last = members.join(zipped, "doc").groupBy("band", "low", "high").applyInArrow(_joined(words, percent), "u long, v long")
+    shelf = F.when(F.col("small"), F.pmod("band", F.lit(shelves))).otherwise(F.col("band")).alias("shelf")
+    blocked = blocked.select(shelf, low, high, "band", "block", "doc", "component", "n_shingles", "registers")
+    key = ["shelf", "low", "high"]
+    members = steps(blocked.groupBy(key).applyInArrow(_open_members(least), blocked.schema))
+    last = members.join(zipped, "doc").groupBy(key).applyInArrow(_joined(words, percent), "u long, v long")
 
     merged = components.components(last)
     final = found.join(merged.toDF("component", "further"), "component", "left").select("node", F.coalesce("further", "component").alias("component"))
