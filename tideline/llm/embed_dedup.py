@@ -1,7 +1,8 @@
 """Near-duplicate vectors by random-hyperplane signs in several tables (operator 1).
 
 Equal vectors are one class from the start. In each table a class falls into the bucket of its label and
-its 16 signs. The members of a bucket are compared exactly, in double precision, block by block; what a block
+its 16 signs. The members of a bucket are compared block by block, by all their signs first, and where these allow a
+link exactly, in double precision; what a block
 returns are counts of links and one star per cluster, never its pairs. A pair that meets in several tables
 is counted in the first of them.
 """
@@ -14,11 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, components
 
 #: At a cosine of 0.98 a sign agrees with probability 0.936, so 24 tables of 16 signs miss 4 links in 100,000.
 BITS, TABLES = 16, 24
+#: Standard errors by which signs may differ more than at the threshold: beyond, a pair in a billion is a link.
+ERRORS = 6.0
 #: Members of a bucket that one block holds, and rows of small buckets that one task takes together.
 BLOCK, SHELF = 512, 1_000
 
@@ -60,6 +64,41 @@ def _tabled(batches):
         yield from common.rows_out(schema, [np.tile(np.arange(TABLES, dtype=np.int32), n), signs, np.repeat(batch.column("label_key").to_numpy(), TABLES), np.repeat(batch.column("rep").to_numpy(), TABLES)])
 
 
+def _edges(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal rows begin and end."""
+    turn = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        turn |= c[1:] != c[:-1]
+    edge = np.flatnonzero(np.r_[True, turn, True]).tolist()
+    return list(zip(edge[:-1], edge[1:], strict=True))
+
+
+def _open(least: float):
+    """Of a group's buckets, the members that by all their signs may have a link, in the first table that holds it."""
+    share = np.arccos(min(1.0, least)) / np.pi
+    most = TABLES * BITS * share + ERRORS * np.sqrt(TABLES * BITS * share * (1 - share))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("label_key", "ascending"), ("tab", "ascending"), ("sign", "ascending")])
+        lab, tab, sign, block = (group.column(c).to_numpy() for c in ("label_key", "tab", "sign", "block"))
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        raw = np.frombuffer(b"".join(group.column("signs").to_pylist()), np.uint16).reshape(-1, TABLES)
+        keep = np.zeros(len(raw), bool)
+        for a, b in _edges(lab, tab, sign):
+            bits = np.unpackbits(raw[a:b].view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+            left, right = np.flatnonzero(block[a:b] == low), np.flatnonzero(block[a:b] == high)
+            near = bits[left] @ bits[right].T >= TABLES * BITS - 2 * most
+            if low == high:
+                near = np.triu(near, 1)
+            i, j = np.nonzero(near)
+            i, j = left[i], right[j]
+            first = (raw[a + i] == raw[a + j]).argmax(axis=1) == tab[a]
+            keep[a + i[first]] = keep[a + j[first]] = True
+        return group.filter(pa.array(keep)).drop_columns(["signs"])
+
+    return run
+
+
 def _linked(least: float):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("label_key", "ascending"), ("tab", "ascending"), ("sign", "ascending"), ("rep", "ascending")])
@@ -67,9 +106,8 @@ def _linked(least: float):
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         signs = np.frombuffer(b"".join(group.column("signs").to_pylist()), np.uint16).reshape(-1, TABLES)
         vectors = group.column("vector").combine_chunks()
-        edge = np.flatnonzero(np.r_[True, (lab[1:] != lab[:-1]) | (tab[1:] != tab[:-1]) | (sign[1:] != sign[:-1]), True])
         reps, links, roots = [], [], []
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        for a, b in _edges(lab, tab, sign):
             own = np.frombuffer(b"".join(vectors[a:b].to_pylist()), np.float64).reshape(b - a, -1)
             left, right = np.flatnonzero(block[a:b] == low), np.flatnonzero(block[a:b] == high)
             near = own[left] @ own[right].T >= least
@@ -120,7 +158,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, seed: int = 7, id_colu
     spread = members.withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     key = F.xxhash64(*bucket)
     spread = spread.select(*bucket, "rep", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("size") <= BLOCK, F.pmod(key, F.lit(shelves))).otherwise(key).alias("shelf"))
-    found = common.stored(spread.join(units.drop("label_key"), "rep").groupBy("shelf", "low", "high").applyInArrow(_linked(least), "rep long, links long, root long"))
+    # signs alone (48 bytes) go to every table and block; the vectors go where a link may be counted
+    signs = units.select("rep", "signs")
+    signed = spread.join(signs, "rep")
+    ddl = T.StructType([f for f in signed.schema if f.name != "signs"])
+    open_ = common.stored(signed.groupBy("shelf", "low", "high").applyInArrow(_open(least), ddl))
+    found = common.stored(open_.join(units.drop("label_key"), "rep").groupBy("shelf", "low", "high").applyInArrow(_linked(least), "rep long, links long, root long"))
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components.components(found.select("rep", "root"))
