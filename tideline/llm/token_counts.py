@@ -2,7 +2,8 @@
 
 A document's tokens are the sum of the pieces of its pre-tokens. So each text is cut into pre-tokens, the
 frequencies are kept per chunk of documents as posting lists, the lists are dealt out by pre-token, every
-distinct pre-token is counted once where its postings meet, and the products are summed per document.
+distinct pre-token is counted once where its postings meet (long lists of one meet in several tasks, so that no task
+holds a hot key), and the products are summed per document.
 Pre-tokens that are one entry of the vocabulary (a set that the vocabulary bounds) need no meeting: this
 keeps the frequent ones, which would be hot keys, out of the shuffle.
 """
@@ -29,6 +30,8 @@ _DOC = np.dtype([("key", "<i8"), ("known", "?"), ("n_bytes", "<i8"), ("n_tokens"
 _SUM = np.dtype([("slot", "<u2"), ("n", "<u4")])
 #: Sums that a task holds before it hands them on.
 _HELD = 2_000_000
+#: Bytes from which a posting list is a long one, and tasks that share those of one pre-token.
+_LONG, _SALTS = 1_024, 256
 #: Characters of a chunk.
 _CHUNK = 8_000_000
 
@@ -147,11 +150,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
 
     Null texts count as empty (0 tokens). Every input row gives one output row: repeated rows and null ids
     too. An empty table gives an empty result. Texts of any length are counted whole. Rows are told apart
-    by partition and position, so ``docs`` should come from a scan, whose tasks repeat the same rows when
-    they are run again.
+    by partition and position, so a frame that is no scan, whose tasks repeat the same rows when they are run
+    again, is stored first.
     """
-    texts = common.own_columns(docs, key=id_column, text=text_column).select(F.col("key").cast("long"), "text")
+    texts = common.own_columns(common.scanned(docs), key=id_column, text=text_column).select(F.col("key").cast("long"), "text")
     rows = texts.mapInArrow(_frequencies(tokenizer_path), _FREQUENCIES_DDL)
-    meets = F.when(F.col("pretoken").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("pretoken"))
+    # long posting lists, those of pre-tokens that are common but no single entry, meet in several tasks
+    salted = F.xxhash64("pretoken", F.pmod(F.xxhash64("block"), F.lit(_SALTS)))
+    meets = F.when(F.col("pretoken").isNull(), F.xxhash64("block")).when(F.octet_length("postings") >= _LONG, salted).otherwise(F.xxhash64("pretoken"))
     sums = rows.repartition(meets).sortWithinPartitions("pretoken").mapInArrow(_counted(tokenizer_path), _SUMS_DDL)
     return sums.groupBy("block").applyInArrow(_summed, _OUT_DDL)
