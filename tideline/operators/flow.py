@@ -56,3 +56,9 @@ def tail(rows: DataFrame, group: list[str], order: list[str], n: int, value: str
     """The last n values of each group in order: a bounded array per group."""
     ranked = rows.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*[F.desc(o) for o in order]))).where(F.col("_n") <= n)
     return ranked.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("_n"), value))), lambda x: x[value]).alias(value))
+
+
+def direction(tags: Column) -> Column:
+    """Side of a trade from its tags: 1 at the ask, -1 at the bid, 0 otherwise and for legs of a combined trade."""
+    side = F.when(F.contains(tags, F.lit("ask_side")), 1).when(F.contains(tags, F.lit("bid_side")), -1).otherwise(0)
+    return F.when(F.contains(tags, F.lit("multi_leg")), 0).otherwise(side)

@@ -45,3 +45,23 @@ def at_thresholds(rows: DataFrame, group: list[str], seconds: str, thresholds: l
     """Share of rows at or below each threshold and how many lie above; counts merge by adding."""
     sums = [F.count_if(F.col(seconds) <= t).alias(f"le_{t}") for t in thresholds]
     return rows.groupBy(*group).agg(F.count(seconds).alias("n"), *sums)
+
+
+def cutoff_column(p95, floor: int, multiple: float):
+    """``cutoff`` as an expression over a column."""
+    return F.greatest(F.lit(floor).cast("long"), F.ceil(F.lit(multiple) * p95).cast("long"))
+
+
+def fixed_bins(rows: DataFrame, group: list[str], seconds: str, width: float) -> DataFrame:
+    """Counts by bins of one width; they merge by adding."""
+    bin_ = F.floor(F.col(seconds) / width)
+    return rows.where(F.col(seconds).isNotNull()).groupBy(*group, bin_.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def lower_edges(hist: DataFrame, group: list[str], qs: list[float], width: float) -> DataFrame:
+    """Per group and quantile the lower edge of the first bin at which the counts reach it, and the group's count."""
+    part = W.partitionBy(*group)
+    up_to = F.sum("n").over(part.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+    ranked = hist.select(*group, "bin", up_to.alias("up_to"), F.sum("n").over(part).alias("n"))
+    ranked = ranked.withColumn("q", F.explode(F.array(*map(F.lit, qs)))).where(F.col("up_to") >= F.col("q") * F.col("n"))
+    return ranked.groupBy(*group, "q").agg((F.min("bin") * F.lit(width)).alias("seconds"), F.max("n").alias("n"))

@@ -48,7 +48,7 @@ def black_price(forward: Column, strike: Column, iv: Column, years: Column, is_c
     return F.when(is_call, call).otherwise(call - forward + strike)
 
 
-def implied_volatility(price: Column, forward: Column, strike: Column, years: Column, is_call: Column, rounds: int = 60) -> Column:
+def implied_volatility(price: Column, forward: Column, strike: Column, years: Column, is_call: Column, rounds: int = 100) -> Column:
     """Volatility by bisection in Arrow batches: a true iteration, which no built-in expression has. Null where
     the price lies outside its no-arbitrage bounds."""
 
@@ -132,3 +132,23 @@ def contract_grid(rows: DataFrame, keys: list[str], value: str, targets: list[fl
     near = rows.withColumn("target", F.explode(F.array(*[F.lit(float(t)) for t in targets]))).withColumn("distance", F.abs(F.col(value) - F.col("target"))).where(F.col("distance") <= tolerance)
     best = W.partitionBy(*keys, "target").orderBy("distance", *ties)
     return near.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
+
+
+def parity_line(rows: DataFrame, keys: list[str], strike: str, gap: Column) -> DataFrame:
+    """The line of call minus put over the strikes of each key: slope, intercept, residual deviation, and the discount
+    that the two outermost strikes imply. One aggregation."""
+    pairs = rows.select(*keys, F.col(strike).cast("double").alias("_k"), gap.alias("_y")).where("_y is not null")
+    line = pairs.groupBy(*keys).agg(
+        F.count("*").alias("strikes"), F.regr_slope("_y", "_k").alias("slope"), F.regr_intercept("_y", "_k").alias("intercept"),
+        F.regr_syy("_y", "_k").alias("syy"), F.regr_sxy("_y", "_k").alias("sxy"),
+        ((F.min_by("_y", "_k") - F.max_by("_y", "_k")) / F.nullif(F.max("_k") - F.min("_k"), F.lit(0.0))).alias("endpoint"),
+    )
+    spread = F.sqrt(F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)) / F.col("strikes"))
+    return line.select(*keys, "strikes", "slope", "intercept", spread.alias("residual_sd"), "endpoint")
+
+
+def carry_gamma(spot: Column, strike: Column, iv: Column, years: Column, rate: Column, carry: Column) -> Column:
+    """Gamma of an option on a spot with a cost of carry, null outside its domain."""
+    d1 = (F.log(spot / strike) + (carry + iv * iv / 2) * years) / (iv * F.sqrt(years))
+    gamma = F.exp((carry - rate) * years) * normal_density(d1) / (spot * iv * F.sqrt(years))
+    return F.when((spot > 0) & (strike > 0) & (iv > 0) & (years > 0), gamma)

@@ -57,3 +57,33 @@ def seasonality(train: DataFrame, bucket: str, value: str) -> DataFrame:
     means = train.groupBy(bucket).agg(F.avg(value).alias("m"))
     centre = means.agg(F.avg("m").alias("c"))
     return means.crossJoin(F.broadcast(centre)).select(bucket, (F.col("m") - F.col("c")).alias("seasonal"))
+
+
+def targets(grid: DataFrame, keys: list[str], slot: str, horizons: tuple[int, ...]) -> DataFrame:
+    """``horizon, status, target`` per row and horizon: the variance of the next h returns, where the anchor and all h
+    closes after it were observed. Rows multiply by the number of horizons, after one sort."""
+    over = W.partitionBy(*keys).orderBy(slot)
+    cells = []
+    for h in horizons:
+        ahead = over.rowsBetween(1, h)
+        seen, rows = F.count_if("observed").over(ahead), F.count("*").over(ahead)
+        status = F.when(rows < h, "HORIZON_CUT").when(~F.col("observed"), "ANCHOR_MISSING").when(seen < h, "FUTURE_MISSING").otherwise("OK")
+        value = F.when(F.col("observed") & (seen == h), F.sum(F.col("r") * F.col("r")).over(ahead))
+        cells.append((h, status, value))
+    wide = grid.select(*keys, slot, *[c for h, status, value in cells for c in (status.alias(f"s{h}"), value.alias(f"t{h}"))])
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"s{h}").alias("status"), F.col(f"t{h}").alias("target")) for h in horizons])
+    return wide.select(*keys, slot, F.explode(each).alias("x")).select(*keys, slot, "x.*")
+
+
+def harq(grid: DataFrame, key: str, session: str, r: str, least: int, week: int = 5, month: int = 22) -> DataFrame:
+    """Session variances, their day, week and month before, and the day's times the root of its quarticity; sessions
+    of fewer than ``least`` returns count as missing. ``reason`` is the first that is missing."""
+    x, n = F.col(r), F.count(r)
+    s = grid.groupBy(key, session).agg(n.alias("_n"), F.sum(x * x).alias("rv"), (n / F.lit(3.0) * F.sum(x * x * x * x)).alias("rq"))
+    s = s.select(key, session, *[F.when(F.col("_n") >= least, F.col(c)).alias(c) for c in ("rv", "rq")])
+    over = W.partitionBy(key).orderBy(session)
+    mean = lambda k: windows.trailing_mean(F.col("rv"), over, k)
+    out = s.withColumns({"rv_day": F.lag("rv").over(over), "rq_day": F.lag("rq").over(over), "rv_week": mean(week), "rv_month": mean(month)})
+    gaps = [(F.col(f"rv_{c}").isNull(), f"{c.upper()}_MISSING") for c in ("day", "week", "month")]
+    reason = F.when(*gaps[0]).when(*gaps[1]).when(*gaps[2])
+    return out.withColumn("rv_day_attenuated", F.sqrt("rq_day") * F.col("rv_day")).withColumn("reason", reason)

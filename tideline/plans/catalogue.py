@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, domain, evaluation, further, joins, live, panels, relational, windowed  # noqa: F401  (they register themselves)
+from . import aggregates, domain, evaluation, further, joins, live, panels, relational, state, windowed  # noqa: F401  (they register themselves)
 from .registry import QUERIES, SQL
 
 

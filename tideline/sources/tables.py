@@ -81,6 +81,28 @@ def union_sources(*tagged: tuple[str, DataFrame]) -> DataFrame:
     return out
 
 
+def widened(*frames: DataFrame) -> DataFrame:
+    """Frames of equal columns as one, each column in the narrowest type that holds all: differing numbers become
+    double (whole ones long), anything else that differs becomes text."""
+    kinds: dict[str, set[T.DataType]] = {}
+    for frame in frames:
+        for field in frame.schema:
+            kinds.setdefault(field.name, set()).add(field.dataType)
+
+    def common(types: set[T.DataType]) -> T.DataType:
+        if len(types) == 1:
+            return next(iter(types))
+        if all(isinstance(t, T.IntegralType) for t in types):
+            return T.LongType()
+        return T.DoubleType() if all(isinstance(t, T.NumericType) for t in types) else T.StringType()
+
+    out = None
+    for frame in frames:
+        cast = frame.select(*[F.col(c).cast(common(types)).alias(c) for c, types in kinds.items()])
+        out = cast if out is None else out.unionByName(cast)
+    return out
+
+
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Files below a hive-partitioned path with their sizes and rows; partition columns are discovered."""
     read = spark.read.parquet(path)
