@@ -171,15 +171,6 @@ def test_rank_auc_with_ties(spark):
     assert math.isclose(r.auc, sum(wins) / len(wins))
 
 
-def test_bootstraps_recover_a_constant():
-    x = np.full(40, 0.3) + np.random.default_rng(1).normal(0, 0.01, 40)
-    b = evaluate.block_bootstrap(x, draws=500)
-    assert b["low"] < 0.3 < b["high"] and b["p"] < 0.01 and evaluate.wild_bootstrap(x, 500) < 0.01
-    d = np.random.default_rng(2).normal(0, 1, (60, 4))
-    assert evaluate.reality_check(d, 200) > 0.05 and evaluate.reality_check(d + [0, 0, 0, 3], 200) < 0.02
-    assert evaluate.alpha_spending([0.5, 1.0])[-1] == pytest.approx(0.05)
-
-
 def test_flow_measures(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 1.0), ("b", "x", 5.0), ("c", "x", 3.0), ("c", "y", 1.0)], "g string, i string, w double")
     got = {r.g: r for r in flow.concentration(df, ["g"], "i", F.col("w")).collect()}
@@ -265,18 +256,6 @@ def test_plans_push_down_and_do_not_multiply(spark, sf):
     assert "CartesianProduct" not in catalogue.queries()["two_clock_window"](spark, sf)._jdf.queryExecution().toString()
 
 
-def test_model_choice():
-    from tideline.operators import selection
-
-    rng = np.random.default_rng(6)
-    losses = rng.normal(1, 0.1, (60, 4)) + [0.0, 0.0, 0.5, 0.0]
-    kept = {name: stays for name, _, stays in selection.confidence_set(losses, list("abcd"), draws=300)}
-    assert not kept["c"] and any(kept[m] for m in "abd")
-    assert selection.overfitting(losses + [0.0, 0.0, 0.0, -1.0]) == 0.0
-    assert math.isclose(selection.detectable(1.0), 2.8015852, rel_tol=1e-6)
-    assert selection.condition_number(np.eye(3)) == pytest.approx(1.0)
-
-
 def test_strategy_uses_only_the_past(spark):
     from tideline.operators import selection
 

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.sources import tables
+from tideline.sources import files, tables
 from tideline.streaming import live
 
 
@@ -29,11 +29,32 @@ def test_payloads(spark):
     assert [(str(r.NEW_DATE), r.BC_1MONTH) for r in tables.yield_curve(one(spark, xml), "p").collect()] == [("2024-01-02", 5.5)]
 
 
-def test_torn_lines_are_dropped(spark, tmp_path):
-    (tmp_path / "log.jsonl").write_text('{"id": 1}\n{"id": 2}\n{"id":')
+def test_torn_lines_are_dropped_and_bad_ones_reported(spark, tmp_path):
     from pyspark.sql import types as T
 
-    assert sorted(r.id for r in tables.observations(spark, str(tmp_path), T.StructType([T.StructField("id", T.LongType())])).collect()) == [1, 2]
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    (tmp_path / "log.jsonl").write_text('{"id": 1}\n{"id": 2}\n{"id":')
+    assert sorted(r.id for r in files.observations(spark, str(tmp_path), schema).collect()) == [1, 2]
+    (tmp_path / "other.jsonl").write_text('{"id": 3}\n{oops}\n')
+    assert sorted(r.status for r in files.json_lines(spark, str(tmp_path), schema).collect()) == ["malformed", "ok", "ok", "ok", "torn"]
+    with pytest.raises(ValueError, match="MALFORMED_LINES"):
+        files.observations(spark, str(tmp_path), schema)
+
+
+def test_csv_keeps_awkward_text(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, 'a "quoted", text'), (4, "two\nlines"), (None, " spaces "), (6, "ünï")]
+    frame = spark.createDataFrame(rows, "k long, v string")
+    files.write_csv(frame, str(tmp_path / "t"))
+    back = files.read_csv(spark, str(tmp_path / "t"), frame.schema)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, frame.collect()))
+
+
+def test_scratch_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        files.scratch(session, "x")
 
 
 def test_sinks_refuse(spark, tmp_path):
@@ -67,9 +88,9 @@ def test_streams(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame(rows, "id int, k string, at string").withColumn("at", F.to_timestamp("at")).withColumn("v", F.lit(1.0)).write.parquet(source)
     stream = live.source(spark, source, spark.read.parquet(source).schema)
-    kept = live.run_to_end(live.deduplicated(stream, ["id"], "at", "1 hour"), "kept_once", "append", str(tmp_path / "c1"))
+    kept = live.run_to_end(live.deduplicated(stream, ["id"], "at", "1 hour"), str(tmp_path / "kept"), "append", str(tmp_path / "c1"))
     assert sorted(r.id for r in kept.collect()) == [1, 2, 3]
-    sums = live.run_to_end(live.windowed(stream, "at", "1 hour", "5 minutes", None, [], "v"), "summed", "complete", str(tmp_path / "c2"))
+    sums = live.run_to_end(live.windowed(stream, "at", "1 hour", "5 minutes", None, [], "v"), str(tmp_path / "summed"), "complete", str(tmp_path / "c2"))
     assert sorted((r.start.minute, r.n) for r in sums.collect()) == [(0, 2), (5, 2)]
     live.append_to(live.flagged(stream.withColumn("got", F.col("at") + F.expr("interval 2 minutes")), "at", "got", 60), str(tmp_path / "out"), str(tmp_path / "c3")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where("late").count() == 4

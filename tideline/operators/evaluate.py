@@ -132,6 +132,41 @@ def population_stability(train: DataFrame, test: DataFrame, bin_: str) -> DataFr
     return both.crossJoin(F.broadcast(total)).agg(F.sum((p - q) * F.log(p / q)).alias("psi"))
 
 
+def kendall(rows: DataFrame, by: list[str], order: str, x: str, y: str) -> DataFrame:
+    """Kendall's tau-b of two session series per group. Pairs of a group's sessions meet, so groups hold one row per
+    session (some hundreds), never raw rows."""
+    a, b = rows.alias("a"), rows.alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by] + [F.col(f"a.{order}") < F.col(f"b.{order}")]
+    sign = lambda c: F.signum(F.col(f"a.{c}").cast("double") - F.col(f"b.{c}"))
+    pairs = a.join(b, same).select(*[F.col(f"a.{k}") for k in by], sign(x).alias("sx"), sign(y).alias("sy"))
+    total = lambda c, d: F.sum(F.col(c) * F.col(d))
+    tau = total("sx", "sy") / F.sqrt(total("sx", "sx") * total("sy", "sy"))
+    return pairs.groupBy(*by).agg(F.count("*").alias("pairs"), tau.alias("tau"))
+
+
+def session_pair_auc(rows: DataFrame, session: str, score: str, label: str) -> DataFrame:
+    """For every pair of sessions the won pairs of a positive of one against a negative of the other, ties half.
+
+    Rows are first counted by session and score. Negatives at or below each score are a running sum per session over
+    the distinct scores; positives join it on the score alone. So scores should be few or binned."""
+    c = rows.groupBy(session, score).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
+    scores, sessions = c.select(score).distinct(), c.select(F.col(session).alias("negative_session")).distinct()
+    grid = scores.crossJoin(F.broadcast(sessions)).join(c.select(F.col(session).alias("negative_session"), score, "q"), ["negative_session", score], "left")
+    q = F.coalesce("q", F.lit(0))
+    up_to = F.sum(q).over(W.partitionBy("negative_session").orderBy(score).rowsBetween(W.unboundedPreceding, 0))
+    below = grid.select("negative_session", score, (up_to - q / 2).alias("below"))
+    wins = c.where("p > 0").join(below, score).groupBy(F.col(session).alias("positive_session"), "negative_session").agg(F.sum(F.col("p") * F.col("below")).alias("wins"))
+    size = lambda name, n: c.groupBy(F.col(session).alias(name)).agg(F.sum(n).alias(n))
+    both = wins.join(size("positive_session", "p"), "positive_session").join(size("negative_session", "q"), "negative_session")
+    return both.where("p > 0 and q > 0").select("positive_session", "negative_session", "wins", (F.col("p") * F.col("q")).alias("pairs"))
+
+
+def log_calibration(train: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
+    """Line of log outcome on log forecast per group, with the variance of what it leaves."""
+    line = train.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_syy(y, x).alias("_syy"), F.regr_sxy(y, x).alias("_sxy"), F.regr_count(y, x).alias("_n"))
+    return line.select(*by, "slope", "intercept", ((F.col("_syy") - F.col("slope") * F.col("_sxy")) / F.col("_n")).alias("variance"))
+
+
 # ---- over a session series on the driver -----------------------------------------------------------------
 
 
@@ -140,40 +175,6 @@ def series(frame: DataFrame, session: str, value: str) -> np.ndarray:
     return np.array([r[0] for r in frame.groupBy(session).agg(F.avg(value).alias(value)).orderBy(session).select(value).collect()], float)
 
 
-def block_bootstrap(values: np.ndarray, draws: int = 9_999, block: int = 5, seed: int = 650) -> dict[str, float]:
-    """Circular block bootstrap of the mean: standard error, 95 % interval and two-sided p-value."""
-    n = len(values)
-    rng = np.random.default_rng(seed)
-    starts = rng.integers(0, n, (draws, -(-n // block)))
-    at = (starts[:, :, None] + np.arange(block)).reshape(draws, -1)[:, :n] % n
-    means = values[at].mean(axis=1)
-    mean = float(values.mean())
-    return {"mean": mean, "se": float(means.std(ddof=1)), "low": float(np.quantile(means, 0.025)), "high": float(np.quantile(means, 0.975)), "p": float((1 + (np.abs(means - mean) >= abs(mean)).sum()) / (draws + 1))}
-
-
-def wild_bootstrap(values: np.ndarray, draws: int = 9_999, seed: int = 650) -> float:
-    """Two-sided p-value of a zero mean under random signs."""
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], (draws, len(values)))
-    t = lambda x: x.mean(-1) / (x.std(-1, ddof=1) / np.sqrt(x.shape[-1]))
-    return float((1 + (np.abs(t(signs * (values - 0.0))) >= abs(t(values))).sum()) / (draws + 1))
-
-
-def reality_check(differences: np.ndarray, draws: int = 2_000, mean_block: float = 5.0, seed: int = 650) -> float:
-    """Stationary-bootstrap p-value that the best of several models (columns) beats the benchmark by luck."""
-    n, _ = differences.shape
-    rng = np.random.default_rng(seed)
-    best = np.sqrt(n) * differences.mean(0).max()
-    hits = 0
-    for _ in range(draws):
-        fresh = rng.random(n) < 1 / mean_block
-        fresh[0] = True
-        start = rng.integers(0, n, n)
-        last = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        at = (start[last] + np.arange(n) - last) % n
-        hits += np.sqrt(n) * (differences[at].mean(0) - differences.mean(0)).max() >= best
-    return float((1 + hits) / (draws + 1))
-
-
 def alpha_spending(times: list[float], alpha: float = 0.05) -> list[float]:
     """Cumulative error spent at each share of information."""
     from math import e, log

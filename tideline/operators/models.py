@@ -52,18 +52,21 @@ def partial_effect(rows: DataFrame, y: str, d: str, cluster: str) -> DataFrame:
     c = rows.groupBy(cluster).agg(F.sum(F.col(d) * F.col(y)).alias("dy"), F.sum(F.col(d) * F.col(d)).alias("dd"))
     s = c.agg(F.sum("dy").alias("sy"), F.sum("dd").alias("sd"), F.sum(F.col("dy") * F.col("dy")).alias("a"), F.sum(F.col("dy") * F.col("dd")).alias("b"), F.sum(F.col("dd") * F.col("dd")).alias("e"), F.count("*").alias("clusters"))
     theta = F.col("sy") / F.col("sd")
-    se = F.sqrt(F.greatest(F.col("a") - 2 * theta * F.col("b") + theta * theta * F.col("e"), F.lit(0.0))) / F.col("sd")
+    # one parameter: the scale for n rows and g clusters is g / (g - 1) * (n - 1) / (n - 1)
+    scale = F.col("clusters") / F.greatest(F.col("clusters") - 1, F.lit(1))
+    se = F.sqrt(scale * F.greatest(F.col("a") - 2 * theta * F.col("b") + theta * theta * F.col("e"), F.lit(0.0))) / F.col("sd")
     return s.select(theta.alias("theta"), se.alias("se"), "clusters")
 
 
-def fitted(train: DataFrame, features: list[str], target: str, kind: str = "ols"):
-    """An MLlib model with its assembler: ols, ridge, elastic, gamma, tweedie or boosted (squared loss)."""
+def fitted(train: DataFrame, features: list[str], target: str, kind: str = "ols", held_out: str | None = None):
+    """An MLlib model with its assembler: ols, ridge, elastic, gamma, tweedie or boosted (squared loss; with
+    ``held_out``, a column of flags, it stops when the flagged rows no longer gain)."""
     assembled = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
     common = {"labelCol": target}
     model = {
         "ols": lambda: LinearRegression(**common), "ridge": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.0, **common), "elastic": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.5, **common),
         "gamma": lambda: GeneralizedLinearRegression(family="gamma", link="log", **common), "tweedie": lambda: GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, **common),
-        "boosted": lambda: GBTRegressor(maxIter=20, maxDepth=3, seed=1, **common),
+        "boosted": lambda: GBTRegressor(maxIter=20, maxDepth=3, seed=1, **common, **({"validationIndicatorCol": held_out} if held_out else {})),
     }[kind]()
     from pyspark.ml import Pipeline
 
@@ -143,3 +146,44 @@ def garch_filter(rows: DataFrame, key: str, segment: str, order: str, value: str
 def spline_basis(x: str, knots: list[float]) -> list[Column]:
     """Truncated cubic basis of a column."""
     return [F.pow(F.greatest(F.col(x) - F.lit(k), F.lit(0.0)), F.lit(3.0)).alias(f"{x}_k{i}") for i, k in enumerate(knots)]
+
+
+def one_hot_pipeline(categories: list[str], numbers: list[str], target: str):
+    """Indexing, one-hot coding and scaling before least squares, as one MLlib pipeline; unknown categories get a
+    column of their own."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer
+
+    index = StringIndexer(inputCols=categories, outputCols=[f"{c}_index" for c in categories], handleInvalid="keep")
+    coded = OneHotEncoder(inputCols=[f"{c}_index" for c in categories], outputCols=[f"{c}_coded" for c in categories])
+    gathered = VectorAssembler(inputCols=numbers, outputCol="numbers", handleInvalid="skip")
+    scaled = StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True)
+    both = VectorAssembler(inputCols=[*[f"{c}_coded" for c in categories], "scaled"], outputCol="features")
+    return Pipeline(stages=[index, coded, gathered, scaled, both, LinearRegression(labelCol=target, solver="normal")])
+
+
+def ranked_ridge(train: DataFrame, features: list[str], target: str, ridge: float, least: float = 1e-8) -> tuple[list[str], np.ndarray]:
+    """Features, in order, that add rank to those before them on the training rows, and the ridge's coefficients
+    (intercept first, not penalised). One aggregation gives all sums."""
+    row = gram(train, features, target).first().asDict()
+    k = len(features) + 1
+    x = np.array([[row[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+    d = np.sqrt(np.maximum(np.diag(x), 1e-300))
+    unit, kept = x / np.outer(d, d), [0]
+    for i in range(1, k):
+        near = unit[np.ix_(kept, kept)]
+        left = unit[i, i] - unit[i, kept] @ np.linalg.pinv(near) @ unit[kept, i]
+        if left > least:
+            kept.append(i)
+    y = np.array([row[f"y{i}"] for i in kept], float)
+    b = np.linalg.solve(x[np.ix_(kept, kept)] + ridge * np.diag([0.0] + [1.0] * (len(kept) - 1)), y)
+    return [features[i - 1] for i in kept[1:]], b
+
+
+def trend_test(y: np.ndarray, draws: int = 1_999, seed: int = 650) -> tuple[float, float]:
+    """Slope of a series over its positions, and its two-sided p-value under random signs of the centred series."""
+    x = np.arange(len(y)) - (len(y) - 1) / 2
+    slope = float(x @ y / (x @ x))
+    signs = np.random.default_rng(seed).choice([-1.0, 1.0], (draws, len(y)))
+    drawn = np.abs((signs * (y - y.mean())) @ x / (x @ x))
+    return slope, float((1 + np.count_nonzero(drawn >= abs(slope))) / (draws + 1))

@@ -77,3 +77,11 @@ def mask_digest(panel: DataFrame, keys: list[str], flag: str) -> str:
 
 def role_by_date(date: Column, discovery_end: str, validation_end: str) -> Column:
     return F.when(date <= F.lit(discovery_end).cast("date"), "D").when(date <= F.lit(validation_end).cast("date"), "V").otherwise("BURNED")
+
+
+def in_scope(rows: DataFrame, role: str, allowed: list[str]) -> DataFrame:
+    """The rows, where every one has an allowed role; any other role is an error."""
+    wrong = rows.where(~F.coalesce(F.col(role).isin(*allowed), F.lit(False))).select(role).distinct().limit(5).collect()
+    if wrong:
+        raise ValueError("ROLE_OUT_OF_SCOPE:" + ",".join(str(r[0]) for r in wrong))
+    return rows

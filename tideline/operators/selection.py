@@ -1,4 +1,4 @@
-"""Choice among models from a matrix of session losses, and strategy economics.
+"""The matrix of session losses that models are chosen by, and strategy economics.
 
 The matrix has one row per session and one column per model, so it is small whatever the size of the forecasts;
 the aggregation that makes it is the Spark job (``session_matrix``).
@@ -6,7 +6,6 @@ the aggregation that makes it is the Spark job (``session_matrix``).
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import sqrt
 
 import numpy as np
@@ -21,48 +20,6 @@ def session_matrix(losses: DataFrame, session: str, model: str, loss: str, model
     return np.array([[r[m] for m in models] for r in wide.collect()], float)
 
 
-def confidence_set(losses: np.ndarray, names: list[str], alpha: float = 0.1, draws: int = 1_000, block: int = 5, seed: int = 650) -> list[tuple[str, float, bool]]:
-    """Model confidence set by the range of t statistics: per model its p-value and whether it stays."""
-    n, k = losses.shape
-    rng = np.random.default_rng(seed)
-    at = (rng.integers(0, n, (draws, -(-n // block)))[:, :, None] + np.arange(block)).reshape(draws, -1)[:, :n] % n
-    means = losses[at].mean(axis=1)
-    left, p, out = list(range(k)), 0.0, {}
-    while len(left) > 1:
-        own, boot = losses[:, left].mean(0), means[:, left]
-        gap = own - own.mean()
-        spread = (boot - boot.mean(1, keepdims=True)) - gap
-        se = spread.std(0, ddof=1) + 1e-12
-        p = max(p, float((1 + (np.abs(spread / se).max(1) >= (gap / se).max()).sum()) / (draws + 1)))
-        worst = left[int((gap / se).argmax())]
-        out[worst] = p
-        left.remove(worst)
-    out[left[0]] = 1.0
-    return [(names[i], out[i], out[i] >= alpha) for i in range(k)]
-
-
-def overfitting(losses: np.ndarray, parts: int = 8) -> float:
-    """Share of balanced splits of the sessions in which the model best in one half is below the median in the other."""
-    blocks = np.array_split(np.arange(len(losses)), parts)
-    bad = total = 0
-    for chosen in combinations(range(parts), parts // 2):
-        inside = np.concatenate([blocks[i] for i in chosen])
-        outside = np.concatenate([blocks[i] for i in range(parts) if i not in chosen])
-        best = losses[inside].mean(0).argmin()
-        rank = (losses[outside].mean(0) < losses[outside].mean(0)[best]).mean()
-        bad += rank > 0.5
-        total += 1
-    return float(bad / total)
-
-
-def detectable(se: float, power: float = 0.8, alpha: float = 0.05) -> float:
-    """Smallest mean that a two-sided test finds with the given power (normal approximation)."""
-    from statistics import NormalDist
-
-    z = NormalDist().inv_cdf
-    return (z(1 - alpha / 2) + z(power)) * se
-
-
 def condition_number(gram: np.ndarray) -> float:
     """Of the standardised design, from its Gram matrix."""
     d = np.sqrt(np.diag(gram))
@@ -82,3 +39,18 @@ def performance(pnl: DataFrame, by: list[str], order: str, periods: int = 252) -
     """Mean, deviation, annualised Sharpe ratio, hit rate and turnover per group."""
     s = pnl.groupBy(*by).agg(F.count("pnl").alias("n"), F.avg("pnl").alias("mean"), F.stddev_samp("pnl").alias("sd"), F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("hit_rate"), F.sum("turnover").alias("turnover"))
     return s.withColumn("sharpe", F.when(F.col("sd") > 0, F.col("mean") / F.col("sd") * sqrt(periods)))
+
+
+def hedged(rows: DataFrame, keys: list[str], order: str, price: str, spot: str, delta: str) -> DataFrame:
+    """Each step's move of a claim, and of the spot times the delta held over it."""
+    over = W.partitionBy(*keys).orderBy(order)
+    move = lambda c: F.lead(c).over(over) - F.col(c)
+    return rows.withColumn("option_move", move(price)).withColumn("hedge_move", F.col(delta) * move(spot))
+
+
+def constrained(rows: DataFrame, at: list[str], wanted: str, each: float, all_: float) -> DataFrame:
+    """Positions cut to a limit each, then scaled down where the sum of their sizes at a time is beyond another."""
+    cut = F.greatest(F.lit(-each), F.least(F.lit(each), F.col(wanted)))
+    rows = rows.withColumn("_cut", cut).withColumn("_gross", F.sum(F.abs("_cut")).over(W.partitionBy(*at)))
+    position = F.when(F.col("_gross") > all_, F.col("_cut") * all_ / F.col("_gross")).otherwise(F.col("_cut"))
+    return rows.withColumn("position", position).drop("_cut", "_gross")

@@ -173,12 +173,6 @@ def garch_state(spark, sf):
     return models.garch_filter(returns(spark, sf), "asset", "session_date", "bar", "r", 0.05, 0.1, 0.8).select(*KEYS, "bar", r6("h").alias("h"))
 
 
-@query("block_bootstrap")
-def block_bootstrap(spark, sf):
-    found = evaluate.block_bootstrap(evaluate.series(paired(spark, sf), "session_date", "difference"))
-    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found))
-
-
 @query("ridge_dml")
 def ridge_dml(spark, sf):
     rows = forecasts(spark, sf).where("persist is not null").withColumn("fold", F.pmod(F.dayofyear("session_date"), F.lit(3))).withColumn("treat", F.log("persist")).withColumn("y", F.log("actual")).withColumn("hour", F.col("bar").cast("double"))

@@ -218,26 +218,6 @@ def extra_session_gaps(spark, sf):
 
 # ---- without a SQL counterpart -----------------------------------------------------------------------------
 
-_MODELS = ["persist", "flat"]
-
-
-@query("model_confidence_set")
-def model_confidence_set(spark, sf):
-    found = selection.confidence_set(selection.session_matrix(losses(spark, sf), "session_date", "model", "qlike", _MODELS), _MODELS)
-    return spark.createDataFrame(found, "model string, p double, kept boolean")
-
-
-@query("overfitting_probability")
-def overfitting_probability(spark, sf):
-    return spark.createDataFrame([(selection.overfitting(selection.session_matrix(losses(spark, sf), "session_date", "model", "qlike", _MODELS)),)], "pbo double")
-
-
-@query("reality_check")
-def reality_check(spark, sf):
-    m = selection.session_matrix(losses(spark, sf), "session_date", "model", "qlike", _MODELS)
-    return spark.createDataFrame([(evaluate.reality_check(m[:, 1:] - m[:, :1], 500),)], "p double")
-
-
 @query("collinearity")
 def collinearity(spark, sf):
     import numpy as np

@@ -2,34 +2,33 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..sources.tables import table
 from ..streaming import live
 from .registry import query
 
 
 def _stream(spark, sf):
-    path = f"{sf}/events.parquet"
     schema = table(spark, sf, "events").schema
-    # a Parquet stream reads a folder; the glob names the one file of the table
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/events.parque[t]") if not path.endswith("/") else None
+    # a stream reads a folder; the glob names the one file of the table
+    stream = live.source(spark, f"{sf}/events.parque[t]", schema)
     return stream.select("event_id", F.col("event_type").alias("asset"), "user_id", "value", F.col("ts").cast("timestamp").alias("executed_at"))
 
 
 def _done(spark, frame, mode):
-    name = "live_" + uuid.uuid4().hex
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return live.run_to_end(frame, name, mode, f"{root.rstrip('/')}/{name}")
+    path = files.scratch(spark, "live")
+    return live.run_to_end(frame, f"{path}/out", mode, f"{path}/progress")
 
 
 @query("stream_dedup", "SELECT user_id, event_type AS asset, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, value FROM events) GROUP BY 1, 2")
 def stream_dedup(spark, sf):
     stream = _stream(spark, sf)
     twice = stream.union(stream)
+    # state is bounded by the watermark; what comes again beyond it falls out of the stored result
     kept = _done(spark, live.deduplicated(twice, ["user_id", "asset", "value"], "executed_at", "40 days"), "append")
+    kept = kept.select("user_id", "asset", "value").distinct()
     return kept.groupBy("user_id", "asset").agg(F.count("*").alias("n"))
 
 
@@ -43,3 +42,25 @@ def stream_sliding(spark, sf):
 def stream_tumbling(spark, sf):
     sums = _done(spark, live.windowed(_stream(spark, sf), "executed_at", "1 hour", "6 hours", None, [], "value"), "complete")
     return sums.select(F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("stream_late_rows", "SELECT event_type AS asset, (event_id * 7919) % 400 > 60 AS late, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_late_rows(spark, sf):
+    """Late rows are flagged, not dropped."""
+    stream = _stream(spark, sf)
+    got = F.timestamp_micros(F.unix_micros("executed_at") + (F.col("event_id") * 7919) % 400 * 1_000_000)
+    flagged = live.flagged(stream.withColumn("received_at", got), "executed_at", "received_at", 60)
+    return _done(spark, flagged.select("asset", "late"), "append").groupBy("asset", "late").agg(F.count("*").alias("n"))
+
+
+@query("stream_resume", "SELECT event_type AS asset, count(*) AS n FROM events GROUP BY 1")
+def stream_resume(spark, sf):
+    """A stream that stops halfway and goes on from its checkpoint over a log in which rows come again: each is
+    counted once."""
+    path = files.scratch(spark, "resume")
+    rows = table(spark, sf, "events").select("event_id", F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("executed_at"))
+    for part in (rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1 or event_id % 10 = 0")):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = live.source(spark, f"{path}/in", rows.schema)
+        kept = live.run_to_end(live.deduplicated(stream, ["event_id"], "executed_at", "40 days"), f"{path}/out", "append", f"{path}/progress")
+    return kept.groupBy("asset").agg(F.count("*").alias("n"))

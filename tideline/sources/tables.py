@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,11 +68,6 @@ def yield_curve(frame: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("NEW_DATE", F.to_date(F.substring("NEW_DATE", 1, 10)))
 
 
-def observations(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines; a torn last line is dropped."""
-    return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
-
-
 def union_sources(*tagged: tuple[str, DataFrame]) -> DataFrame:
     """Frames of differing columns as one, each row with its source; missing columns are null."""
     frames = [frame.withColumn("source", F.lit(name)) for name, frame in tagged]
@@ -112,11 +108,10 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 def write_new(frame: DataFrame, path: str) -> int:
     """Write once: an existing path or an empty frame is an error. Returns the rows written."""
-    frame.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    rows = frame.sparkSession.read.parquet(path).count()
-    if not rows:
+    if frame.isEmpty():  # before anything is written, so that the path stays free
         raise ValueError("EMPTY_RESULT_REJECTED")
-    return rows
+    frame.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.parquet(path).count()
 
 
 def publish(frame: DataFrame, path: str, run_id: str) -> None:
@@ -129,6 +124,9 @@ def publish(frame: DataFrame, path: str, run_id: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         frame.write.parquet(target)
+        before = spark.read.parquet(target)
+        if not symmetric_difference(before, frame.select(before.columns)).isEmpty():
+            raise ValueError(f"PUBLISHED_RUN_DIFFERS:{run_id}") from None
         return
     if not symmetric_difference(before, frame.select(before.columns)).isEmpty():
         raise ValueError(f"PUBLISHED_RUN_CHANGED:{run_id}")
@@ -154,13 +152,28 @@ def promote(frame: DataFrame, path: str, load_id: str) -> int:
     fails leaves the version before it in place. Returns the rows."""
     spark = frame.sparkSession
     rows = write_new(frame, f"{path}/loads/load_id={load_id}")
-    spark.createDataFrame([(load_id, rows)], "load_id string, rows long").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    past = _pointers(spark, path)
+    number = 0 if past is None else past.agg(F.max("number")).first()[0] + 1
+    spark.createDataFrame([(number, load_id, rows)], _POINTER).coalesce(1).write.mode("errorifexists").parquet(f"{path}/pointers/{number}")
     return rows
 
 
+_POINTER = "number long, load_id string, rows long"
+
+
+def _pointers(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_POINTER).option("recursiveFileLookup", True).parquet(f"{path}/pointers")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The version that was promoted last."""
-    return spark.read.parquet(f"{path}/loads/load_id={spark.read.parquet(f'{path}/current').first().load_id}")
+    """The version that was promoted last: pointers are only ever added, and the newest that is whole counts."""
+    newest = _pointers(spark, path).orderBy(F.desc("number")).first()
+    return spark.read.parquet(f"{path}/loads/load_id={newest.load_id}")
 
 
 def reconciled(existing: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:

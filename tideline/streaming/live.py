@@ -33,11 +33,22 @@ def flagged(stream: DataFrame, event: str, receipt: str, late_seconds: int) -> D
     return stream.withColumn("lag_us", lag).withColumn("late", lag > late_seconds * 1_000_000)
 
 
-def run_to_end(frame: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Work through what is there, into a memory table; for tests and backfills of bounded results."""
-    query = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return frame.sparkSession.table(name)
+def run_to_end(frame: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Work through what is there and read the result back from Parquet; nothing is collected. In complete mode each
+    batch writes a version of its own, and the last one is the result."""
+    spark = frame.sparkSession
+    if mode == "append":
+        append_to(frame, path, checkpoint).awaitTermination()
+        return spark.read.schema(frame.schema).parquet(path)
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+        last.append(number)
+
+    stream = frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    stream.trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{path}/version={max(last)}")
 
 
 def append_to(frame: DataFrame, path: str, checkpoint: str):
