@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, reduce
 from operator import and_
 
@@ -129,6 +132,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+_turn: list = [None, None]
+
+
+def turn(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Called where a task of an operator begins. Python workers live on from one operator to the next: when another
+    one takes over, what the one before remembered goes, and freed memory goes back to the machine."""
+    if _turn[0] != owner:
+        if _turn[1] is not None:
+            _turn[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+    _turn[:] = [owner, clear]
+
+
 def own_columns(docs: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that extra columns of any name do no harm."""
     return docs.select(*[F.col(f"`{column}`").alias(name) for name, column in names.items()])

@@ -145,6 +145,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     for items in _slices(benchmark, item_column, item_text_column):
 
         def run(batches: Iterable[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            common.turn("benchmark items")
             match = Matcher(items, rate)
             for keys, parts in common.chunks(batches):
                 rows = [(key, *hit) for key, text in zip(keys, parts, strict=True) for hit in match(text)]
@@ -159,5 +160,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item; nothing is shuffled."""
     for items in _slices(benchmark, item_column, item_text_column):
-        docs = common.rows_where(docs, text_column, lambda items=items: (lambda match: lambda texts: [not match(t, first=True) for t in texts])(Matcher(items, rate)))
+
+        def test(items=items):
+            common.turn("benchmark items")
+            match = Matcher(items, rate)
+            return lambda texts: [not match(t, first=True) for t in texts]
+
+        docs = common.rows_where(docs, text_column, test)
     return docs

@@ -107,6 +107,7 @@ def plausible(a, b, size_a, size_b, least: float) -> np.ndarray:
 
 def _sketched(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.turn("near-duplicates")
         for keys, texts in common.chunks(batches, text_at=3, most=2_000_000):
             for at in range(0, len(keys), 2_000):
                 sets = list(shingles.shingle_sets(texts[at : at + 2_000], words))

@@ -64,6 +64,7 @@ def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.turn("languages")
         held: dict[str, np.ndarray] = {}
 
         def out():
@@ -156,6 +157,7 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], id_column: str
     shared = docs.sparkSession.sparkContext.broadcast(logs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.turn("languages")
         for keys, parts in common.chunks(batches):
             found = [mixture(t, names, shared.value) for t in parts]
             best = [min(f, key=lambda k, f=f: (-f[k], k)) if f else UNKNOWN for f in found]
@@ -168,4 +170,9 @@ def known_language(docs: DataFrame, model: tuple[list[str], np.ndarray], least_s
     """The rows of ``docs``, all columns, whose largest share is ``least_share`` or more; others are rejected."""
     names, logs = model
     shared = docs.sparkSession.sparkContext.broadcast(logs)
-    return common.rows_where(docs, text_column, lambda: lambda texts: [predicted(t, names, shared.value)[1] >= least_share for t in texts])
+
+    def test():
+        common.turn("languages")
+        return lambda texts: [predicted(t, names, shared.value)[1] >= least_share for t in texts]
+
+    return common.rows_where(docs, text_column, test)

@@ -93,6 +93,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _pieces(path: str, room: int, end_id: int, groups: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.turn("packing", encoder.cache_clear)
         end = np.array([end_id], "<u4").tobytes()
         task = TaskContext.get().partitionId()
         row, piece, whole = task << 36, task << 36, 0

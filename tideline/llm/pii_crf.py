@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -502,17 +503,31 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Spa
 # ---- over tables -----------------------------------------------------------------------------------------
 
 
+_sent: dict = {}
+
+
+def _shared(docs: DataFrame, field: Field | None) -> Broadcast:
+    """The field as a broadcast; the default one is sent once a session, so that workers hold it once."""
+    context = docs.sparkSession.sparkContext
+    if field is not None:
+        return context.broadcast(field)
+    if context.applicationId not in _sent:
+        _sent[context.applicationId] = context.broadcast(trained())
+    return _sent[context.applicationId]
+
+
 def find(docs: DataFrame, field: Field | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_key, base, spans`` per row: arrays of (kind, start, end) in code points, end exclusive, by start and
     then kind. A null text is empty. Texts are searched whole, in time linear in their length."""
-    made = docs.sparkSession.sparkContext.broadcast(field or trained())
+    made = _shared(docs, field)
     texts = common.own_columns(docs, doc_key=id_column, text=text_column).select(F.col("doc_key").cast("long"), "text")
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_key", pa.int64()), ("base", span), ("spans", span)])
     as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for a, b, k in ordered(spans)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, parts in common.chunks(batches):
+        common.turn("personal data", made.value._forget)
+        for keys, parts in common.chunks(batches, most=1_000_000):
             found = all_spans(parts, made.value)
             yield from common.rows_out(schema, [keys, [as_rows(b) for b, _ in found], [as_rows(a) for _, a in found]])
 
@@ -536,5 +551,10 @@ def redacted(text: str | None, spans: list[Span]) -> str | None:
 
 def redact(docs: DataFrame, field: Field | None = None, text_column: str = "text") -> DataFrame:
     """``docs``, all columns, with the spans of each text masked; nothing is shuffled."""
-    made = docs.sparkSession.sparkContext.broadcast(field or trained())
-    return common.texts_changed(docs, text_column, lambda: lambda texts: [redacted(t, a) for t, (_, a) in zip(texts, all_spans([t or "" for t in texts], made.value), strict=True)])
+    made = _shared(docs, field)
+
+    def change():
+        common.turn("personal data", made.value._forget)
+        return lambda texts: [redacted(t, a) for t, (_, a) in zip(texts, all_spans([t or "" for t in texts], made.value), strict=True)]
+
+    return common.texts_changed(docs, text_column, change)
