@@ -115,7 +115,7 @@ def asof_latest_per_key(spark, sf):
 def asof_tie_sequence(spark, sf):
     rows = tape(spark, sf).select("seq", "asset", F.floor(F.col("executed_us") / HOUR).alias("tick"))
     origins = rows.select("asset", "tick").distinct()
-    return asof.latest(origins, rows.withColumn("s", F.col("seq")), ["asset"], "tick", "tick", ["seq"], ["s"]).select("asset", "tick", F.col("s").alias("seq"))
+    return asof.latest(origins, rows.withColumn("s", F.col("seq")), ["asset"], "tick", "tick", ["seq"], ["s"], bucket=24).select("asset", "tick", F.col("s").alias("seq"))
 
 
 @query("asof_staleness_bound", f"""WITH {TAPE}, p AS (SELECT seq, contract, executed_us FROM tape WHERE asset = 'purchase'), v AS (SELECT seq AS v_seq, contract, created_us FROM tape WHERE asset = 'view'),
@@ -125,7 +125,7 @@ def asof_staleness_bound(spark, sf):
     rows = tape(spark, sf)
     origins = rows.where("asset = 'purchase'").select("seq", "contract", (F.col("executed_us") - 120_000_000).alias("cutoff"), (F.col("executed_us") - 120_000_000 - DAY).alias("oldest"))
     views = rows.where("asset = 'view'").select("contract", "created_us", F.col("seq").alias("view_seq"))
-    return asof.latest(origins, views, ["contract"], "cutoff", "created_us", ["view_seq"], ["view_seq"], oldest="oldest").select("seq", "view_seq")
+    return asof.latest(origins, views, ["contract"], "cutoff", "created_us", ["view_seq"], ["view_seq"], oldest="oldest", bucket=7 * DAY).select("seq", "view_seq")
 
 
 @query("asof_snapshot_contracts", f"""WITH {TAPE}, o AS (SELECT DISTINCT epoch_us(session_date::TIMESTAMP) + 16 * {HOUR} AS cutoff FROM tape),
@@ -143,7 +143,7 @@ def asof_snapshot_contracts(spark, sf):
 def asof_multi_cutoff(spark, sf):
     rows = tape(spark, sf)
     origins = rows.select("asset", (F.unix_micros(F.col("session_date").cast("timestamp")) + 12 * HOUR).alias("origin")).distinct().withColumn("delay_s", F.explode(F.array(F.lit(0), F.lit(60), F.lit(300)))).withColumn("cutoff", F.col("origin") - F.col("delay_s") * 1_000_000)
-    return asof.latest(origins, rows, ["asset"], "cutoff", "created_us", ["seq"], ["seq"]).select("asset", "origin", "delay_s", "seq")
+    return asof.latest(origins, rows, ["asset"], "cutoff", "created_us", ["seq"], ["seq"], bucket=DAY).select("asset", "origin", "delay_s", "seq")
 
 
 @query("availability_gate", f"""WITH {TAPE} SELECT seq, CASE WHEN created_us <= executed_us + 120000000 THEN premium ELSE -1.0 END AS visible FROM tape""")
