@@ -198,11 +198,12 @@ def _runs(text: str) -> list[list[tuple[int, int, list[str], int]]]:
     return [run] if run else []
 
 
-_FORM = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "a" * 26 + "A" * 26)
-#: Distinct words, and their characters, whose scores a field remembers from one batch to the next.
-_WORDS, _WORD_CHARS = 60_000, 4_000_000
-#: How often the bounds on a token's labels are narrowed by its neighbours; more only costs time.
-ROUNDS = 1
+_FORM = str.maketrans("abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 58 + "A" * 26 + "0" * 10)
+_HEX = re.compile(r"[0-9a-f]{16,}")
+#: Distinct words, and characters of words and forms, that a field remembers from one batch to the next.
+_WORDS, _WORD_CHARS = 150_000, 4_000_000
+#: Rows of tokens whose scores are made at once.
+_BLOCK = 8_192
 
 
 class Field:
@@ -219,98 +220,130 @@ class Field:
         self.__init__(*state)
 
     def _forget(self) -> None:
-        self._known: dict[str | None, int] = {}
+        #: Row of each word; words of one form, one known beginning and one known name share it.
+        self._known: dict[str | None, int] = {None: 0}
         self._forms: dict[str, int] = {}
-        self._form_sums: list[np.ndarray] = []
-        self._tables, self._chars = np.zeros((0, 4, len(LABELS))), 0
+        self._form_sums: list[tuple[np.ndarray, ...]] = []
+        self._rows: dict[tuple[int, int, int], int] = {}
+        self._chars = 0
+        lone = [self._sum(names) for names in near_features(None)]
+        self._tables = np.stack([np.zeros(len(LABELS)), *lone])[None]
+        self._heads = {f[5:]: i for f, i in self.index.items() if f.startswith("head=")}
+        names = dict.fromkeys(f.split("=", 1)[1] for f in self.index if f.startswith(("prev=", "prev2=", "next=")))
+        self._names = {name: k for k, name in enumerate(names)}
+        self._name_sums = [tuple(self._sum([f"{of}={name}"]) for of in ("prev", "prev2", "next")) for name in names]
 
     def _sum(self, names: list[str]) -> np.ndarray:
         return self.emit[[self.index[f] for f in names if f in self.index]].sum(axis=0)
 
-    def emissions(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores by token and label of all texts' tokens one after another, with two empty rows before each text
-        and at the end; and the first token's row of each text."""
+    def _learn(self, words: Iterable[str]) -> None:
+        """Rows for words not seen before. What a word's features are follows from its form (letters and digits
+        by class; whether it is hexadecimal), its first letters, and its own name as a neighbour."""
+        known, forms, rows, heads, names = self._known, self._forms, self._rows, self._heads, self._names
+        made = []
+        for w in words:
+            form = w.translate(_FORM)
+            trimmed = _trimmed(w)
+            if len(w) >= 16 and _HEX.fullmatch(trimmed or w):
+                form += "\0"
+            own = forms.get(form)
+            if own is None:
+                own = forms[form] = len(self._form_sums)
+                beside = near_features(w)
+                self._form_sums.append((self._sum(own_features(w)[:-1]), self._sum(beside[0][1:]), self._sum(beside[2][1:])))
+                self._chars += len(form)
+            key = (own, heads.get((trimmed or w)[:4], -1), names.get(trimmed.lower(), -1))
+            row = rows.get(key)
+            if row is None:
+                row = rows[key] = len(self._tables) + len(made)
+                made.append(key)
+            known[w] = row
+            self._chars += len(w)
+        if made:
+            table = np.zeros((len(made), 4, len(LABELS)))
+            for k, (own, head, name) in enumerate(made):
+                table[k, 0], table[k, 1], table[k, 3] = self._form_sums[own]
+                if head >= 0:
+                    table[k, 0] += self.emit[head]
+                if name >= 0:
+                    table[k, 1:] += self._name_sums[name]
+            self._tables = np.concatenate([self._tables, table])
+
+    def _places(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Table rows of all texts' tokens one after another, with two edge rows before each text and at the end;
+        and where each text's first token is."""
         if len(self._known) > _WORDS or self._chars > _WORD_CHARS:
             self._forget()
         known = self._known
-        new = list(dict.fromkeys(w for w in set().union([None], *texts) if w not in known))
-        if new:
-            made, parts = np.empty((len(new), 4, len(LABELS))), np.full((len(new), 5), -1)
-            slow = []
-            for k, w in enumerate(new):
-                known[w] = len(self._tables) + k
-                self._chars += len(w or "")
-                if w is None or len(w) >= 16 or _MARK.search(w):
-                    slow.append(k)
-                    continue
-                # such words of one form differ by their first letters and as neighbours alone
-                form = w.translate(_FORM)
-                if (own := self._forms.get(form)) is None:
-                    own = self._forms[form] = len(self._form_sums)
-                    self._form_sums.append(self._sum(own_features(w)[:-1]))
-                trimmed = _trimmed(w)
-                near = trimmed.lower()
-                get = self.index.get
-                parts[k] = own, get(f"head={(trimmed or w)[:4]}", -1), get(f"prev={near}", -1), get(f"prev2={near}", -1), get(f"next={near}", -1)
-            emit = np.vstack([self.emit, np.zeros(len(LABELS))])  # its last row, -1, stands for an unknown feature
-            made[:] = emit[np.c_[parts[:, 1], parts[:, 2], parts[:, 3], parts[:, 4]]]
-            made[:, 1] += self._sum(["before=-"])
-            made[:, 3] += self._sum(["after=-"])
-            if self._form_sums:
-                made[:, 0] += np.array(self._form_sums)[parts[:, 0]]
-            for k in slow:
-                made[k] = [np.zeros(len(LABELS)) if new[k] is None else self._sum(own_features(new[k])), *map(self._sum, near_features(new[k]))]
-            self._tables = np.concatenate([self._tables, made])
-        edge = [known[None]] * 2
-        ids: list[int] = []
-        first = []
-        for words in texts:
-            ids += edge
-            first.append(len(ids))
-            ids += map(known.__getitem__, words)
-        at = np.array(ids + edge)
-        out = self._tables[at, 0]
-        out[1:] += self._tables[at[:-1], 1]
-        out[2:] += self._tables[at[:-2], 2]
-        out[:-1] += self._tables[at[1:], 3]
-        return out, np.array(first, int)
+        self._learn(set().union(*texts).difference(known))
+        at = np.zeros(sum(map(len, texts)) + 2 * len(texts) + 2, np.int32)
+        first, done = np.empty(len(texts), int), 2
+        for n, words in enumerate(texts):
+            first[n] = done
+            at[done : done + len(words)] = [known[w] for w in words]
+            done += len(words) + 2
+        return at, first
+
+    def _scores(self, at: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Scores by label of the tokens in rows ``low`` to ``high``, from their own and their neighbours' tables."""
+        tables = self._tables
+        out = tables[at[low:high], 0]
+        out[max(0, 1 - low) :] += tables[at[max(0, low - 1) : high - 1], 1]
+        out[max(0, 2 - low) :] += tables[at[max(0, low - 2) : high - 2], 2]
+        out[: len(at) - 1 - low] += tables[at[low + 1 : high + 1], 3]
+        return out
+
+    def emissions(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all rows of ``_places``, and the first token's row of each text."""
+        at, first = self._places(texts)
+        return self._scores(at, 0, len(at)), first
 
     def scores(self, run) -> np.ndarray:
         return self.emissions([[words[i] for _, _, words, i in run]])[0][2:-2]
 
-    def outside(self, scores: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Whether a token is outside in every best path, of texts in rows ``first`` to ``ends``. How far the best
-        way to a label may lead the best way to outside is bounded whatever stands before, and likewise behind;
-        a round over the neighbours narrows the bounds. Where they leave each label behind, none can win."""
-        to, gain = self.move - self.move[:, :1], scores - scores[:, :1]
+    def open_rows(self, at: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether a token may have a label in a best path, of texts in rows ``first`` to ``ends``. How far the best
+        way to a label may lead the best way to outside is bounded whatever stands before, and likewise behind.
+        Where the bounds leave each label behind, none can win; where they do not, they are narrowed by the
+        neighbours' own bounds. Rows between texts are closed."""
+        move, to, back = self.move, self.move - self.move[:, :1], self.move - self.move[:1]
         edge = self.start - self.start[0]
         plain = [i for i, n in enumerate(LABELS) if n[0] != "I"]
-        inner = [(LABELS.index(f"B-{kind}"), LABELS.index(f"I-{kind}")) for kind in FIELD_KINDS]
-        sure = np.zeros(len(scores), bool)
-        for low in range(0, len(scores), 4_096):
+        ahead_most, behind_most = to.max(axis=0), back[:, plain].max(axis=1)
+        inner = []  # a span that goes on behind could begin anew there
+        for kind in FIELD_KINDS:
+            x, y = LABELS.index(f"B-{kind}"), LABELS.index(f"I-{kind}")
+            anew = max(0.0, (move[y, [*plain, y]] - move[x, [*plain, y]]).max())
+            inner += [(label, x, y, move[label, y] - move[0, x] + anew) for label in (x, y)]
+        out = np.zeros(len(at), bool)
+        inside = np.zeros(len(at) + 1, int)
+        inside[first], inside[ends] = 1, -1
+        inside = inside.cumsum()[:-1] > 0
+        for low in range(0, len(at), _BLOCK):
             # rows beside the block only lend their bounds
-            a, b = max(0, low - 2), min(len(scores), low + 4_098)
-            own = gain[a:b]
+            top = min(len(at), low + _BLOCK)
+            a, b = max(0, low - 2), min(len(at), top + 2)
+            own = np.ascontiguousarray(self._scores(at, a, b).T)
+            own -= own[0].copy()
             begins, stops = first[(first >= a) & (first < b)] - a, ends[(ends > a) & (ends <= b)] - a - 1
-            ahead, behind = np.tile(to.max(axis=0), (b - a, 1)), np.tile((self.move - self.move[:1])[:, plain].max(axis=1), (b - a, 1))
-            for x, y in inner:  # a span that goes on behind could begin anew there
-                anew = own[1:, y] - own[1:, x] + max(0.0, (self.move[y, [*plain, y]] - self.move[x, [*plain, y]]).max())
-                for label in (x, y):
-                    behind[:-1, label] = np.maximum(behind[:-1, label], self.move[label, y] - self.move[0, x] + anew)
-            behind[-1] = np.inf
-            ahead[begins], behind[stops] = edge, 0.0
-            for _ in range(ROUNDS):
-                lead, rest = (own + ahead)[:-1], (own + behind)[1:]
-                came, goes = np.full(lead.shape, -np.inf), np.full(rest.shape, -np.inf)
-                for label in range(len(LABELS)):
-                    np.maximum(came, lead[:, label, None] + self.move[label], out=came)
-                    np.maximum(goes, rest[:, label, None] + self.move[:, label], out=goes)
-                came[:, 0], goes[:, 0] = self.move[0, 0], self.move[0, 0]
-                ahead[1:], behind[:-1] = np.minimum(ahead[1:], came - self.move[0, 0]), np.minimum(behind[:-1], goes - self.move[0, 0])
-                ahead[begins], behind[stops] = edge, 0.0
-            top = min(len(scores), low + 4_096)
-            sure[low:top] = ((own + ahead + behind)[low - a : top - a, 1:] < -1e-6).all(axis=1)
-        return sure
+            ahead, behind = np.repeat(ahead_most[:, None], b - a, 1), np.repeat(behind_most[:, None], b - a, 1)
+            for label, x, y, anew in inner:
+                np.maximum(behind[label, :-1], own[y, 1:] - own[x, 1:] + anew, out=behind[label, :-1])
+            behind[:, -1] = np.inf
+            ahead[:, begins], behind[:, stops] = edge[:, None], 0.0
+            lead, rest = own + ahead, own + behind
+            most = (lead + behind)[1:, low - a : top - a].max(axis=0)
+            here = np.flatnonzero((most > -1e-6) & inside[low:top]) + low - a
+            own, ahead, behind, lead, rest = own[:, here], ahead[:, here], behind[:, here], lead[:, here - 1], rest[:, here + 1]
+            came, goes = lead[0] + move[0][:, None], rest[0] + move[:, 0][:, None]
+            for label in range(1, len(LABELS)):
+                np.maximum(came, lead[label] + move[label][:, None], out=came)
+                np.maximum(goes, rest[label] + move[:, label][:, None], out=goes)
+            came[0], goes[0] = move[0, 0], move[0, 0]
+            came, goes = np.minimum(ahead, came - move[0, 0]), np.minimum(behind, goes - move[0, 0])
+            came[:, np.isin(here, begins)], goes[:, np.isin(here, stops)] = edge[:, None], 0.0
+            out[here + a] = ((own + came + goes)[1:] > -1e-6).any(axis=0)
+        return out
 
     def viterbi(self, runs: list) -> list[list[int]]:
         """Best labels of many runs at once."""
@@ -348,18 +381,15 @@ class Field:
 
     def labels(self, texts: list[list[str]]) -> list[list[int] | None]:
         """Best labels of each text's words; None where all are outside."""
-        scores, first = self.emissions(texts)
+        at, first = self._places(texts)
         ends = first + np.array([len(words) for words in texts], int)
         some = ends > first
-        open_ = ~self.outside(scores, first[some], ends[some])
-        open_[0] = False  # as are all rows between texts
-        for k in range(2):
-            open_[np.r_[first - 1 - k, len(scores) - 1 - k].astype(int)] = False
+        open_ = self.open_rows(at, first[some], ends[some])
         turn = np.flatnonzero(np.diff(np.r_[False, open_, False]))
         low, high = turn[::2], turn[1::2]
         text = np.searchsorted(first, low, "right") - 1
         out: list[list[int] | None] = [None] * len(texts)
-        paths = self.decoded([scores[a:b] for a, b in zip(low, high, strict=True)], [(a == first[n], b == ends[n]) for n, a, b in zip(text, low, high, strict=True)])
+        paths = self.decoded([self._scores(at, a, b) for a, b in zip(low, high, strict=True)], [(a == first[n], b == ends[n]) for n, a, b in zip(text, low, high, strict=True)])
         for n, a, path in zip(text.tolist(), low.tolist(), paths, strict=True):
             if any(path):
                 own = out[n] = out[n] or [0] * len(texts[n])
