@@ -30,11 +30,6 @@ def tiled(rows: DataFrame, clock: str, step: int, first: Column) -> DataFrame:
     return rows.withColumn("window_end", F.greatest(F.ceil(F.col(clock) / step) * step, first))
 
 
-def band(left: DataFrame, right: DataFrame, on: list[str], test: Column) -> DataFrame:
-    """Equi-join with a further condition; Catalyst keeps the equal keys for the shuffle."""
-    return left.alias("l").join(right.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in on]).where(test)
-
-
 def trailing_mean(value: Column, window: W, rows: int, lag: int = 1) -> Column:
     """Mean of the ``rows`` values that end ``lag`` rows before, null until there are as many."""
     frame = window.rowsBetween(-rows - lag + 1, -lag)

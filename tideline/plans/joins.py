@@ -89,10 +89,10 @@ def join_band_backward(spark, sf):
   AND v.executed_us <= p.executed_us + {6 * HOUR} WHERE p.asset = 'signup' GROUP BY 1""")
 def join_band_forward(spark, sf):
     rows = tape(spark, sf)
-    left = rows.where("asset = 'signup'").select("contract", "session_date", "seq", "executed_us")
-    test = (F.col("r.executed_us") > F.col("l.executed_us")) & (F.col("r.executed_us") <= F.col("l.executed_us") + 6 * HOUR)
-    near = windows.band(left, rows.select("contract", "session_date", "executed_us", "premium"), ["contract", "session_date"], test)
-    return near.groupBy(F.col("l.seq").alias("seq")).agg(F.count("*").alias("n"), r6(F.max("r.premium")).alias("top"))
+    ends = rows.where("asset = 'signup'").select("contract", "session_date", "seq", (F.col("executed_us") + 6 * HOUR).alias("until"))
+    later = rows.select("contract", "session_date", "executed_us", "premium")
+    near = asof.within(ends, later, ["contract", "session_date"], "until", "executed_us", 6 * HOUR - 1)
+    return near.groupBy("seq").agg(F.count("*").alias("n"), r6(F.max("premium")).alias("top"))
 
 
 @query("exact_lag_change", f"""WITH {BARS} SELECT a.asset, a.session_date, a.bar::INTEGER AS bar, {s6('ln(a.close / b.close)')} AS change FROM bars a LEFT JOIN bars b ON a.asset = b.asset AND a.session_date = b.session_date AND b.bar = a.bar - 2""", dates=["session_date"])
