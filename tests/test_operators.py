@@ -275,3 +275,18 @@ def test_saved_forecaster_scores_alike(spark, sf, tmp_path):
         again = PipelineModel.load(str(tmp_path / kind))
         assert rows_of(model.transform(df), "x", "prediction") == rows_of(again.transform(df), "x", "prediction")
     assert len(df.select(*models.spline_basis("x", [5.0, 10.0])).columns) == 2
+
+
+def test_exact_quantiles_of_ties_nulls_and_lone_rows(spark):
+    import numpy as np
+
+    from tideline.operators import quantiles
+
+    groups = {"a": [3.0, 1.0, 1.0, 1.0, 2.5, -4.0, 9.0], "b": [7.0], None: [2.0, 2.0], "c": [float(i % 13) / 4 for i in range(200)]}
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("a", None), ("b", float("nan")), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for width in (0.25, 100.0):
+        got = {(r.g, r.q): r.quantile for r in quantiles.exact(df, ["g"], "v", [0.0, 0.25, 0.5, 0.95, 1.0], width).collect()}
+        want = {(g, q): float(np.quantile(values, q)) for g, values in groups.items() for q in (0.0, 0.25, 0.5, 0.95, 1.0)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert quantiles.exact(df.limit(0), ["g"], "v", [0.5], 1.0).collect() == []

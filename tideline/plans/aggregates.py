@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, flow, latency, panel
+from ..operators import evaluate, flow, latency, panel, quantiles
 from ..sources.tables import table, tape
 from .registry import TAPE, query, r6, s6
 
@@ -26,7 +26,10 @@ def agg_filtered(spark, sf):
 
 @query("agg_median_quantile", f"""WITH {TAPE} SELECT asset, {s6('median(premium)')} AS median, {s6('quantile_cont(premium, 0.95)')} AS p95, {s6('quantile_cont(premium, 0.05)')} AS p05, {s6('max(premium) - min(premium)')} AS width FROM tape GROUP BY 1""")
 def agg_median_quantile(spark, sf):
-    return tape(spark, sf).groupBy("asset").agg(r6(F.median("premium")).alias("median"), r6(F.percentile("premium", F.lit(0.95))).alias("p95"), r6(F.percentile("premium", F.lit(0.05))).alias("p05"), r6(F.max("premium") - F.min("premium")).alias("width"))
+    rows = tape(spark, sf)
+    found = quantiles.wide(rows, ["asset"], "premium", {"median": 0.5, "p95": 0.95, "p05": 0.05}, width=0.25)
+    ranges = rows.groupBy("asset").agg(r6(F.max("premium") - F.min("premium")).alias("width"))
+    return ranges.join(found, "asset", "left").select("asset", *[r6(q).alias(q) for q in ("median", "p95", "p05")], "width")
 
 
 @query("agg_nearest_quantile", f"""WITH {TAPE}, r AS (SELECT asset, premium, row_number() OVER (PARTITION BY asset ORDER BY premium, seq) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM tape)
@@ -95,7 +98,10 @@ def feature_summary(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
     n = F.count("v")
     adjusted = F.skewness("v") * F.sqrt(n * (n - 1)) / (n - 2)
-    return rows.unpivot([], ["quantity", "discount", "tax"], "feature", "v").groupBy("feature").agg(n.alias("n"), r6(F.avg("v")).alias("mean"), r6(F.stddev_samp("v")).alias("sd"), r6(F.percentile("v", F.lit(0.25))).alias("q25"), r6(F.percentile("v", F.lit(0.75))).alias("q75"), r6(adjusted).alias("skew"))
+    long = rows.unpivot([], ["quantity", "discount", "tax"], "feature", "v")
+    moments = long.groupBy("feature").agg(n.alias("n"), r6(F.avg("v")).alias("mean"), r6(F.stddev_samp("v")).alias("sd"), r6(adjusted).alias("skew"))
+    found = quantiles.wide(long, ["feature"], "v", {"q25": 0.25, "q75": 0.75}, width=0.25)
+    return moments.join(found, "feature", "left").select("feature", "n", "mean", "sd", r6("q25").alias("q25"), r6("q75").alias("q75"), "skew")
 
 
 @query("weighted_share", f"""SELECT l_returnflag, {s6('sum(l_discount * l_extendedprice) / sum(l_extendedprice)')} AS discount FROM lineitem GROUP BY 1""")
