@@ -81,8 +81,14 @@ def value_counts(spark, sf):
 
 @query("scope_cube", f"""SELECT coalesce(l_returnflag, 'ALL') AS flag, coalesce(l_linestatus, 'ALL') AS status, count(*) AS n, {s6('median(l_quantity)')} AS median, {s6('quantile_cont(l_extendedprice, 0.95)')} AS p95 FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 def scope_cube(spark, sf):
-    cubed = table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), r6(F.median("l_quantity")).alias("median"), r6(F.percentile("l_extendedprice", F.lit(0.95))).alias("p95"))
-    return cubed.select(F.coalesce("l_returnflag", F.lit("ALL")).alias("flag"), F.coalesce("l_linestatus", F.lit("ALL")).alias("status"), "n", "median", "p95")
+    rows, scope = table(spark, sf, "lineitem"), ["all_flags", "all_statuses", "flag", "status"]
+    # every row under its four scopes, as a cube has them; the marks part a null from the whole
+    for of, name, mark in (("l_returnflag", "flag", "all_flags"), ("l_linestatus", "status", "all_statuses")):
+        rows = rows.withColumn(mark, F.explode(F.array(F.lit(False), F.lit(True)))).withColumn(name, F.when(F.col(mark), "ALL").otherwise(F.coalesce(of, F.lit("ALL"))))
+    out = rows.groupBy(*scope).agg(F.count("*").alias("n"))
+    out = out.join(quantiles.wide(rows, scope, "l_quantity", {"median": 0.5}, width=1.0), scope, "left")
+    out = out.join(quantiles.wide(rows, scope, "l_extendedprice", {"p95": 0.95}, width=100.0), scope, "left")
+    return out.select("flag", "status", "n", r6("median").alias("median"), r6("p95").alias("p95"))
 
 
 @query("pivot_session_cells", f"""WITH {TAPE} SELECT session_date, {', '.join(f"{s6(f"avg(premium) FILTER (WHERE asset = '{a}')")} AS {a}" for a in ('click', 'error', 'purchase', 'signup', 'view'))} FROM tape GROUP BY 1""", dates=["session_date"])
@@ -175,7 +181,9 @@ def lag_cdf(spark, sf):
   SELECT hour, asset, n, sessions, CASE WHEN n >= 30 AND sessions >= 3 THEN {s6('m')} END AS median_lag, CASE WHEN n >= 30 AND sessions >= 3 THEN 'ok' ELSE 'insufficient' END AS status FROM h""")
 def hourly_support(spark, sf):
     lag = (F.col("created_us") - F.col("executed_us")) / 1e6
-    h = tape(spark, sf).groupBy(F.hour("executed_at").alias("hour"), "asset").agg(F.count("*").alias("n"), F.countDistinct("session_date").alias("sessions"), r6(F.median(lag)).alias("m"))
+    rows = tape(spark, sf).select(F.hour("executed_at").alias("hour"), "asset", "session_date", lag.alias("lag"))
+    h = rows.groupBy("hour", "asset").agg(F.count("*").alias("n"), F.countDistinct("session_date").alias("sessions"))
+    h = h.join(quantiles.wide(rows, ["hour", "asset"], "lag", {"m": 0.5}, width=1.0), ["hour", "asset"], "left").withColumn("m", r6("m"))
     ok = (F.col("n") >= 30) & (F.col("sessions") >= 3)
     return h.select("hour", "asset", "n", "sessions", F.when(ok, F.col("m")).alias("median_lag"), F.when(ok, "ok").otherwise("insufficient").alias("status"))
 
@@ -184,7 +192,9 @@ def hourly_support(spark, sf):
   SELECT session_date, {s6('p95')} AS p95, {s6('late')} AS late, greatest(120, ceil(1.5 * {s6('p95')}))::BIGINT AS cutoff_s, late <= 0.75 AS admissible FROM s""", dates=["session_date"])
 def session_verdicts(spark, sf):
     lag = (F.col("created_us") - F.col("executed_us")) / 1e6
-    s = tape(spark, sf).groupBy("session_date").agg(r6(F.percentile(lag, F.lit(0.95))).alias("p95"), F.avg(F.when(lag > 120, 1.0).otherwise(0.0)).alias("l"))
+    rows = tape(spark, sf).select("session_date", lag.alias("lag"))
+    s = rows.groupBy("session_date").agg(F.avg(F.when(F.col("lag") > 120, 1.0).otherwise(0.0)).alias("l"))
+    s = s.join(quantiles.wide(rows, ["session_date"], "lag", {"p95": 0.95}, width=1.0), "session_date", "left").withColumn("p95", r6("p95"))
     return s.select("session_date", "p95", r6("l").alias("late"), F.greatest(F.lit(120), F.ceil(1.5 * F.col("p95"))).cast("long").alias("cutoff_s"), (F.col("l") <= 0.75).alias("admissible"))
 
 
