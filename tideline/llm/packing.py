@@ -82,6 +82,11 @@ def encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
+def _forget() -> None:
+    encoder.cache_clear()
+    pretokens.forget()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers evenly."""
     x = x.astype(np.uint64)
@@ -93,7 +98,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _pieces(path: str, room: int, end_id: int, groups: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.turn("packing", encoder.cache_clear)
+        common.turn("packing", _forget)
         end = np.array([end_id], "<u4").tobytes()
         task = TaskContext.get().partitionId()
         row, piece, whole = task << 36, task << 36, 0

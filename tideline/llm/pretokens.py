@@ -51,6 +51,12 @@ def whole_pieces(path: str) -> frozenset[str]:
     return frozenset(e for e, x in zip(entries, encoded, strict=True) if len(x.ids) == 1)
 
 
+def forget() -> None:
+    """Drop what a Python worker keeps of tokenizers, once another operator takes it over."""
+    for kept in (tokenizer, special_strings, whole_pieces):
+        kept.cache_clear()
+
+
 def byte_level_pretokens(text: str, path: str, _cut=regex.compile(BYTE_LEVEL).findall) -> tuple[list[str], int]:
     """The pre-tokens of a text, and how many special strings it holds, which count as one token each."""
     special = special_strings(path)
