@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import numeric
-from tideline.operators import asof, evaluate, flow, grid, joins, latency, models, normalize, options, panel, realized, windows
+from tideline.operators import asof, evaluate, flow, grid, joins, latency, models, normalize, options, panel, ranks, realized, windows
 
 
 def rows_of(frame, *columns):
@@ -166,7 +166,7 @@ def test_clustered_mean_by_hand(spark):
 
 def test_rank_auc_with_ties(spark):
     data = [(0.1, 0), (0.4, 1), (0.4, 0), (0.8, 1), (0.8, 1)]
-    r = evaluate.rank_auc(spark.createDataFrame(data, "s double, y int").withColumn("g", F.lit(1)), "s", "y", ["g"]).first()
+    r = ranks.auc(spark.createDataFrame(data, "s double, y int").withColumn("g", F.lit(1)), ["g"], "s", "y").first()
     wins = [(a > b) + (a == b) / 2 for a, ya in data if ya for b, yb in data if not yb]
     assert math.isclose(r.auc, sum(wins) / len(wins))
 
@@ -285,8 +285,62 @@ def test_exact_quantiles_of_ties_nulls_and_lone_rows(spark):
     groups = {"a": [3.0, 1.0, 1.0, 1.0, 2.5, -4.0, 9.0], "b": [7.0], None: [2.0, 2.0], "c": [float(i % 13) / 4 for i in range(200)]}
     rows = [(g, v) for g, values in groups.items() for v in values] + [("a", None), ("b", float("nan")), ("d", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    for width in (0.25, 100.0):
-        got = {(r.g, r.q): r.quantile for r in quantiles.exact(df, ["g"], "v", [0.0, 0.25, 0.5, 0.95, 1.0], width).collect()}
+    for cells, small in ((64, 100_000), (4, 5), (2, 1)):
+        got = {(r.g, r.q): r.quantile for r in quantiles.exact(df, ["g"], "v", [0.0, 0.25, 0.5, 0.95, 1.0], cells=cells, small=small).collect()}
         want = {(g, q): float(np.quantile(values, q)) for g, values in groups.items() for q in (0.0, 0.25, 0.5, 0.95, 1.0)}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    assert quantiles.exact(df.limit(0), ["g"], "v", [0.5], 1.0).collect() == []
+    assert quantiles.exact(df.limit(0), ["g"], "v", [0.5]).collect() == []
+
+
+def test_exact_quantiles_under_grouping_sets(spark):
+    import numpy as np
+
+    from tideline.operators import quantiles
+
+    rnd = random.Random(5)
+    data = [(rnd.choice(["a", "b", None]), rnd.choice([1, 2]), rnd.randint(0, 300) / 4, None if rnd.random() < 0.1 else rnd.gauss(0, 1)) for _ in range(900)]
+    df = spark.createDataFrame(data, "g string, h int, v double, w double")
+    for small in (100_000, 20):
+        out = quantiles.wide(df, ["g", "h"], {"m": (F.col("v"), 0.5), "p": (F.col("w"), 0.9)}, sets=[["g", "h"], ["g"], []], count="n", cells=8, small=small).collect()
+        got = {(r._set, r.g, r.h): (r.n, r.m, r.p) for r in out}
+        want: dict = {}
+        for g, h, v, w in data:
+            for key in ((0, g, h), (1, g, None), (3, None, None)):
+                want.setdefault(key, []).append((v, w))
+        assert got.keys() == want.keys()
+        for key, held in want.items():
+            n, m, p = got[key]
+            assert n == len(held) and math.isclose(m, float(np.median([v for v, _ in held])))
+            assert math.isclose(p, float(np.quantile([w for _, w in held if w is not None], 0.9)))
+
+
+def test_distributed_ranks(spark):
+    rnd = random.Random(3)
+    data = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice([None, 1.0, 2.0, 2.5, rnd.random()]), i) for i in range(700)]
+    df = spark.createDataFrame(data, "g string, v double, i int").repartition(5)
+    got = {r.i: (r.row, r.rows) for r in ranks.numbered(df, ["g"], ["v", "i"], total="rows", parts=7).collect()}
+    all_of = {r.i: r.row for r in ranks.numbered(df, [], [F.col("v").desc(), "i"], parts=7).collect()}
+    least = lambda v: (v is not None, v or 0.0)
+    for g in {g for g, _, _ in data}:
+        own = sorted((x for x in data if x[0] == g), key=lambda x: (least(x[1]), x[2]))
+        for at, (_, _, i) in enumerate(own):
+            assert got[i] == (at + 1, len(own))
+    order = sorted(data, key=lambda x: (x[1] is None, -(x[1] or 0.0), x[2]))
+    assert [all_of[i] for _, _, i in order] == list(range(1, 701))
+    tied = {r.i: r.a for r in ranks.with_rank(df, ["g"], "v", "a", parts=7).collect()}
+    for g, v, i in data:
+        own = [x for h, x, _ in data if h == g and x is not None]
+        assert tied[i] == (None if v is None else sum(x < v for x in own) + (sum(x == v for x in own) + 1) / 2)
+    tiles = spark.range(1, 24).select("id", *[ranks.tile(F.col("id"), F.lit(23), k).alias(f"t{k}") for k in (1, 4, 10, 30)], *[F.expr(f"ntile({k}) over (order by id)").alias(f"n{k}") for k in (1, 4, 10, 30)])
+    assert tiles.where("t1 <> n1 or t4 <> n4 or t10 <> n10 or t30 <> n30").count() == 0
+    assert ranks.numbered(df.limit(0), ["g"], ["v"]).collect() == [] and ranks.counted(df.limit(0), ["g"], "v").collect() == []
+
+
+def test_no_rank_sorts_a_key_in_one_task(spark, sf):
+    """Windows in these plans run over counts of values and of ranges only, never over the rows of an asset."""
+    from tideline.plans import catalogue
+
+    for name in ("row_index", "agg_nearest_quantile", "decile_spread", "rank_auc", "rank_correlation"):
+        plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows and all("_part" in line or "sum(_n" in line for line in windows), name

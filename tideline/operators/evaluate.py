@@ -94,19 +94,6 @@ def autocorrelation(series: DataFrame, order: str, value: str, lags: int) -> Dat
     return rho.withColumn("ljung_box", F.col("n") * (F.col("n") + 2) * F.sum(term).over(W.orderBy("lag").rowsBetween(W.unboundedPreceding, 0)))
 
 
-def average_rank(frame: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """Ranks from 1 in which ties share their mean."""
-    over = W.partitionBy(*by).orderBy(value)
-    return frame.withColumn(name, F.rank().over(over) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2)
-
-
-def rank_auc(frame: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    """Area under the curve from average ranks; null where one class is missing."""
-    ranked = average_rank(frame, score, by, "_r")
-    s = ranked.groupBy(*by).agg(F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("r"), F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    return s.select(*by, "p", "q", F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
-
-
 def random_effects(groups: DataFrame, effect: str, variance: str, by: list[str]) -> DataFrame:
     """Random-effects mean with Cochran's Q, I2 and tau2."""
     w, x = F.lit(1.0) / F.col(variance), F.col(effect)

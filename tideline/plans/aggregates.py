@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, flow, latency, panel, quantiles
+from ..operators import evaluate, flow, latency, panel, quantiles, ranks
 from ..sources.tables import table, tape
 from .registry import TAPE, query, r6, s6
 
@@ -26,17 +26,18 @@ def agg_filtered(spark, sf):
 
 @query("agg_median_quantile", f"""WITH {TAPE} SELECT asset, {s6('median(premium)')} AS median, {s6('quantile_cont(premium, 0.95)')} AS p95, {s6('quantile_cont(premium, 0.05)')} AS p05, {s6('max(premium) - min(premium)')} AS width FROM tape GROUP BY 1""")
 def agg_median_quantile(spark, sf):
-    rows = tape(spark, sf)
-    found = quantiles.wide(rows, ["asset"], "premium", {"median": 0.5, "p95": 0.95, "p05": 0.05}, width=0.25)
-    ranges = rows.groupBy("asset").agg(r6(F.max("premium") - F.min("premium")).alias("width"))
-    return ranges.join(found, "asset", "left").select("asset", *[r6(q).alias(q) for q in ("median", "p95", "p05")], "width")
+    premium = F.col("premium")
+    wanted = {"median": 0.5, "p95": 0.95, "p05": 0.05, "least": 0.0, "most": 1.0}
+    found = quantiles.wide(tape(spark, sf), ["asset"], {name: (premium, q) for name, q in wanted.items()}, count="n")
+    return found.select("asset", *[r6(q).alias(q) for q in ("median", "p95", "p05")], r6(F.col("most") - F.col("least")).alias("width"))
 
 
 @query("agg_nearest_quantile", f"""WITH {TAPE}, r AS (SELECT asset, premium, row_number() OVER (PARTITION BY asset ORDER BY premium, seq) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM tape)
   SELECT asset, premium AS tercile FROM r WHERE i = round((n - 1) / 3.0)""")
 def agg_nearest_quantile(spark, sf):
-    rows = tape(spark, sf).withColumn("i", F.row_number().over(W.partitionBy("asset").orderBy("premium", "seq")) - 1).withColumn("n", F.count("*").over(W.partitionBy("asset")))
-    return rows.where(F.col("i") == F.round((F.col("n") - 1) / 3.0)).select("asset", F.col("premium").alias("tercile"))
+    found = ranks.counted(tape(spark, sf), ["asset"], "premium")
+    at = F.round((F.col("total") - 1) / 3.0)
+    return found.where((at >= F.col("before")) & (at < F.col("before") + F.col("n"))).select("asset", F.col("premium").alias("tercile"))
 
 
 @query("agg_count_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(DISTINCT (o_custkey, o_orderpriority)) AS pairs, count(DISTINCT p) + max(CASE WHEN p IS NULL THEN 1 ELSE 0 END) AS with_null FROM (SELECT *, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderpriority END AS p FROM orders) GROUP BY 1")
@@ -81,8 +82,10 @@ def value_counts(spark, sf):
 
 @query("scope_cube", f"""SELECT coalesce(l_returnflag, 'ALL') AS flag, coalesce(l_linestatus, 'ALL') AS status, count(*) AS n, {s6('median(l_quantity)')} AS median, {s6('quantile_cont(l_extendedprice, 0.95)')} AS p95 FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 def scope_cube(spark, sf):
-    cubed = table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), r6(F.median("l_quantity")).alias("median"), r6(F.percentile("l_extendedprice", F.lit(0.95))).alias("p95"))
-    return cubed.select(F.coalesce("l_returnflag", F.lit("ALL")).alias("flag"), F.coalesce("l_linestatus", F.lit("ALL")).alias("status"), "n", "median", "p95")
+    keys = ["l_returnflag", "l_linestatus"]
+    wanted = {"median": (F.col("l_quantity"), 0.5), "p95": (F.col("l_extendedprice"), 0.95)}
+    cubed = quantiles.wide(table(spark, sf, "lineitem"), keys, wanted, sets=[keys, keys[:1], keys[1:], []], count="n")
+    return cubed.select(F.coalesce("l_returnflag", F.lit("ALL")).alias("flag"), F.coalesce("l_linestatus", F.lit("ALL")).alias("status"), "n", r6("median").alias("median"), r6("p95").alias("p95"))
 
 
 @query("pivot_session_cells", f"""WITH {TAPE} SELECT session_date, {', '.join(f"{s6(f"avg(premium) FILTER (WHERE asset = '{a}')")} AS {a}" for a in ('click', 'error', 'purchase', 'signup', 'view'))} FROM tape GROUP BY 1""", dates=["session_date"])
@@ -100,7 +103,7 @@ def feature_summary(spark, sf):
     adjusted = F.skewness("v") * F.sqrt(n * (n - 1)) / (n - 2)
     long = rows.unpivot([], ["quantity", "discount", "tax"], "feature", "v")
     moments = long.groupBy("feature").agg(n.alias("n"), r6(F.avg("v")).alias("mean"), r6(F.stddev_samp("v")).alias("sd"), r6(adjusted).alias("skew"))
-    found = quantiles.wide(long, ["feature"], "v", {"q25": 0.25, "q75": 0.75}, width=0.25)
+    found = quantiles.wide(long, ["feature"], {"q25": (F.col("v"), 0.25), "q75": (F.col("v"), 0.75)})
     return moments.join(found, "feature", "left").select("feature", "n", "mean", "sd", r6("q25").alias("q25"), r6("q75").alias("q75"), "skew")
 
 
@@ -177,7 +180,7 @@ def hourly_support(spark, sf):
     lag = (F.col("created_us") - F.col("executed_us")) / 1e6
     rows = tape(spark, sf).select(F.hour("executed_at").alias("hour"), "asset", "session_date", lag.alias("lag"))
     h = rows.groupBy("hour", "asset").agg(F.count("*").alias("n"), F.countDistinct("session_date").alias("sessions"))
-    h = h.join(quantiles.wide(rows, ["hour", "asset"], "lag", {"m": 0.5}, width=1.0), ["hour", "asset"], "left").withColumn("m", r6("m"))
+    h = h.join(quantiles.wide(rows, ["hour", "asset"], {"m": (F.col("lag"), 0.5)}), ["hour", "asset"], "left").withColumn("m", r6("m"))
     ok = (F.col("n") >= 30) & (F.col("sessions") >= 3)
     return h.select("hour", "asset", "n", "sessions", F.when(ok, F.col("m")).alias("median_lag"), F.when(ok, "ok").otherwise("insufficient").alias("status"))
 
@@ -188,7 +191,7 @@ def session_verdicts(spark, sf):
     lag = (F.col("created_us") - F.col("executed_us")) / 1e6
     rows = tape(spark, sf).select("session_date", lag.alias("lag"))
     s = rows.groupBy("session_date").agg(F.avg(F.when(F.col("lag") > 120, 1.0).otherwise(0.0)).alias("l"))
-    s = s.join(quantiles.wide(rows, ["session_date"], "lag", {"p95": 0.95}, width=1.0), "session_date", "left").withColumn("p95", r6("p95"))
+    s = s.join(quantiles.wide(rows, ["session_date"], {"p95": (F.col("lag"), 0.95)}), "session_date", "left").withColumn("p95", r6("p95"))
     return s.select("session_date", "p95", r6("l").alias("late"), F.greatest(F.lit(120), F.ceil(1.5 * F.col("p95"))).cast("long").alias("cutoff_s"), (F.col("l") <= 0.75).alias("admissible"))
 
 

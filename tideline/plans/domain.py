@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normal_cdf_sql
-from ..operators import asof, flow, grid, normalize, options, realized, windows
+from ..operators import asof, flow, grid, normalize, options, quantiles, realized, windows
 from ..sources.tables import tape
 from .registry import BARS, GRID, TAPE, query, r6, s6
 from .windowed import KEYS, bars, daily, over, returns
@@ -120,7 +120,9 @@ def counting_window(spark, sf):
 @query("window_quantile", f"""WITH {TAPE}, w AS (SELECT asset, (executed_us // {HOUR} + 1) * {HOUR} AS origin, (created_us - executed_us) / 1e6 AS lag FROM tape) SELECT asset, origin, {s6('quantile_cont(lag, 0.95)')} AS p95 FROM w GROUP BY 1, 2""")
 def window_quantile(spark, sf):
     w = windows.forward(tape(spark, sf), "executed_us", HOUR, HOUR)
-    return w.groupBy("asset", F.col("window_end").alias("origin")).agg(r6(F.percentile((F.col("created_us") - F.col("executed_us")) / 1e6, F.lit(0.95))).alias("p95"))
+    lag = (F.col("created_us") - F.col("executed_us")) / 1e6
+    found = quantiles.wide(w.withColumnRenamed("window_end", "origin"), ["asset", "origin"], {"p95": (lag, 0.95)})
+    return found.withColumn("p95", r6("p95"))
 
 
 @query("activity_compact", f"""WITH {TAPE}, k AS (SELECT asset, session_date, strike, count(*) AS c, sum(premium) AS w FROM tape GROUP BY 1, 2, 3), t AS (SELECT asset, session_date, sum(c) AS n, sum(w) AS w, max(c) AS top FROM k GROUP BY 1, 2),

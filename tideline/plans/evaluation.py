@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, models
+from ..operators import evaluate, models, ranks
 from ..sources.tables import tape
 from .registry import GRID, TAPE, query, r6, s6
 from .windowed import KEYS, returns
@@ -113,12 +113,13 @@ def meta_random_effects(spark, sf):
   SELECT asset, p, q, {s6('(r - p * (p + 1) / 2.0) / (p * q)')} AS auc FROM s""")
 def rank_auc(spark, sf):
     rows = tape(spark, sf).withColumn("label", F.col("is_call").cast("int"))
-    return evaluate.rank_auc(rows, "strike", "label", ["asset"]).withColumn("auc", r6("auc"))
+    return ranks.auc(rows, ["asset"], "strike", "label").withColumn("auc", r6("auc"))
 
 
 @query("rank_correlation", f"""WITH {TAPE}, r AS (SELECT asset, rank() OVER (PARTITION BY asset ORDER BY strike) + (count(*) OVER (PARTITION BY asset, strike) - 1) / 2.0 AS a, rank() OVER (PARTITION BY asset ORDER BY premium) + (count(*) OVER (PARTITION BY asset, premium) - 1) / 2.0 AS b FROM tape) SELECT asset, {s6('corr(a, b)')} AS spearman FROM r GROUP BY 1""")
 def rank_correlation(spark, sf):
-    rows = evaluate.average_rank(evaluate.average_rank(tape(spark, sf), "strike", ["asset"], "a"), "premium", ["asset"], "b")
+    rows = tape(spark, sf).select("asset", "strike", "premium")
+    rows = ranks.with_rank(ranks.with_rank(rows, ["asset"], "strike", "a"), ["asset"], "premium", "b")
     return rows.groupBy("asset").agg(r6(F.corr("a", "b")).alias("spearman"))
 
 

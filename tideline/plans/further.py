@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, joins, models, normalize, options, selection, windows
+from ..operators import evaluate, joins, models, normalize, options, quantiles, selection, windows
 from ..sources.tables import table, tape
 from .evaluation import _LOSS, _PAIRED, forecasts, losses, paired
 from .registry import BARS, GRID, TAPE, query, r6, s6
@@ -134,7 +134,8 @@ def first_receipt(spark, sf):
 
 @query("comonotone_latency", f"""WITH {TAPE} SELECT asset, {s6('quantile_cont((created_us - executed_us) / 1e6, 0.95) + quantile_cont(strike / 10.0, 0.95)')} AS p95 FROM tape GROUP BY 1""")
 def comonotone_latency(spark, sf):
-    return tape(spark, sf).groupBy("asset").agg(r6(F.percentile((F.col("created_us") - F.col("executed_us")) / 1e6, F.lit(0.95)) + F.percentile(F.col("strike") / 10.0, F.lit(0.95))).alias("p95"))
+    parts = {"lag": ((F.col("created_us") - F.col("executed_us")) / 1e6, 0.95), "wait": (F.col("strike") / 10.0, 0.95)}
+    return quantiles.wide(tape(spark, sf), ["asset"], parts).select("asset", r6(F.col("lag") + F.col("wait")).alias("p95"))
 
 
 @query("regime_subsets", f"""WITH {GRID}, d AS (SELECT asset, session_date, sum(r * r) AS rv FROM returns GROUP BY 1, 2), p AS (SELECT *, lag(rv) OVER (PARTITION BY asset ORDER BY session_date) AS before FROM d),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, grid, windows
+from ..operators import asof, grid, quantiles, windows
 from ..operators.joins import checked_join, exact_lag, join_new_columns
 from ..sources.tables import table, tape
 from .registry import BARS, TAPE, query, r6, s6
@@ -173,4 +173,6 @@ def provider_reconciliation(spark, sf):
     bars = grid.bars(tape(spark, sf).withColumn("bar", F.hour("executed_at")), ["asset", "session_date", "bar"], "premium", "executed_us")
     other = bars.select("asset", "session_date", (F.col("bar") + 1).alias("bar"), F.col("open").alias("other"))
     gap = F.abs(F.col("close") / F.col("other") - 1)
-    return bars.join(other, ["asset", "session_date", "bar"]).groupBy("asset").agg(F.count("*").alias("matched"), r6(F.median(gap)).alias("median_gap"), r6(F.max(gap)).alias("max_gap"))
+    matched = bars.join(other, ["asset", "session_date", "bar"])
+    found = quantiles.wide(matched, ["asset"], {"median_gap": (gap, 0.5), "max_gap": (gap, 1.0)}, count="matched")
+    return found.select("asset", "matched", r6("median_gap").alias("median_gap"), r6("max_gap").alias("max_gap"))

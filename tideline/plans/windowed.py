@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import flow, grid, windows
+from ..operators import flow, grid, ranks, windows
 from ..sources.tables import tape
 from .registry import BARS, GRID, TAPE, query, r6, s6
 
@@ -107,16 +107,18 @@ def tail_sequence(spark, sf):
     return t.select(*KEYS, F.array_join(F.transform("seq", lambda x: x.cast("string")), ",").alias("last_eight"))
 
 
-@query("row_index", "SELECT n_nationkey, row_number() OVER (ORDER BY n_name, n_nationkey) - 1 AS i FROM nation")
+@query("row_index", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS i FROM lineitem")
 def row_index(spark, sf):
     from ..sources.tables import table
 
-    return table(spark, sf, "nation").select("n_nationkey", (F.row_number().over(W.orderBy("n_name", "n_nationkey")) - 1).cast("long").alias("i"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return ranks.numbered(rows, [], ["l_extendedprice", "l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", (F.col("row") - 1).alias("i"))
 
 
 @query("decile_spread", f"""WITH {TAPE}, d AS (SELECT asset, premium, direction, ntile(10) OVER (PARTITION BY asset ORDER BY premium, seq) AS decile FROM tape), m AS (SELECT asset, decile, avg(direction) AS m FROM d GROUP BY 1, 2)
   SELECT asset, {s6('max(m) FILTER (WHERE decile = 10) - max(m) FILTER (WHERE decile = 1)')} AS spread FROM m GROUP BY 1""")
 def decile_spread(spark, sf):
-    d = tape(spark, sf).withColumn("decile", F.ntile(10).over(W.partitionBy("asset").orderBy("premium", "seq")))
+    d = ranks.numbered(tape(spark, sf).select("asset", "premium", "seq", "direction"), ["asset"], ["premium", "seq"], total="rows")
+    d = d.withColumn("decile", ranks.tile(F.col("row"), F.col("rows"), 10))
     m = d.groupBy("asset", "decile").agg(F.avg("direction").alias("m"))
     return m.groupBy("asset").agg(r6(F.max(F.when(F.col("decile") == 10, F.col("m"))) - F.max(F.when(F.col("decile") == 1, F.col("m")))).alias("spread"))

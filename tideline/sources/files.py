@@ -87,3 +87,11 @@ def write_addressed(frame: DataFrame, folder: str) -> str:
     if not hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop):
         frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return path
+
+
+def stored(frame: DataFrame, name: str = "step") -> DataFrame:
+    """The frame written as Parquet in the shared folder and read back: its lineage ends there, so that lost executors
+    repeat this step only."""
+    path = scratch(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
