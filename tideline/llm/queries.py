@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, common, decontaminate, embed_dedup, extendible_sharding, hyperminhash, language_mixture, packing, pii_crf, rule_quality, token_counts
+from . import chat_trees, common, decontaminate, embed_dedup, extendible_sharding, hyperminhash, importance_resampling, language_mixture, packing, pii_crf, rule_quality, token_counts, yinyang
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,8 +86,29 @@ def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc_key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, centroids = yinyang.cluster(_table(spark, sf_dir, "embeddings"))
+    sums = placed.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia")).collect()  # a row a cluster
+    of = {r.cluster: r.cluster_inertia for r in sums}
+    rows = [(k, of[k], sum(of.values()), ",".join(map(str, c))) for k, c in enumerate(centroids.tolist()) if k in of]
+    about = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, listed string")
+    about = about.select("cluster", "cluster_inertia", "inertia", F.sha2(F.col("listed").cast("binary"), 256).alias("centroid_sha256"))
+    return placed.join(F.broadcast(about), "cluster").select(F.col("vec_key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+_OPERATORS = (
+    op1_embedding_dedup, op2_chat_trees, op3_decontaminate, op4_token_counts, op5_packing, op6_pii_crf, op7_extendible_sharding,
+    op8_language_mixture, op9_hyperminhash_dedup, op10_rule_quality, op11_importance_resampling, op12_yinyang_clusters,
+)
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_embedding_dedup, op2_chat_trees, op3_decontaminate, op4_token_counts, op5_packing, op6_pii_crf, op7_extendible_sharding, op8_language_mixture, op9_hyperminhash_dedup, op10_rule_quality)}
+    return {q.__name__: q for q in _OPERATORS}
 
 
 _OP1_SQL = """
@@ -146,5 +167,61 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.m AS component_id, s.doc_id =
 FROM s JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = s.doc_id"""
 
 
+#: crc32 is linear, so the checksum of a run is the xor of what each byte gives by its value and distance from the end.
+_OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, text FROM documents UNION ALL SELECT NULL, text FROM benchmark)),
+f AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+u AS (SELECT f, encode(f) AS b, octet_length(encode(f)) AS n FROM (SELECT DISTINCT f FROM f)),
+one AS (
+  SELECT i AS byte, i AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM one WHERE k < 8),
+t AS MATERIALIZED (SELECT byte, c FROM one WHERE k = 8),
+far AS (
+  SELECT byte, c, 0 AS d FROM t UNION ALL SELECT 256, 4294967295, 0
+  UNION ALL SELECT far.byte, xor(far.c >> 8, t.c), d + 1 FROM far JOIN t ON t.byte = far.c & 255 WHERE d < (SELECT max(n) FROM u)),
+crc AS (
+  SELECT p.f, xor(xor(bit_xor(far.c), any_value(z.c)), 4294967295) % 10000 AS bucket
+  FROM (SELECT f, n, n - i AS d, ('0x' || substr(hex(b), 2 * i - 1, 2))::BIGINT AS byte FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u)) p
+  JOIN far ON far.byte = p.byte AND far.d = p.d JOIN far z ON z.byte = 256 AND z.d = p.n GROUP BY p.f),
+m AS MATERIALIZED (SELECT doc_id, bucket, count(*) AS n FROM f JOIN crc USING (f) GROUP BY 1, 2),
+g AS (
+  SELECT r.bucket, coalesce(sum(n) FILTER (WHERE doc_id IS NOT NULL), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE doc_id IS NULL), 0)::DOUBLE AS t
+  FROM range(10000) r(bucket) LEFT JOIN m USING (bucket) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM g) + 10000)) / ((s + 1) * ((SELECT sum(t) FROM g) + 10000)))) AS g FROM g),
+p AS (SELECT doc_id, sum(n) AS n, sum(n * g) AS x FROM m JOIN gain USING (bucket) WHERE doc_id IS NOT NULL GROUP BY 1),
+q AS (
+  SELECT w.doc_id, len(w.w) AS words, coalesce(p.n, 0)::BIGINT AS n_features, coalesce(floor(x / p.n), 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || sha256('7:' || w.doc_id)[1:8])::BIGINT + 0.5) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM w LEFT JOIN p USING (doc_id) WHERE w.doc_id IS NOT NULL),
+r AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY words >= 20 ORDER BY weight + noise DESC, doc_id) AS i, count(*) FILTER (WHERE words >= 20) OVER () AS n FROM q)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND i <= 25 * n // 100 THEN i END AS rank FROM r"""
+
+
+def _op12_sql(rounds: int = yinyang.ROUNDS) -> str:
+    """One step of plain k-means a round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, v, min(struct_pack(d := list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, k := k)) AS best
+  FROM kept, c{r} GROUP BY vec_id, v)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT k, list(x ORDER BY i) AS c FROM (
+    SELECT best.k AS k, i, floor(sum(v[i]) / count(*))::BIGINT AS x FROM a{r}, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, v AS c FROM kept ORDER BY sha256('3:' || vec_id) LIMIT 8),
+{", ".join(steps)}
+SELECT vec_id, best.k::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.k)::BIGINT AS cluster_inertia,
+  sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON k = best.k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": _OP1_SQL, "op2_chat_trees": _OP2_SQL, "op7_extendible_sharding": _OP7_SQL, "op9_hyperminhash_dedup": _OP9_SQL}
+    return {"op1_embedding_dedup": _OP1_SQL, "op2_chat_trees": _OP2_SQL, "op7_extendible_sharding": _OP7_SQL, "op9_hyperminhash_dedup": _OP9_SQL, "op11_importance_resampling": _OP11_SQL, "op12_yinyang_clusters": _op12_sql()}
