@@ -41,7 +41,7 @@ def test_pipeline_of_awkward_documents(spark, tmp_path, awkward, sf):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "conversations"):
+    for table in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     frame = queries.queries()[name](spark, sf)
     found = con.execute(queries.oracle_sql()[name])

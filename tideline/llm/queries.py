@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, common, decontaminate, embed_dedup, extendible_sharding, hyperminhash, importance_resampling, language_mixture, packing, pii_crf, rule_quality, token_counts, yinyang
+from . import chat_trees, common, decontaminate, embed_dedup, extendible_sharding, hyperminhash, importance_resampling, language_mixture, license_scan, packing, pii_crf, rule_quality, token_counts, yinyang
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,9 +101,15 @@ def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(F.broadcast(about), "cluster").select(F.col("vec_key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return found.select(F.col("doc_key").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 _OPERATORS = (
     op1_embedding_dedup, op2_chat_trees, op3_decontaminate, op4_token_counts, op5_packing, op6_pii_crf, op7_extendible_sharding,
-    op8_language_mixture, op9_hyperminhash_dedup, op10_rule_quality, op11_importance_resampling, op12_yinyang_clusters,
+    op8_language_mixture, op9_hyperminhash_dedup, op10_rule_quality, op11_importance_resampling, op12_yinyang_clusters, op13_license_scan,
 )
 
 
@@ -223,5 +229,34 @@ SELECT vec_id, best.k::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER
 FROM a{rounds} JOIN c{rounds} ON k = best.k"""
 
 
+def _op13_sql() -> str:
+    """Every block against every template of its width, without filters."""
+    listed = lambda text: "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
+    templates = ", ".join(
+        f"('{t.label}', list_distinct({listed(t.text)}), {listed(t.named)}, {license_scan.need_of(t, license_scan.PERCENT)}, {license_scan.width_of(t)})" for t in license_scan.TEMPLATES
+    )
+    phrases = ", ".join(f"('{label}', {listed(phrase)})" for phrase, label in license_scan.PHRASES.items())
+    return rf"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+phrase(label, p) AS (VALUES {phrases}),
+places AS (
+  SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, label, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM w, phrase WHERE list_has_all(w, p))
+  WHERE w[i:i + len(p) - 1] = p),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY 1),
+template(label, words, named, need, width) AS (VALUES {templates}),
+found AS (
+  SELECT doc_id, label, len(list_intersect(words, w[s + 1:s + width])) AS held, need, len(words) AS size
+  FROM (SELECT doc_id, w, t.*, unnest(range(0, len(w), width // 2)) AS s FROM w, template t WHERE list_has_all(w, named))
+  WHERE list_has_all(w[s + 1:s + width], named)),
+more AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(held / size) AS best FROM found WHERE held >= need GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, more.labels))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": _OP1_SQL, "op2_chat_trees": _OP2_SQL, "op7_extendible_sharding": _OP7_SQL, "op9_hyperminhash_dedup": _OP9_SQL, "op11_importance_resampling": _OP11_SQL, "op12_yinyang_clusters": _op12_sql()}
+    return {"op1_embedding_dedup": _OP1_SQL, "op2_chat_trees": _OP2_SQL, "op7_extendible_sharding": _OP7_SQL, "op9_hyperminhash_dedup": _OP9_SQL, "op11_importance_resampling": _OP11_SQL, "op12_yinyang_clusters": _op12_sql(), "op13_license_scan": _op13_sql()}
