@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, choice, domain, evaluation, further, intake, joins, live, panels, relational, state, windowed  # noqa: F401  (they register themselves)
+from . import aggregates, choice, domain, evaluation, flows, further, intake, joins, live, panels, relational, state, windowed  # noqa: F401  (they register themselves)
 from .registry import QUERIES, SQL
 
 

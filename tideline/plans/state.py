@@ -280,37 +280,6 @@ def delayed_spot(spark, sf):
 
 # ---- flow --------------------------------------------------------------------------------------------------
 
-#: Per-trade channels as expressions that both engines read: the definitions are stated once.
-CHANNELS = {
-    "premium": "premium", "log_premium": "ln(1 + premium)", "signed": "direction * premium", "buy": "CASE WHEN direction = 1 THEN premium ELSE 0.0 END",
-    "sell": "CASE WHEN direction = -1 THEN premium ELSE 0.0 END", "unsigned": "CASE WHEN direction = 0 THEN premium ELSE 0.0 END",
-    "call": "CASE WHEN is_call THEN premium ELSE 0.0 END", "put": "CASE WHEN is_call THEN 0.0 ELSE premium END",
-    "call_buy": "CASE WHEN is_call AND direction = 1 THEN premium ELSE 0.0 END", "call_sell": "CASE WHEN is_call AND direction = -1 THEN premium ELSE 0.0 END",
-    "put_buy": "CASE WHEN NOT is_call AND direction = 1 THEN premium ELSE 0.0 END", "put_sell": "CASE WHEN NOT is_call AND direction = -1 THEN premium ELSE 0.0 END",
-    "bullish": "CASE WHEN is_call THEN direction * premium ELSE -direction * premium END", "moneyness": "ln((strike + 50) / 100.0)",
-    "distance": "abs(strike - 50) / 50.0", "near": "CASE WHEN abs(strike - 50) <= 10 THEN 1.0 ELSE 0.0 END",
-    "wing_low": "CASE WHEN strike < 25 THEN 1.0 ELSE 0.0 END", "wing_high": "CASE WHEN strike >= 75 THEN 1.0 ELSE 0.0 END",
-    "near_premium": "CASE WHEN abs(strike - 50) <= 10 THEN premium ELSE 0.0 END", "lag_s": "(created_us - executed_us) / 1e6",
-    "late": "CASE WHEN created_us - executed_us > 120000000 THEN 1.0 ELSE 0.0 END", "late_premium": "CASE WHEN created_us - executed_us > 120000000 THEN premium ELSE 0.0 END",
-    "large": "CASE WHEN premium > 150 THEN 1.0 ELSE 0.0 END", "large_premium": "CASE WHEN premium > 150 THEN premium ELSE 0.0 END",
-    "small": "CASE WHEN premium < 10 THEN 1.0 ELSE 0.0 END", "squared": "premium * premium",
-    "per_strike": "premium / (strike + 50)", "signed_near": "CASE WHEN abs(strike - 50) <= 10 THEN direction * premium ELSE 0.0 END",
-}
-
-
-def channels(rows):
-    """The tape with one column per channel: one projection, no shuffle."""
-    return rows.select("*", *[F.expr(e).cast("double").alias(f"ch_{name}") for name, e in CHANNELS.items()])
-
-
-_CHANNELS = f"{TAPE}, channel AS (SELECT *, {', '.join(f'({e})::DOUBLE AS ch_{name}' for name, e in CHANNELS.items())} FROM tape)"
-
-
-@query("trade_channels", f"WITH {_CHANNELS} SELECT seq, {', '.join(f'{s6(f'ch_{n}')} AS ch_{n}' for n in CHANNELS)} FROM channel")
-def trade_channels(spark, sf):
-    return channels(tape(spark, sf)).select("seq", *rounded(*[f"ch_{n}" for n in CHANNELS]))
-
-
 @query("in_session_marks", f"""WITH {BARS}, t AS (SELECT seq, asset, session_date, hour(executed_at) AS bar, premium FROM tape WHERE hour(executed_at) BETWEEN 8 AND 19)
   SELECT seq, coalesce(b.close, o.open) AS mark, b.close IS NULL AS opening, {s6('premium / coalesce(b.close, o.open) - 1')} AS edge
   FROM t LEFT JOIN bars b ON b.asset = t.asset AND b.session_date = t.session_date AND b.bar = t.bar - 1 AND b.bar >= 8 JOIN bars o ON o.asset = t.asset AND o.session_date = t.session_date AND o.bar = t.bar
@@ -336,45 +305,6 @@ def direction_from_tags(spark, sf):
     return g.groupBy("session_date", "side").agg(F.count("*").alias("n"), r6(F.sum(F.col("side") * F.col("premium"))).alias("signed"))
 
 
-#: Sums of a window record, beside counts and ratios made from them; null-free, so that an empty window is all zeros.
-_SUMS = [c for c in CHANNELS if c not in ("moneyness", "distance", "lag_s", "log_premium", "per_strike")]
-RECORD = {
-    "n": "count(*)", "contracts": "count(DISTINCT contract)", "strikes": "count(DISTINCT strike)",
-    **{f"sum_{c}": f"sum(ch_{c})" for c in _SUMS},
-    **{f"mean_{c}": f"avg(ch_{c})" for c in ("moneyness", "distance", "lag_s", "log_premium", "per_strike")},
-    "max_premium": "max(premium)", "min_premium": "min(premium)", "sd_premium": "stddev_pop(premium)", "max_lag": "max(ch_lag_s)",
-}
-_WIDTHS = {"short": HOUR, "long": 6 * HOUR}
-
-
-def _record_sql(label: str, width: int) -> str:
-    return f"""SELECT '{label}' AS width, o.asset, o.origin, {', '.join(f'{e}::DOUBLE AS {n}' for n, e in RECORD.items())}
-      FROM o JOIN channel t ON t.asset = o.asset AND t.executed_us >= o.origin - 120000000 - {width} AND t.executed_us < o.origin - 120000000 AND t.created_us <= o.origin - 120000000 GROUP BY 1, 2, 3"""
-
-
-@query("window_record", f"""WITH {_CHANNELS}, o AS (SELECT DISTINCT asset, epoch_us(session_date::TIMESTAMP) + h * {HOUR} AS origin FROM tape, range(1, 24) r(h)),
-  w AS ({' UNION ALL '.join(_record_sql(label, width) for label, width in _WIDTHS.items())}), v AS (SELECT unnest({list(_WIDTHS)}) AS width)
-  SELECT v.width, o.asset, o.origin, {', '.join(f'{s6(f'coalesce({n}, 0.0)')} AS {n}' for n in RECORD)}, {s6("CASE WHEN sum_premium > 0 THEN sum_signed / sum_premium ELSE 0.0 END")} AS imbalance,
-    {s6("CASE WHEN sum_premium > 0 THEN sum_call / sum_premium ELSE 0.5 END")} AS call_share, n IS NULL AS is_empty
-  FROM o CROSS JOIN v LEFT JOIN w USING (width, asset, origin)""")
-def window_record(spark, sf):
-    """The record of two trailing windows at every origin, an empty one stated as zeros and a flag."""
-    rows = channels(tape(spark, sf))
-    o = rows.select("asset", "session_date").distinct().withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(23))))
-    o = o.select("asset", (F.unix_micros(F.col("session_date").cast("timestamp")) + F.col("h") * HOUR).alias("origin"))
-    o = o.withColumn("width", F.explode(F.array(*map(F.lit, _WIDTHS))))
-    parts = []
-    for label, width in _WIDTHS.items():
-        seen = windows.two_clock(rows, "executed_us", "created_us", HOUR, width, 120_000_000)
-        parts.append(seen.groupBy("asset", "origin").agg(*[F.expr(e).cast("double").alias(n) for n, e in RECORD.items()]).withColumn("width", F.lit(label)))
-    out = o.join(parts[0].unionByName(parts[1]), ["width", "asset", "origin"], "left")
-    ratio = lambda top, rest: r6(F.when(F.col("sum_premium") > 0, F.col(top) / F.col("sum_premium")).otherwise(rest))
-    return out.select(
-        "width", "asset", "origin", *[r6(F.coalesce(n, F.lit(0.0))).alias(n) for n in RECORD],
-        ratio("sum_signed", 0.0).alias("imbalance"), ratio("sum_call", 0.5).alias("call_share"), F.col("n").isNull().alias("is_empty"),
-    )
-
-
 @query("activity_nine", f"""WITH {TAPE}, k AS (SELECT asset, session_date, strike, count(*) AS c, sum(premium) AS w, sum(CASE WHEN is_call THEN premium ELSE 0 END) AS calls, sum(direction * premium) AS s,
     sum((created_us - executed_us) / 1e6) AS lag, count(*) FILTER (WHERE created_us - executed_us > 120000000) AS late FROM tape GROUP BY 1, 2, 3),
   t AS (SELECT asset, session_date, sum(c) AS n, sum(w) AS w, sum(calls) AS calls, sum(s) AS s, sum(lag) AS lag, sum(late) AS late, max(c) AS top, sum(w * w) AS ww, count(*) AS strikes FROM k GROUP BY 1, 2)
