@@ -127,9 +127,12 @@ def named_columns(docs: DataFrame, **names: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows with whole texts are large: hand them to Python workers by the thousand, unless the session says otherwise."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Rows with whole texts are large: hand them to Python workers by the thousand and by some megabytes, unless the
+    session says otherwise."""
+    records, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(records) == "10000":
+        spark.conf.set(records, "1000")
+        spark.conf.set(size, str(8 << 20))
 
 
 _turn: list = [None, None]

@@ -516,7 +516,7 @@ def sound(found: str, kind: str) -> bool:
         return 12 <= len(digits) <= 19 and _luhn(digits)
     if kind == "ip" and ":" not in found:
         parts = _NO_DIGIT.split(found)
-        return all(len(p.lstrip("0")) <= 3 and int(p or "0") <= 255 for p in parts)
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts)
     return True
 
 
