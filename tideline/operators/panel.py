@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,3 +87,65 @@ def in_scope(rows: DataFrame, role: str, allowed: list[str]) -> DataFrame:
     if wrong:
         raise ValueError("ROLE_OUT_OF_SCOPE:" + ",".join(str(r[0]) for r in wrong))
     return rows
+
+
+def design_masks(panel: DataFrame, designs: dict[str, list[str]], target: str, keys: list[str]) -> DataFrame:
+    """``keys, mask``: the designs that a row can be scored on, as bits in the stated order. A design is usable where
+    the target and all its columns are finite."""
+    usable = [F.when(complete([target, *columns]), F.lit(1 << i)).otherwise(F.lit(0)) for i, columns in enumerate(designs.values())]
+    return panel.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), usable).alias("mask"))
+
+
+def mask_counts(masked: DataFrame, keys: list[str]) -> DataFrame:
+    """``mask, n, digest``: rows of each mask, counted once, and an order-free digest of their keys that adds up over masks."""
+    words = F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).cast("binary"))
+    own = F.conv(F.substring(words, 1, 12), 16, 10).cast("decimal(38,0)")
+    return masked.groupBy("mask").agg(F.count("*").alias("n"), F.sum(own).alias("digest"))
+
+
+def combinations(counts: DataFrame, designs: list[str]) -> DataFrame:
+    """Every combination of designs with the rows on which all of them can be scored: a sum over the masks that hold it.
+    ``lift`` is how much oftener that is than if the designs were usable independently of each other."""
+    every = F.sequence(F.lit(0), F.lit((1 << len(designs)) - 1))
+    held = counts.withColumn("combination", F.explode(F.filter(every, lambda c: F.col("mask").bitwiseAND(c) == c)))
+    sums = held.groupBy("combination").agg(F.sum("n").alias("usable"), F.sum("digest").alias("digest"))
+    alone = lambda i: F.max(F.when(F.col("combination") == (1 << i), F.col("usable")))
+    single = sums.agg(F.max(F.when(F.col("combination") == 0, F.col("usable"))).alias("_all"), *[F.coalesce(alone(i), F.lit(0)).alias(f"_{i}") for i in range(len(designs))])
+    grid = counts.sparkSession.range(1 << len(designs)).select(F.col("id").cast("int").alias("combination"))
+    both = grid.join(sums, "combination", "left").crossJoin(F.broadcast(single))  # one row
+    has = lambda i: F.col("combination").bitwiseAND(1 << i) > 0
+    expected = reduce(lambda a, b: a * b, [F.when(has(i), F.col(f"_{i}") / F.col("_all")).otherwise(1.0) for i in range(len(designs))], F.lit(1.0))
+    names = F.concat_ws("+", *[F.when(has(i), F.lit(d)) for i, d in enumerate(designs)])
+    usable = F.coalesce("usable", F.lit(0))
+    lift = F.when(expected > 0, usable / F.col("_all") / expected)
+    return both.select("combination", names.alias("designs"), usable.alias("usable"), (usable / F.col("_all")).alias("share"), lift.alias("lift"), F.coalesce("digest", F.lit(0)).alias("digest"))
+
+
+def lifted(panel: DataFrame, base: DataFrame, selected: DataFrame, keys: list[str]) -> DataFrame:
+    """A mask over the rows that ``base`` kept, taken back to those of the panel: ``keys, in_base, selected``. A selected row that
+    the base does not hold is an error."""
+    stray = selected.select(*keys).join(base.select(*keys), keys, "left_anti").limit(1).count()
+    if stray:
+        raise ValueError("MASK_LIFT_OUTSIDE_BASE")
+    marks = base.select(*keys, F.lit(True).alias("in_base")).join(selected.select(*keys, F.lit(True).alias("selected")), keys, "left")
+    out = panel.select(*keys).join(marks, keys, "left")
+    return out.select(*keys, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("in_base", "selected")])
+
+
+def eligibility(rows: DataFrame, cells: DataFrame, keys: list[str], executed: str, created: str, step: int, width: int, buffers: list[int]) -> DataFrame:
+    """Accounting rows per cell (``keys``) and buffer in seconds: rows that happened in a window ``[origin - buffer - width, origin -
+    buffer)`` of an origin (a multiple of ``step``, at least ``width``) and of these the eligible (known by its end), the late and those
+    without a clock; ``windows`` counts the windows that hold any. Cells without a row are there, with zeros, and the parts
+    sum to the whole. Each row has one window a buffer, which is computed, not joined."""
+    each = rows.withColumn("buffer_s", F.explode(F.array(*map(F.lit, buffers))))
+    buffer = F.col("buffer_s") * F.lit(1_000_000)
+    end = (F.floor((F.col(executed) + buffer) / step) + 1) * step - buffer
+    each = each.withColumn("_end", end).where((F.col(executed) >= F.col("_end") - width) & (F.col(executed) < F.col("_end")))
+    kind = F.when(F.col(created).isNull(), "no_clock").when(F.col(created) <= F.col("_end"), "eligible").otherwise("late")
+    sums = each.withColumn("_kind", kind).groupBy(*keys, "buffer_s").agg(
+        F.count("*").alias("candidate"), *[F.count_if(F.col("_kind") == k).alias(k) for k in ("eligible", "late", "no_clock")], F.countDistinct("_end").alias("windows"),
+    )
+    grid = cells.select(*keys, F.explode(F.array(*map(F.lit, buffers))).alias("buffer_s"))
+    out = grid.join(sums, [*keys, "buffer_s"], "left").fillna(0, ["candidate", "eligible", "late", "no_clock", "windows"])
+    whole = F.col("candidate") == F.col("eligible") + F.col("late") + F.col("no_clock")
+    return out.withColumn("whole", whole)

@@ -63,7 +63,7 @@ def counted(rows: DataFrame, keys: list[str], value: str, weight: str | None = N
     value, smaller ones, and any. Null and NaN values are left out. Equal values are counted before they are dealt, so a
     frequent value is one row."""
     known = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = known.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    counts = files.stored(known.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("n")), "counts")
     laid = files.stored(counts.repartitionByRange(parts or parts_for(counts), *keys, value).withColumn("_part", F.spark_partition_id()), "counts")
     held = laid.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))
     of_key = W.partitionBy(*(keys or [F.lit(0)]))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources import files
-from ..sources.tables import table
-from ..streaming import live
-from .registry import query
+from ..sources import cursor, files
+from ..sources.tables import table, tape
+from ..streaming import live, stateful
+from .registry import TAPE, query
 
 
 def _stream(spark, sf):
@@ -64,3 +65,68 @@ def stream_resume(spark, sf):
         stream = live.source(spark, f"{path}/in", rows.schema)
         kept = live.run_to_end(live.deduplicated(stream, ["event_id"], "executed_at", "40 days"), f"{path}/out", "append", f"{path}/progress")
     return kept.groupBy("asset").agg(F.count("*").alias("n"))
+
+
+#: Session bounds of a polled day, in seconds from midnight.
+_OPEN, _CLOSE = 34_200, 57_900
+
+
+@query("cursor_poll", f"""WITH {TAPE}, p AS (SELECT *, (executed_us - epoch_us(session_date::TIMESTAMP)) // 1000000 AS second FROM tape)
+  SELECT asset, count(*) AS n, count(DISTINCT session_date) AS pages, sum(seq)::BIGINT AS seqs, min(second)::BIGINT AS first_second, max(second)::BIGINT AS last_second FROM p WHERE second >= {_OPEN} AND second < {_CLOSE} GROUP BY 1""")
+def cursor_poll(spark, sf):
+    """Pages polled by a cursor an asset: a run over what is there, one that finds nothing new, and one that goes on
+    behind the cursors once more pages have come; each row is read once."""
+    path = files.scratch(spark, "polled")
+    first = F.unix_micros(F.col("session_date").cast("timestamp"))
+    rows = tape(spark, sf).select("asset", "seq", F.floor((F.col("executed_us") - first) / 1_000_000).cast("long").alias("second"), F.datediff("session_date", F.lit("1970-01-01")).alias("day"))
+    days = rows.select("asset", "day").distinct()
+    numbered = days.withColumn("page", (F.row_number().over(W.partitionBy("asset").orderBy("day")) - 1).cast("int"))
+    rows = files.stored(rows.join(numbered, ["asset", "day"]))
+    schema = rows.select("asset", "seq", "second", "day").schema
+    for part in (rows.where("page < 10"), rows.limit(0), rows.where("page >= 10")):
+        if not part.isEmpty():
+            cursor.write_pages(part, f"{path}/pages")
+        stream = cursor.poll(spark, f"{path}/pages", schema, "second", _OPEN, _CLOSE)
+        got = live.run_to_end(stream, f"{path}/out", "append", f"{path}/progress")
+    return got.groupBy("asset").agg(F.count("*").alias("n"), F.countDistinct("day").alias("pages"), F.sum("seq").alias("seqs"), F.min("second").alias("first_second"), F.max("second").alias("last_second"))
+
+
+def _runs(spark, sf, columns, parts=3):
+    """Thirds of the tape as files that come one after the other, and the stream over their folder after each."""
+    path = files.scratch(spark, "runs")
+    rows = tape(spark, sf).select(*columns, (F.col("seq") % parts).alias("part"))
+    for part in range(parts):
+        rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{path}/in")
+        yield live.source(spark, f"{path}/in", rows.drop("part").schema), path
+
+
+@query("stream_first_receipt", f"""WITH {TAPE} SELECT contract, asset, min(created_us) AS received_us, min_by(seq, (created_us, seq)) AS seq FROM tape GROUP BY 1, 2""")
+def stream_first_receipt(spark, sf):
+    """First receipts held in state with timers, over two restarts; an earlier receipt that comes later corrects the first."""
+    keys = ["contract", "asset"]
+    for stream, path in _runs(spark, sf, [*keys, "seq", "executed_at", F.col("created_us").alias("received_us")]):
+        frame = stateful.first_receipts(stream, keys, "executed_at", "40 days", 60 * 86_400_000)
+        stateful.run_updates(frame, f"{path}/out", f"{path}/progress")
+    return stateful.latest(spark, f"{path}/out", frame, keys)
+
+
+_BIN = "CASE WHEN created_us - executed_us <= 1000 THEN 0 ELSE CAST(floor(log10((created_us - executed_us) / 1000e0) * 20) AS BIGINT) + 1 END"
+
+
+@query("stream_histogram", f"""WITH {TAPE} SELECT asset, {_BIN} AS bin, count(*) AS n FROM tape GROUP BY 1, 2""")
+def stream_histogram(spark, sf):
+    """Histograms of lags that go on adding over two restarts."""
+    for stream, path in _runs(spark, sf, ["asset", F.expr(_BIN).cast("long").alias("bin"), F.lit(1).cast("long").alias("n")]):
+        frame = stateful.histograms(stream, ["asset"])
+        stateful.run_updates(frame, f"{path}/out", f"{path}/progress")
+    return stateful.latest(spark, f"{path}/out", frame, ["asset", "bin"])
+
+
+@query("stream_progress", f"""WITH {TAPE}, k AS (SELECT asset, min(seq % 3) AS run FROM tape GROUP BY 1) SELECT (seq % 3)::INTEGER AS run, count(*) AS rows, (SELECT count(*) FROM k WHERE run <= any_value(tape.seq % 3)) AS keys FROM tape GROUP BY tape.seq % 3""")
+def stream_progress(spark, sf):
+    """The heartbeat of three runs of one query as a table: rows read, and keys with state at the end."""
+    queries = []
+    for stream, path in _runs(spark, sf, ["asset", F.expr(_BIN).cast("long").alias("bin"), F.lit(1).cast("long").alias("n")]):
+        counts = stream.groupBy("asset").agg(F.sum("n").alias("n"))
+        queries.append(stateful.run_updates(counts, f"{path}/out", f"{path}/progress"))
+    return stateful.progress(spark, queries).groupBy("run").agg(F.sum("rows").alias("rows"), F.max("state_rows").alias("keys"))
