@@ -7,115 +7,118 @@ from math import isclose
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tideline.operators import inference, models, selection
+from tideline.operators import models, selection
+from tideline.operators import resample as rs
 from tideline.plans import catalogue, evaluation
 
 
-def plain_overfitting(losses, parts):
-    """Each balanced split worked out on its own."""
-    blocks = np.array_split(np.arange(len(losses)), parts)
-    bad = total = 0
-    for chosen in combinations(range(parts), parts // 2):
-        inside = np.concatenate([blocks[i] for i in chosen])
-        outside = np.concatenate([blocks[i] for i in range(parts) if i not in chosen])
-        best = int(losses[inside].mean(0).argmin())
-        other = losses[outside].mean(0)
-        worse, same = sum(x > other[best] for x in other), sum(x == other[best] for x in other)
-        bad += (worse + (same + 1) / 2) / (losses.shape[1] + 1) <= 0.5
-        total += 1
-    return bad / total
+def gains_of(spark, matrix, draws=299):
+    """Mean gains by model, and those of every draw of blocks."""
+    rows = spark.createDataFrame([(i, f"m{j}", float(v)) for i, row in enumerate(matrix) for j, v in enumerate(row)], "i long, model string, x double").cache()
+    drawn = rs.taken(rs.blocks(spark, len(matrix), draws, 5, "t"), rows).groupBy("draw", "model").agg(F.avg("x").alias("x")).cache()
+    return rows.groupBy("model").agg(F.avg("x").alias("mean")).cache(), drawn
 
 
-def test_overfitting_in_both_directions():
+def test_overfitting_is_the_plain_loop(spark):
     rng = np.random.default_rng(1)
-    noise = rng.normal(size=(60, 5))
-    assert isclose(inference.overfitting(noise, 6), plain_overfitting(noise, 6))
-    clear = noise + np.array([0, 0, 0, 0, -5.0])
-    assert inference.overfitting(clear) == 0.0
-    # models that swap places: the one that leads in some blocks trails in the others
-    swap = np.repeat(rng.permutation([1.0, -1.0] * 8), 4)[:, None] * np.array([1.0, -1.0])
-    assert inference.overfitting(swap) > 0.9 and isclose(inference.overfitting(swap, 8), plain_overfitting(swap, 8))
-
-
-def test_superior_ability_in_both_directions():
-    rng = np.random.default_rng(2)
-    gains = rng.normal(size=(80, 4))
-    better, worse = gains + np.array([0, 0, 0, 1.0]), gains - 1.0
-    assert inference.superior_ability(better, 999)["best"] == 3
-    for key in ("spa", "reality"):
-        assert inference.superior_ability(better, 999)[key] < 0.01 and inference.superior_ability(worse, 999)[key] > 0.5
-    # a hopeless model inflates the reality check, not the recentred test
-    mixed = np.column_stack([gains[:, 0] + 0.35, gains[:, 1] * 20 - 30])
-    found = inference.superior_ability(mixed, 999)
-    assert found["spa"] < 0.05 < found["reality"]
-
-
-def test_resampled_rows():
-    rng = np.random.default_rng(3)
-    for rows, wraps in ((inference.circular_rows, True), (inference.moving_rows, False)):
-        at = rows(23, 50, 5, rng)
-        assert at.shape == (50, 23) and at.min() >= 0 and at.max() < 23
-        step = np.diff(at, axis=1)[:, [i for i in range(22) if i % 5 != 4]]
-        assert ((step == 1) | (wraps & (step == -22))).all()
-    steps = np.diff(inference.stationary_rows(400, 200, 5.0, rng), axis=1) % 400
-    assert abs((steps != 1).mean() - 0.2) < 0.02
-
-
-def test_bootstrap_is_the_plain_loop():
-    x = np.random.default_rng(4).normal(0.3, 1, 47)
-    rng = np.random.default_rng(650)
-    starts = rng.integers(0, 47, (400, 10))
-    means = np.array([np.mean([x[(s + k) % 47] for s in row for k in range(5)][:47]) for row in starts])
-    found = inference.bootstrap(x, draws=400)
-    assert isclose(found["se"], means.std(ddof=1)) and isclose(found["low"], np.quantile(means, 0.025))
-    low, high = (1 + (means <= 0).sum()) / 401, (1 + (means >= 0).sum()) / 401
-    assert isclose(found["p"], min(1, 2 * min(low, high)))
-    assert inference.bootstrap(x - x.mean(), draws=400)["p"] > 0.5
-    trimmed = np.sort(x)[2:-2].mean()
-    assert isclose(inference.bootstrap(x, "trimmed", draws=50)["estimate"], trimmed)
-
-
-def test_wild_weights():
-    x = np.random.default_rng(5).normal(0, 1, 40)
-    for weights in ((-1.0, 1.0), inference.WEBB):
-        assert isclose(np.mean(np.square(weights)), 1.0) and isclose(np.mean(weights), 0.0, abs_tol=1e-12)
-        assert inference.wild_cluster(x + 2, weights, 999) < 0.01 < inference.wild_cluster(x - x.mean(), weights, 999)
-    assert inference.wild_cluster(np.ones(10)) == 1.0
-
-
-def test_confidence_set_in_both_directions():
-    losses = np.random.default_rng(6).normal(size=(90, 4))
-    equal = inference.confidence_set(losses - losses.mean(0), list("abcd"), draws=999)
-    assert all(stays for *_, stays in equal) and len({p for _, p, _ in equal}) == 1
-    one_bad = {n: (p, stays) for n, p, stays in inference.confidence_set(losses - losses.mean(0) + [0, 0, 3, 0], list("abcd"), draws=999)}
-    assert not one_bad["c"][1] and one_bad["c"][0] < 0.1 and all(one_bad[n][1] for n in "abd")
-    one_good = {n: stays for n, _, stays in inference.confidence_set(losses - losses.mean(0) - [0, 3, 0, 0], list("abcd"), draws=999)}
-    assert one_good == {"a": False, "b": True, "c": False, "d": False}
-
-
-def test_power_and_errors():
-    x = np.random.default_rng(7).normal(0, 1, 200)
-    weak, strong = (inference.simulated_power(x, 0.3, n)[0] for n in (20, 200))
-    assert weak < strong and inference.simulated_power(x, 0.3, 200)[1] < 0.15
-    assert inference.sessions_needed(x, 0.3, [20, 400]) == 400 and inference.sessions_needed(x, 0.0, [20]) is None
-    z = np.random.default_rng(8).normal(0.5, 1, 400_000)
-    hit = np.abs(z) > 1.959964
-    power, wrong, size = inference.sign_and_magnitude(0.5, 1.0)
-    assert abs(power - hit.mean()) < 0.003 and abs(wrong - (z[hit] < 0).mean()) < 0.01 and abs(size - np.abs(z[hit]).mean() / 0.5) < 0.02
-    assert inference.shrunk(-1.0, 4, 0.1) < 0 and inference.shrunk(0.1, 4, 1.0) == 0.0 and isclose(inference.detectable(1.0), 2.8015852, rel_tol=1e-6)
-    assert inference.fixed_sequence([("a", 1, 0.01), ("b", 1, 0.2), ("c", 1, 0.01)]) == [("a", "REJECTED"), ("b", "NOT_REJECTED"), ("c", "NOT_TESTED")]
-    flat = inference.posterior(1.0, 0.5, 1e6)
-    assert isclose(flat["mean"], 1.0, rel_tol=1e-6) and isclose(flat["positive"], 0.97725, abs_tol=1e-4)
-
-
-def test_garch_parameters_come_back():
-    rng, h, r = np.random.default_rng(9), 1.0, []
-    for _ in range(6_000):
-        r.append(rng.normal() * h**0.5)
-        h = 0.1 + 0.1 * r[-1] ** 2 + 0.8 * h
-    omega, alpha, beta = inference.garch_fit(np.array(r))
-    assert abs(alpha - 0.1) < 0.04 and abs(beta - 0.8) < 0.08 and abs(omega / (1 - alpha - beta) - 1.0) < 0.2
+    for losses, parts in ((rng.normal(size=(60, 4)), 6), (rng.normal(size=(60, 4)) + [0, 0, -9, 0], 8)):
+        blocks = np.array_split(np.arange(len(losses)), parts)
+        bad = total = 0
+        for chosen in combinations(range(parts), parts // 2):
+            inside = np.concatenate([blocks[i] for i in chosen])
+            outside = np.concatenate([blocks[i] for i in range(parts) if i not in chosen])
+            best, other = int(losses[inside].mean(0).argmin()), losses[outside].mean(0)
+            worse, same = sum(x > other[best] for x in other), sum(x == other[best] for x in other)
+            bad += (worse + (same + 1) / 2) / (losses.shape[1] + 1) <= 0.5
+            total += 1
+        sums = spark.createDataFrame([(p, f"m{j}", float(losses[b, j].sum()), len(b)) for p, b in enumerate(blocks) for j in range(4)], "part int, model string, s double, n long")
+        got = rs.overfitting(sums, parts, 4).first()
+        assert got.splits == total and isclose(got.pbo, bad / total)
+
+
+def test_superior_ability_and_confidence_set_in_both_directions(spark):
+    noise = np.random.default_rng(2).normal(size=(120, 4))
+    noise -= noise.mean(axis=0)
+    better, worse = gains_of(spark, noise + [0, 0, 0, 1.0]), gains_of(spark, noise - 1.0)
+    for key in ("spa_p", "reality_p"):
+        assert rs.superior(*better, 120, 299).first()[key] < 0.01 and rs.superior(*worse, 120, 299).first()[key] > 0.5
+    assert rs.superior(*better, 120, 299).first().best == "m3"
+    mixed = rs.superior(*gains_of(spark, np.column_stack([noise[:, :2] - 50 * np.arange(1, 3), noise[:, 2:] + 0.12])), 120, 299).first()
+    assert mixed.spa_p <= mixed.reality_p
+    equal = rs.confidence_set(*gains_of(spark, noise), 4, 299, 0.1).collect()
+    assert all(r.kept for r in equal)
+    bad = {r.model: (r.p, r.kept) for r in rs.confidence_set(*gains_of(spark, noise + [0, 0, 3.0, 0]), 4, 299, 0.1).collect()}
+    assert not bad["m2"][1] and bad["m2"][0] < 0.01 and sum(k for _, k in bad.values()) == 3
+    good = {r.model: (r.p, r.kept) for r in rs.confidence_set(*gains_of(spark, noise - [0, 3.0, 0, 0]), 4, 299, 0.1).collect()}
+    assert good["m1"] == (1.0, True) and sum(k for _, k in good.values()) == 1
+
+
+def test_places_of_draws(spark):
+    for wraps in (True, False):
+        rows = {}
+        for r in rs.blocks(spark, 23, 60, 5, "p", wraps=wraps).collect():
+            rows.setdefault(r.draw, {})[r.place] = r.i
+        assert len(rows) == 60 and all(sorted(v) == list(range(23)) for v in rows.values())
+        steps = [(v[p] - v[p - 1]) % 23 for v in rows.values() for p in range(1, 23) if p % 5]
+        assert set(steps) == {1}
+        assert wraps == any(v[p] < v[p - 1] for v in rows.values() for p in range(1, 23) if p % 5)
+    still = {}
+    for r in rs.stationary(spark, 200, 80, 5, "s").collect():
+        still.setdefault(r.draw, {})[r.place] = r.i
+    breaks = np.mean([(v[p] - v[p - 1]) % 200 != 1 for v in still.values() for p in range(1, 200)])
+    assert abs(breaks - 0.2) < 0.02
+    counts = np.bincount([i for v in still.values() for i in v.values()], minlength=200)
+    assert counts.min() > 0 and len(rs.blocks(spark, 7, 3, 5, "l", length=40).collect()) == 120
+
+
+def test_wild_weights_and_power(spark):
+    x = np.random.default_rng(4).normal(size=40)
+    df = lambda v: spark.createDataFrame(list(enumerate(map(float, v))), "i long, d double")
+    for kind in ("signs", "webb"):
+        weights = [r.w for r in spark.range(6_000).select(rs.weight(kind, rs.number("w", F.col("id"))).alias("w")).collect()]
+        assert abs(np.mean(weights)) < 0.05 and abs(np.var(weights) - 1) < 0.05 and len(set(weights)) == (2 if kind == "signs" else 6)
+        assert rs.wild(spark, df(x + 2), "d", kind, 199, "a").first().p < 0.01 < rs.wild(spark, df(x - x.mean()), "d", kind, 199, "a").first().p
+        assert rs.wild(spark, df(np.ones(10)), "d", kind, 99, "a").first().p == 1.0
+    centred = spark.createDataFrame([(i, float(v), 0.3) for i, v in enumerate(x - x.mean())], "i long, e double, effect double")
+    got = {r.sessions: r for r in rs.power(spark, centred, "effect", 40, [20, 200], 199, 5, "q").collect()}
+    assert got[20].power < got[200].power and got[200]["size"] < 0.2
+
+
+def test_trend_and_chance(spark):
+    rng = np.random.default_rng(11)
+    rows = [("up", i, 2.0 * i + rng.normal()) for i in range(40)] + [("flat", i, rng.normal()) for i in range(40)]
+    got = {(r.key, r.step): r for r in models.trend(spark.createDataFrame(rows, "key string, i int, y double"), "key", "i", "y", 199, 3).collect()}
+    assert abs(got["up", 1].slope - 2) < 0.1 and got["up", 1].p < 0.01 < 0.05 < got["flat", 1].p
+    assert isclose(got["up", 3].forecast - got["up", 2].forecast, got["up", 2].slope)
+
+
+def plain_cost(x, level, a, b):
+    h, total = level, 0.0
+    for v in x:
+        total += np.log(h) + v / h
+        h = level * (1 - a - b) + a * v + b * h
+    return total
+
+
+def test_garch_parameters_come_back(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for name, (omega, alpha, beta) in {"a": (0.1, 0.1, 0.8), "b": (0.4, 0.3, 0.3)}.items():
+        h = omega / (1 - alpha - beta)
+        for i in range(3_000):
+            r = float(np.sqrt(h) * rng.normal())
+            rows.append((name, i // 100, i % 100, r))
+            h = omega + alpha * r * r + beta * h
+    found = {r.k: r for r in models.garch_fit(spark.createDataFrame(rows, "k string, s int, i int, r double"), "k", "s", "i", "r").collect()}
+    for name, (alpha, beta) in {"a": (0.1, 0.8), "b": (0.3, 0.3)}.items():
+        f = found[name]
+        assert abs(f.alpha - alpha) < 0.06 and abs(f.beta - beta) < 0.15 and f.n == 3_000
+        r = np.array([x for k, _, _, x in rows if k == name])
+        x = (r - r.mean()) ** 2
+        near = min(plain_cost(x, x.mean(), f.alpha + i * 0.01, f.beta + j * 0.01) for i in (-1, 0, 1) for j in (-1, 0, 1) if f.alpha + i * 0.01 > 0 and f.alpha + f.beta + 0.01 * (i + j) < 0.999)
+        assert plain_cost(x, x.mean(), f.alpha, f.beta) <= near + 1e-6 and isclose(f.omega, x.mean() * (1 - f.alpha - f.beta))
 
 
 @pytest.fixture(scope="module")
@@ -203,9 +206,3 @@ def test_spline_and_ranked_ridge_are_least_squares(spark, sf):
     x = np.column_stack([np.ones(len(t)), t["persist"], t["bar"]]).astype(float)
     want = np.linalg.solve(x.T @ x + np.diag([0.0, 1.0, 1.0]), x.T @ t["actual"].to_numpy())
     assert np.allclose(list(found.values()), want, rtol=1e-6)
-
-
-def test_trend_and_chance():
-    slope, p = models.trend_test(np.arange(40.0) * 2 + np.random.default_rng(11).normal(size=40))
-    assert abs(slope - 2) < 0.1 and p < 0.01
-    assert models.trend_test(np.random.default_rng(12).normal(size=40))[1] > 0.05

@@ -12,6 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Origins that are broadcast, and parts that a time bucket's rows are dealt into where no key parts them.
+FEW, SALTS = 100_000, 64
+
+
 def latest(origins: DataFrame, rows: DataFrame, keys: list[str], cutoff: str, clock: str, order: list[str], values: list[str], inclusive: bool = True, oldest: str | None = None, bucket: int | None = None) -> DataFrame:
     """Each origin with the values of the last row of its keys whose ``clock`` is at or before (``inclusive``) or
     strictly before ``cutoff``; ``order`` breaks ties, last wins. With ``oldest``, a column of the origins, a
@@ -45,16 +49,27 @@ def latest_within(origins: DataFrame, rows: DataFrame, keys: list[str], origin_k
     """For each origin, the last row of every value of ``keys`` with ``clock`` in ``[cutoff - look_back, cutoff]``,
     both ends included. Clocks are long numbers; ``origin_keys`` must agree between both sides."""
     near = within(origins, rows, origin_keys, cutoff, clock, look_back)
-    best = W.partitionBy(*origins.columns, *[k for k in keys if k not in origins.columns]).orderBy(F.desc(clock), *[F.desc(o) for o in order])
-    return near.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
+    of = [*origins.columns, *[k for k in keys if k not in origins.columns]]
+    rest = [c for c in near.columns if c not in of]
+    last = near.groupBy(*of).agg(F.max_by(F.struct(*rest), F.struct(clock, *order)).alias("_last"))
+    return last.select(*of, "_last.*").select(*near.columns)
 
 
 def within(origins: DataFrame, rows: DataFrame, on: list[str], cutoff: str, clock: str, look_back: int) -> DataFrame:
     """Origins joined with the rows in ``[cutoff - look_back, cutoff]``: an equi-join on time buckets as long as
-    the look-back, so that each row meets the origins of two buckets only."""
+    the look-back, so that each row meets the origins of two buckets only. Few origins are broadcast; many that share no
+    key with the rows would leave the bucket alone to deal by, so these rows are salted."""
     left = origins.withColumn("_b", F.explode(F.array(F.floor(F.col(cutoff) / look_back), F.floor(F.col(cutoff) / look_back) - 1)))
     right = rows.withColumn("_b", F.floor(F.col(clock) / look_back))
-    return left.join(right, [*on, "_b"]).where((F.col(clock) <= F.col(cutoff)) & (F.col(clock) >= F.col(cutoff) - look_back)).drop("_b")
+    if origins.count() <= FEW:
+        met = F.broadcast(left).join(right, [*on, "_b"])
+    elif on:
+        met = left.join(right, [*on, "_b"])
+    else:
+        salted = right.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+        met = left.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(salted, ["_b", "_salt"]).drop("_salt")
+    met = met.where((F.col(clock) <= F.col(cutoff)) & (F.col(clock) >= F.col(cutoff) - look_back)).drop("_b")
+    return met.select(*origins.columns, *[c for c in met.columns if c not in origins.columns])
 
 
 def gated(value: Column, available: Column, origin: Column, fallback: Column) -> Column:

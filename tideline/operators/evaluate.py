@@ -131,21 +131,22 @@ def kendall(rows: DataFrame, by: list[str], order: str, x: str, y: str) -> DataF
     return pairs.groupBy(*by).agg(F.count("*").alias("pairs"), tau.alias("tau"))
 
 
-def session_pair_auc(rows: DataFrame, session: str, score: str, label: str) -> DataFrame:
-    """For every pair of sessions the won pairs of a positive of one against a negative of the other, ties half.
+def session_pair_auc(rows: DataFrame, by: list[str], session: str, score: str, label: str) -> DataFrame:
+    """For every pair of sessions of a group the won pairs of a positive of one against a negative of the other, ties half.
 
     Rows are first counted by session and score. Negatives at or below each score are a running sum per session over
-    the distinct scores; positives join it on the score alone. So scores should be few or binned."""
-    c = rows.groupBy(session, score).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
-    scores, sessions = c.select(score).distinct(), c.select(F.col(session).alias("negative_session")).distinct()
-    grid = scores.crossJoin(F.broadcast(sessions)).join(c.select(F.col(session).alias("negative_session"), score, "q"), ["negative_session", score], "left")
+    the distinct scores; positives join it on group and score alone. So scores should be few or binned."""
+    c = rows.groupBy(*by, session, score).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
+    negative = F.col(session).alias("negative_session")
+    grid = c.select(*by, score).distinct().join(c.select(*by, negative).distinct(), by).join(c.select(*by, negative, score, "q"), [*by, "negative_session", score], "left")
     q = F.coalesce("q", F.lit(0))
-    up_to = F.sum(q).over(W.partitionBy("negative_session").orderBy(score).rowsBetween(W.unboundedPreceding, 0))
-    below = grid.select("negative_session", score, (up_to - q / 2).alias("below"))
-    wins = c.where("p > 0").join(below, score).groupBy(F.col(session).alias("positive_session"), "negative_session").agg(F.sum(F.col("p") * F.col("below")).alias("wins"))
-    size = lambda name, n: c.groupBy(F.col(session).alias(name)).agg(F.sum(n).alias(n))
-    both = wins.join(size("positive_session", "p"), "positive_session").join(size("negative_session", "q"), "negative_session")
-    return both.where("p > 0 and q > 0").select("positive_session", "negative_session", "wins", (F.col("p") * F.col("q")).alias("pairs"))
+    up_to = F.sum(q).over(W.partitionBy(*by, "negative_session").orderBy(score).rowsBetween(W.unboundedPreceding, 0))
+    below = grid.select(*by, "negative_session", score, (up_to - q / 2).alias("below"))
+    positive = F.col(session).alias("positive_session")
+    wins = c.where("p > 0").join(below, [*by, score]).groupBy(*by, positive, "negative_session").agg(F.sum(F.col("p") * F.col("below")).alias("wins"))
+    size = lambda name, n: c.groupBy(*by, F.col(session).alias(name)).agg(F.sum(n).alias(n))
+    both = wins.join(size("positive_session", "p"), [*by, "positive_session"]).join(size("negative_session", "q"), [*by, "negative_session"])
+    return both.where("p > 0 and q > 0").select(*by, "positive_session", "negative_session", "wins", (F.col("p") * F.col("q")).alias("pairs"))
 
 
 def log_calibration(train: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
@@ -157,16 +158,32 @@ def log_calibration(train: DataFrame, by: list[str], y: str, x: str) -> DataFram
 # ---- over a session series on the driver -----------------------------------------------------------------
 
 
-def series(frame: DataFrame, session: str, value: str) -> np.ndarray:
-    """A session series in order: one number per session."""
-    return np.array([r[0] for r in frame.groupBy(session).agg(F.avg(value).alias(value)).orderBy(session).select(value).collect()], float)
+def spending(share: Column, alpha: float) -> Column:
+    """Error spent by the time a share of all information is in, by the logarithmic spending function."""
+    return alpha * F.log(1 + (F.exp(F.lit(1.0)) - 1) * F.least(share, F.lit(1.0)))
 
 
-def alpha_spending(times: list[float], alpha: float = 0.05) -> list[float]:
-    """Cumulative error spent at each share of information."""
-    from math import e, log
+def conditional_wald(rows: DataFrame, difference: str, conditioner: str) -> DataFrame:
+    """``wald, p, sessions``: whether a difference has zero mean given a constant and one conditioner. With s the sums of the difference
+    and of its product with the conditioner, and m those of squared residuals times the outer product of the regressors, the
+    robust statistic of both coefficients is s' m^-1 s."""
+    d, h = F.col(difference), F.col(conditioner)
+    line = rows.agg(F.regr_slope(d, h).alias("_b"), F.regr_intercept(d, h).alias("_a"))
+    e = F.pow(d - F.col("_a") - F.col("_b") * h, 2)
+    s = rows.crossJoin(F.broadcast(line)).agg(F.count("*").alias("sessions"), F.sum(d).alias("s0"), F.sum(d * h).alias("s1"), F.sum(e).alias("m0"), F.sum(e * h).alias("m1"), F.sum(e * h * h).alias("m2"))
+    s0, s1, m0, m1, m2 = (F.col(c) for c in ("s0", "s1", "m0", "m1", "m2"))
+    wald = (s0 * s0 * m2 - 2 * s0 * s1 * m1 + s1 * s1 * m0) / (m0 * m2 - m1 * m1)
+    return s.select(wald.alias("wald"), F.exp(-wald / 2).alias("p"), "sessions")
 
-    return [alpha * log(1 + (e - 1) * min(1.0, t)) for t in times]
+
+def sign_evidence(series_: DataFrame, order: str, value: str, bets: list[float], alpha: float) -> DataFrame:
+    """``order, e_value, p, rejected``: the mean wealth of bets of several stakes on the sign of a series; 1 over its running maximum
+    is a p-value at any time. One row a session is walked in one task."""
+    over = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    wealth = [F.exp(F.sum(F.log(1 + b * F.signum(value))).over(over)) for b in bets]
+    walked = series_.select(order, (sum(wealth[1:], wealth[0]) / len(bets)).alias("e_value"))
+    top = F.max("e_value").over(over)
+    return walked.select(order, "e_value", F.least(F.lit(1.0), 1 / top).alias("p"), (top >= 1 / alpha).alias("rejected"))
 
 
 def always_valid(series_: DataFrame, order: str, value: str, bet: float) -> DataFrame:

@@ -44,3 +44,30 @@ def without_targets(frame: DataFrame, markers: tuple[str, ...] = ("target", "fut
     if leaks:
         raise ValueError(f"TARGET_COLUMN_IN_PREDICTORS:{','.join(leaks)}")
     return frame
+
+
+def stripped(frame: DataFrame, markers: tuple[str, ...] = ("target", "future", "loss")) -> DataFrame:
+    """A frame without the columns that look like outcomes."""
+    return frame.drop(*[c for c in frame.columns if any(m in c.lower() for m in markers)])
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of frames whose keys are the same and unique; anything else is an error. Null keys meet nothing, so they are
+    one too."""
+    joined = checked_join(left, right, keys, "inner", "1:1")
+    sizes = {"LEFT": left.count(), "RIGHT": right.count(), "JOINED": joined.count()}
+    if len(set(sizes.values())) > 1:
+        raise ValueError("JOIN_NOT_ONE_TO_ONE:" + ",".join(f"{k}={v}" for k, v in sizes.items()))
+    return joined
+
+
+def bound(predictors: DataFrame, panel: DataFrame, keys: list[str], needed: list[str], targets: list[str]) -> DataFrame:
+    """``keys, needed, targets, status`` per predictor row: ``bound`` to the panel's row of the same keys, ``incomplete`` where a
+    needed predictor is unknown, ``without_target`` where the panel has no such row. Repeated keys on either side are an error."""
+    known = panel.select(*keys, *targets, F.lit(True).alias("_in"))
+    met = checked_join(predictors.select(*keys, *needed), known, keys, "left", "1:1")
+    missing = F.lit(False)
+    for c in needed:
+        missing = missing | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    status = F.when(missing, "incomplete").when(F.col("_in").isNull(), "without_target").otherwise("bound")
+    return met.withColumn("status", status).drop("_in")

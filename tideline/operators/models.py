@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import files
+
 
 def gram(rows: DataFrame, features: list[str], target: str, by: list[str] | None = None) -> DataFrame:
     """Sums of products of the features (with 1) and the target, per group: one aggregation, k * k numbers."""
@@ -180,10 +182,73 @@ def ranked_ridge(train: DataFrame, features: list[str], target: str, ridge: floa
     return [features[i - 1] for i in kept[1:]], b
 
 
-def trend_test(y: np.ndarray, draws: int = 1_999, seed: int = 650) -> tuple[float, float]:
-    """Slope of a series over its positions, and its two-sided p-value under random signs of the centred series."""
-    x = np.arange(len(y)) - (len(y) - 1) / 2
-    slope = float(x @ y / (x @ x))
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], (draws, len(y)))
-    drawn = np.abs((signs * (y - y.mean())) @ x / (x @ x))
-    return slope, float((1 + np.count_nonzero(drawn >= abs(slope))) / (draws + 1))
+def trend(rows: DataFrame, key: str, order: str, value: str, draws: int, ahead: int) -> DataFrame:
+    """``key, slope, p, step, forecast``: least squares over a series' positions, its p-value under random signs of the centred
+    series (a hash of draw and place), and what it says for the next places. Draws are rows; series have one row a session."""
+    from . import resample
+
+    of = W.partitionBy(key)
+    placed = rows.withColumns({"_i": F.row_number().over(of.orderBy(order)) - 1, "_n": F.count("*").over(of), "_e": F.col(value) - F.avg(value).over(of)})
+    placed = placed.withColumn("_x", F.col("_i") - (F.col("_n") - 1) / 2)
+    line = placed.groupBy(key).agg(F.avg(value).alias("_level"), (F.sum(F.col("_x") * F.col(value)) / F.sum(F.col("_x") * F.col("_x"))).alias("slope"), F.sum(F.col("_x") * F.col("_x")).alias("_xx"), F.max("_n").alias("_n"))
+    sign = F.when(resample.number("trend", F.col("draw"), F.col("_i")) % 2 == 0, 1.0).otherwise(-1.0)
+    drawn = placed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).groupBy(key, "draw").agg(F.abs(F.sum(sign * F.col("_e") * F.col("_x"))).alias("_s"))
+    p = drawn.join(line, key).groupBy(key).agg(((F.count_if(F.col("_s") / F.col("_xx") >= F.abs("slope")) + 1) / F.lit(draws + 1.0)).alias("p"))
+    steps = line.join(p, key).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(ahead))))
+    at = F.col("_n") - 1 + F.col("step") - (F.col("_n") - 1) / 2
+    return steps.select(key, "slope", "p", "step", (F.col("_level") + F.col("slope") * at).alias("forecast"))
+
+
+def garch_fit(rows: DataFrame, key: str, segment: str, order: str, value: str, closer: int = 6) -> DataFrame:
+    """``key, omega, alpha, beta, n``: a GARCH(1,1) by quasi maximum likelihood, over all rows of each key. The long-run variance is
+    that of the series, so two parameters are sought: a grid, drawn ``closer`` by half about its best point.
+
+    For each pair the variance is a linear recurrence: segments are reduced for all pairs at once, their reductions carried
+    along the key (an array a segment), and each segment's likelihood summed up from its own start. No task holds more than a
+    segment, or a key's segments."""
+    known = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
+    mean = known.groupBy(key).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_level"), F.count("*").alias("n"))
+    squares = files.stored(known.join(mean, key).select(key, segment, order, F.pow(F.col(value) - F.col("_m"), 2).alias("_x"), "_level", "n"))
+    kinds = {f.name: f.dataType.simpleString() for f in squares.schema}
+    grid = {None: np.array([(a, b) for a in np.linspace(0.01, 0.4, 6) for b in np.linspace(0.0, 0.97, 8)])}
+    step, best = np.array([0.078, 0.1386]) / 2, {}
+    head = f"`{key}` {kinds[key]}"
+
+    def pairs_of(name, grid):
+        return grid.get(name, grid.get(None))
+
+    for _ in range(closer):
+
+        def reduced(pdf: pd.DataFrame, *, grid=grid) -> pd.DataFrame:
+            a, b = pairs_of(pdf[key].iloc[0], grid).T
+            level, total = pdf["_level"].iloc[0], np.zeros(len(a))
+            for x in pdf.sort_values(order)["_x"].to_numpy():
+                total = b * total + level * (1 - a - b) + a * x
+            return pd.DataFrame({key: [pdf[key].iloc[0]], segment: [pdf[segment].iloc[0]], "_f": [(b ** len(pdf)).tolist()], "_t": [total.tolist()], "_level": [level]})
+
+        def carried(pdf: pd.DataFrame, *, grid=grid) -> pd.DataFrame:
+            pdf = pdf.sort_values(segment)
+            state, out = np.full(len(pairs_of(pdf[key].iloc[0], grid)), pdf["_level"].iloc[0]), []
+            for f, t in zip(pdf["_f"], pdf["_t"], strict=True):
+                out.append(state.tolist())
+                state = np.asarray(f) * state + np.asarray(t)
+            return pdf[[key, segment]].assign(_start=out)
+
+        def judged(pdf: pd.DataFrame, *, grid=grid) -> pd.DataFrame:
+            a, b = pairs_of(pdf[key].iloc[0], grid).T
+            level, h, cost = pdf["_level"].iloc[0], np.array(pdf["_start"].iloc[0]), np.zeros(len(a))
+            for x in pdf.sort_values(order)["_x"].to_numpy():
+                cost += np.log(h) + x / h
+                h = np.maximum(level * (1 - a - b) + a * x + b * h, 1e-12)
+            return pd.DataFrame({key: pdf[key].iloc[0], "at": np.arange(len(a)), "cost": np.where((a >= 0) & (b >= 0) & (a + b < 0.999), cost, np.inf)})
+
+        parts = squares.groupBy(key, segment).applyInPandas(reduced, f"{head}, `{segment}` {kinds[segment]}, _f array<double>, _t array<double>, _level double")
+        starts = parts.groupBy(key).applyInPandas(carried, f"{head}, `{segment}` {kinds[segment]}, _start array<double>")
+        costs = squares.join(starts, [key, segment]).groupBy(key, segment).applyInPandas(judged, f"{head}, at int, cost double").groupBy(key, "at").agg(F.sum("cost").alias("cost"))
+        for r in costs.groupBy(key).agg(F.min_by("at", F.struct("cost", "at")).alias("at")).collect():  # a row a key
+            best[r[key]] = pairs_of(r[key], grid)[r["at"]]
+        grid = {name: np.clip(point + step * np.array([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]), 0.0, 0.998) for name, point in best.items()}
+        step = step / 2
+    found = rows.sparkSession.createDataFrame([(name, float(a), float(b)) for name, (a, b) in best.items()], f"{head}, alpha double, beta double")
+    about = squares.groupBy(key).agg(F.max("_level").alias("_level"), F.max("n").alias("n"))
+    return about.join(F.broadcast(found), key).select(key, (F.col("_level") * (1 - F.col("alpha") - F.col("beta"))).alias("omega"), "alpha", "beta", "n")

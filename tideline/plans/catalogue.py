@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, choice, domain, evaluation, flows, further, intake, joins, live, masks, panels, relational, state, windowed  # noqa: F401  (they register themselves)
+from . import aggregates, bound, choice, domain, evaluation, flows, further, intake, joins, learn, live, masks, panels, relational, resampling, state, windowed  # noqa: F401  (they register themselves)
 from .registry import QUERIES, SQL
 
 

@@ -1,16 +1,18 @@
-"""Choice among five forecasts, tests over their session losses, power and economics.
+"""Choice among five forecasts, models and economics.
 
-Spark makes the session matrix (one row per session, one column per model); the tests run over that small matrix.
 Queries without SQL are tested against plain loops in ``tests/test_choice.py``.
 """
 
 from __future__ import annotations
 
+from math import e
+from statistics import NormalDist
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normal_cdf, normal_cdf_sql
-from ..operators import evaluate, inference, models, selection
+from ..operators import evaluate, models, selection
 from ..sources.tables import tape
 from .evaluation import _LOSS, _PAIRED, forecasts, paired
 from .registry import GRID, TAPE, query, r6, s6
@@ -28,132 +30,10 @@ def candidates(spark, sf):
     return f.withColumn("yesterday", F.lag("actual").over(W.partitionBy("asset", "bar").orderBy("session_date")))
 
 
-def matrix(spark, sf):
-    """Mean loss by session and model, over the hours that all five forecast."""
-    rows = candidates(spark, sf).na.drop(subset=MODELS).unpivot([*KEYS, "bar", "actual"], MODELS, "model", "forecast")
-    rows = rows.withColumn("loss", evaluate.qlike(F.col("actual"), F.col("forecast")))
-    return selection.session_matrix(rows, "session_date", "model", "loss", MODELS)
-
-
 def table_of(spark, rows, ddl):
     return spark.createDataFrame(rows, ddl)
 
 
-def series(spark, sf):
-    return evaluate.series(paired(spark, sf), "session_date", "difference")
-
-
-@query("model_confidence_set")
-def model_confidence_set(spark, sf):
-    return table_of(spark, inference.confidence_set(matrix(spark, sf), MODELS), "model string, p double, kept boolean")
-
-
-@query("overfitting_probability")
-def overfitting_probability(spark, sf):
-    return table_of(spark, [(inference.overfitting(matrix(spark, sf)),)], "pbo double")
-
-
-@query("superior_ability")
-def superior_ability(spark, sf):
-    """Each model against the flat line: loss of the benchmark less the model's, so that a gain is positive."""
-    m = matrix(spark, sf)
-    found = inference.superior_ability(m[:, :1] - m[:, 1:])
-    return table_of(spark, [(MODELS[1 + found["best"]], found["gain"], found["spa"], found["reality"])], "best string, gain double, spa_p double, reality_p double")
-
-
-@query("bootstraps")
-def bootstraps(spark, sf):
-    """One series under circular, moving and stationary blocks, and three statistics."""
-    x = series(spark, sf)
-    kinds = {"circular": inference.circular_rows, "moving": inference.moving_rows, "stationary": inference.stationary_rows}
-    rows = [(name, kind, *inference.bootstrap(x, kind, rows).values()) for name, rows in kinds.items() for kind in ("mean", "median", "trimmed")]
-    return table_of(spark, rows, "blocks string, statistic string, estimate double, se double, low double, high double, p double")
-
-
-@query("wild_bootstraps")
-def wild_bootstraps(spark, sf):
-    x = series(spark, sf)
-    return table_of(spark, [("signs", inference.wild_cluster(x)), ("webb", inference.wild_cluster(x, inference.WEBB))], "weights string, p double")
-
-
-@query("paired_day_gain")
-def paired_day_gain(spark, sf):
-    m = matrix(spark, sf)
-    rows = [(name, *inference.paired_days(m[:, 0], m[:, i]).values()) for i, name in enumerate(MODELS) if i]
-    return table_of(spark, rows, "model string, gain double, low double, high double, p double")
-
-
-@query("conditional_ability")
-def conditional_ability(spark, sf):
-    """Whether the loss difference of a session depends on that of the one before."""
-    x = series(spark, sf)
-    wald, p = inference.conditional_ability(x[1:], x[:-1])
-    return table_of(spark, [(wald, p, len(x) - 1)], "wald double, p double, sessions long")
-
-
-@query("session_contrast")
-def session_contrast(spark, sf):
-    """The record of one contrast: estimate, interval, three p-values, the smallest effect it could find, and whether
-    the interval lies inside a margin of a twentieth of the base loss."""
-    x, base = series(spark, sf), float(matrix(spark, sf)[:, 0].mean())
-    b = inference.bootstrap(x)
-    se = (inference.long_run_variance(x) / len(x)) ** 0.5
-    margin = 0.05 * base
-    row = (b["estimate"], b["low"], b["high"], b["p"], inference.wild_cluster(x), inference.detectable(se), len(x), margin, -margin < b["low"] and b["high"] < margin)
-    return table_of(spark, [row], "estimate double, low double, high double, p double, wild_p double, mde double, sessions long, margin double, equivalent boolean")
-
-
-@query("fixed_sequence")
-def fixed_sequence(spark, sf):
-    """Ordered hypotheses per model family, each tested only while all before it held; beside it Holm's adjustment."""
-    m = matrix(spark, sf)
-    steps = []
-    for i, name in enumerate(MODELS[1:], 1):
-        b = inference.bootstrap(m[:, 0] - m[:, i])
-        steps.append((name, b["estimate"], b["p"]))
-    rows = [(*step, state) for step, (_, state) in zip(steps, inference.fixed_sequence(steps), strict=True)]
-    frame = table_of(spark, rows, "model string, estimate double, p double, state string").withColumn("family", F.lit("all"))
-    return evaluate.holm(frame, ["family"], "p").drop("family")
-
-
-@query("power_study")
-def power_study(spark, sf):
-    """Simulated power by number of sessions, the shrunken effect, and errors of sign and magnitude."""
-    x = series(spark, sf)
-    se = float(x.std(ddof=1) / len(x) ** 0.5)
-    effect = inference.shrunk(float(x.mean()), len(MODELS) - 1, se)
-    power, sign, size = inference.sign_and_magnitude(float(x.mean()), se)
-    rows = [(n, *inference.simulated_power(x, effect, n), effect, power, sign, size) for n in (30, 60, 120, 240)]
-    return table_of(spark, rows, "sessions long, power double, size double, effect double, power_now double, wrong_sign double, exaggeration double")
-
-
-@query("effect_posterior")
-def effect_posterior(spark, sf):
-    x = series(spark, sf)
-    found = inference.posterior(float(x.mean()), float(x.std(ddof=1) / len(x) ** 0.5), 0.5)
-    return table_of(spark, [tuple(found.values())], "mean double, se double, positive double")
-
-
-@query("alpha_spending", "SELECT look::INTEGER AS look, (round(0.05 * ln(1 + (exp(1) - 1) * least(1.0, look / 4.0)), 6) + 0.0) AS spent FROM range(1, 6) r(look)")
-def alpha_spending(spark, sf):
-    spent = evaluate.alpha_spending([k / 4 for k in range(1, 6)])
-    return table_of(spark, [(k, round(x, 6)) for k, x in enumerate(spent, 1)], "look int, spent double")
-
-
-@query("garch_fit")
-def garch_fit(spark, sf):
-    """Parameters by asset, each from its own series of returns in one task: a session series is small."""
-    import pandas as pd
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(["session_date", "bar"])["r"].to_numpy()
-        omega, alpha, beta = inference.garch_fit(x)
-        return pd.DataFrame({"asset": [pdf["asset"].iloc[0]], "omega": [omega], "alpha": [alpha], "beta": [beta], "n": [len(x)]})
-
-    rows = returns(spark, sf).where("r is not null and bar % 6 = 0").select(*KEYS, "bar", "r")
-    return rows.groupBy("asset").applyInPandas(fit, "asset string, omega double, alpha double, beta double, n long")
-
-
 # ---- association and ranking -------------------------------------------------------------------------------
 
 
@@ -166,13 +46,12 @@ def kendall_tau(spark, sf):
     return evaluate.kendall(d, ["asset"], "session_date", "x", "y").withColumn("tau", r6("tau"))
 
 
-@query("session_pair_auc", f"""WITH {TAPE}, c AS (SELECT session_date, strike, count(*) FILTER (WHERE is_call) AS p, count(*) FILTER (WHERE NOT is_call) AS q FROM tape WHERE asset = 'view' GROUP BY 1, 2)
-  SELECT a.session_date AS positive_session, b.session_date AS negative_session, {s6('sum(a.p * b.q * (CASE WHEN a.strike > b.strike THEN 1.0 WHEN a.strike = b.strike THEN 0.5 ELSE 0.0 END))::DOUBLE')} AS wins,
-    sum(a.p * b.q)::BIGINT AS pairs FROM c a, c b GROUP BY 1, 2 HAVING sum(a.p * b.q) > 0""", dates=["positive_session", "negative_session"])
+@query("session_pair_auc", f"""WITH {TAPE}, c AS (SELECT asset, session_date, strike, count(*) FILTER (WHERE is_call) AS p, count(*) FILTER (WHERE NOT is_call) AS q FROM tape GROUP BY 1, 2, 3)
+  SELECT a.asset, a.session_date AS positive_session, b.session_date AS negative_session, {s6('sum(a.p * b.q * (CASE WHEN a.strike > b.strike THEN 1.0 WHEN a.strike = b.strike THEN 0.5 ELSE 0.0 END))::DOUBLE')} AS wins,
+    sum(a.p * b.q)::BIGINT AS pairs FROM c a JOIN c b ON a.asset = b.asset GROUP BY 1, 2, 3 HAVING sum(a.p * b.q) > 0""", dates=["positive_session", "negative_session"])
 def session_pair_auc(spark, sf):
     """Exact counts of won pairs for every pair of sessions, so that any resample of sessions has its area at once."""
-    rows = tape(spark, sf).where("asset = 'view'")
-    return evaluate.session_pair_auc(rows, "session_date", "strike", "is_call").withColumn("wins", r6("wins"))
+    return evaluate.session_pair_auc(tape(spark, sf), ["asset"], "session_date", "strike", "is_call").withColumn("wins", r6("wins"))
 
 
 # ---- models ------------------------------------------------------------------------------------------------
@@ -291,10 +170,13 @@ def pnl(spark, sf):
     return selection.strategy(returns(spark, sf).where("r is not null"), KEYS, "bar", F.col("r"), F.col("r"), 0.0)
 
 
-#: Lead of the best of five trials under no skill, in standard deviations of a Sharpe ratio.
-_TRIALS = 5
-_LEAD = 0.5772156649015329 * inference._Z.inv_cdf(1 - 1 / (_TRIALS * 2.718281828459045)) + (1 - 0.5772156649015329) * inference._Z.inv_cdf(1 - 1 / _TRIALS)
-_SCORE = f"(sharpe - {_LEAD}) * sqrt(n - 1.0) / sqrt(greatest(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe, 1e-12))"
+#: Trials that a strategy was chosen from, and the greatest of so many standard normal numbers that is to be expected: an average
+#: of two quantiles, weighted by Euler's constant (a fixed value).
+_TRIALS, _EULER = 5, 0.5772156649015329
+_BEST = sum(w * NormalDist().inv_cdf(1 - 1 / k) for w, k in ((1 - _EULER, _TRIALS), (_EULER, _TRIALS * e)))
+#: The variance of an estimated Sharpe ratio of returns that are not normal, times the returns less one.
+_VARIANCE = "(1 - skew * sharpe + (kurt - 1) * sharpe * sharpe / 4)"
+_SCORE = f"CASE WHEN {_VARIANCE} > 0 THEN (sharpe - {_BEST}) / sqrt({_VARIANCE} / (n - 1)) END"
 
 
 @query("deflated_sharpe", f"""WITH {_PNL}, m AS (SELECT asset, avg(pnl) AS m FROM p GROUP BY 1), c AS (SELECT asset, count(*) AS n, m, avg((pnl - m) ** 2) AS m2, avg((pnl - m) ** 3) AS m3, avg((pnl - m) ** 4) AS m4 FROM p JOIN m USING (asset) GROUP BY asset, m),
@@ -304,7 +186,7 @@ def deflated_sharpe(spark, sf):
     """Chance that a Sharpe ratio per bar is above what the best of five trials shows by luck; one aggregation."""
     x = F.col("pnl")
     k = pnl(spark, sf).groupBy("asset").agg(F.count(x).alias("n"), (F.avg(x) / F.stddev_samp(x)).alias("sharpe"), F.skewness(x).alias("skew"), (F.kurtosis(x) + 3).alias("kurt"))
-    return k.select("asset", r6("sharpe").alias("sharpe"), r6(normal_cdf(F.expr(_SCORE.replace("1e-12", "1e-12D")))).alias("deflated"))
+    return k.select("asset", r6("sharpe").alias("sharpe"), r6(normal_cdf(F.expr(_SCORE))).alias("deflated"))
 
 
 @query("risk_utility", f"""WITH {_PNL}, d AS (SELECT asset, session_date, sum(pnl) AS x FROM p GROUP BY 1, 2), q AS (SELECT asset, session_date, x, avg(x) OVER w - 1.645 * stddev_samp(x) OVER w AS bound, count(x) OVER w AS n FROM d WINDOW w AS (PARTITION BY asset ORDER BY session_date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
@@ -337,25 +219,9 @@ def constrained_positions(spark, sf):
     return selection.constrained(s, ["session_date", "bar"], "wanted", each=1.0, all_=2.0).select(*KEYS, "bar", r6("position").alias("position"))
 
 
-@query("trend_forecast")
-def trend_forecast(spark, sf):
-    """A trend over sessions by asset, its p-value under random signs of the residuals, and the next ten sessions."""
-    import numpy as np
-    import pandas as pd
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("session_date")["y"].to_numpy(float)
-        slope, p = models.trend_test(y)
-        ahead = y.mean() + slope * (np.arange(len(y), len(y) + 10) - (len(y) - 1) / 2)
-        return pd.DataFrame({"asset": pdf["asset"].iloc[0], "slope": slope, "p": p, "step": np.arange(1, 11), "forecast": ahead})
-
-    d = tape(spark, sf).groupBy(*KEYS).agg(F.sum("premium").alias("y"))
-    return d.groupBy("asset").applyInPandas(fit, "asset string, slope double, p double, step long, forecast double")
-
-
 @query("detectable_effects", f"""WITH {_PAIRED} SELECT count(*) AS n, {s6('2.8015852181 * stddev_samp(d) / sqrt(count(*))')} AS mde, {s6('sign(avg(d)) * greatest(abs(avg(d)) - sqrt(2 * ln(4)) * stddev_samp(d) / sqrt(count(*)), 0)')} AS shrunk FROM daily""")
 def detectable_effects(spark, sf):
     d = paired(spark, sf)
     se, mean = F.stddev_samp("difference") / F.sqrt(F.count("*")), F.avg("difference")
     lead = F.greatest(F.abs(mean) - F.sqrt(2 * F.log(F.lit(4.0))) * se, F.lit(0.0))
-    return d.agg(F.count("*").alias("n"), r6(F.lit(inference.detectable(1.0)) * se).alias("mde"), r6(F.signum(mean) * lead).alias("shrunk"))
+    return d.agg(F.count("*").alias("n"), r6(F.lit(2.8015852181) * se).alias("mde"), r6(F.signum(mean) * lead).alias("shrunk"))

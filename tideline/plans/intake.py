@@ -102,9 +102,9 @@ def torn_observations(spark, sf):
 # ---- payloads ----------------------------------------------------------------------------------------------
 
 
-def payload(rows, item):
-    """One JSON array of rows per asset and session, as a provider sends them."""
-    return rows.groupBy(*KEYS).agg(F.to_json(F.collect_list(item)).alias("payload"))
+def payload(rows, item, *by):
+    """One JSON array of rows per asset and session, and whatever else parts them, as a provider sends its pages."""
+    return rows.groupBy(*KEYS, *by).agg(F.to_json(F.collect_list(item)).alias("payload"))
 
 
 @query("bar_payloads", f"""WITH {BARS} SELECT epoch_us(session_date::TIMESTAMP) + bar * 3600000000 AS bar_us, open, high, low, close, volume::DOUBLE AS volume FROM bars WHERE open > 0 AND close > 0""")
@@ -119,7 +119,7 @@ def bar_payloads(spark, sf):
 def trade_payloads(spark, sf):
     """Trades with clocks in nanoseconds; rows without a price or size go."""
     item = F.struct((F.col("executed_us") * 1000 + F.col("seq") % 1000).alias("sip_timestamp"), (F.col("premium") - 20).alias("price"), F.col("strike").alias("size"), F.array("asset").alias("conditions"))
-    found = tables.trade_payload(payload(tape(spark, sf), item), "payload")
+    found = tables.trade_payload(payload(tape(spark, sf), item, F.hour("executed_at")), "payload")
     return found.select("sip_timestamp", r6("price").alias("price"), "size", F.col("conditions")[0].alias("condition"))
 
 
@@ -129,7 +129,7 @@ def quote_payloads(spark, sf):
     """Quotes with their mid price; crossed and one-sided ones go."""
     bid = F.col("premium") - 10
     item = F.struct((F.col("executed_us") * 1000).alias("sip_timestamp"), bid.alias("bid_price"), (bid + F.col("strike") / 10.0 - 2).alias("ask_price"))
-    return tables.quote_payload(payload(tape(spark, sf), item), "payload").select("sip_timestamp", r6("mid").alias("mid"))
+    return tables.quote_payload(payload(tape(spark, sf), item, F.hour("executed_at")), "payload").select("sip_timestamp", r6("mid").alias("mid"))
 
 
 @query("alert_payloads", f"""WITH {TAPE} SELECT seq::VARCHAR AS id, asset AS ticker, (session_date + 7)::DATE AS expiry, executed_us // 1000 AS start_ms, {s6('premium')} AS premium, strike::DOUBLE AS strike, direction = 1 AS has_sweep FROM tape""", dates=["expiry"])
@@ -138,7 +138,7 @@ def alert_payloads(spark, sf):
         F.col("seq").cast("string").alias("id"), F.col("asset").alias("ticker"), F.date_add("session_date", 7).cast("string").alias("expiry"), F.floor(F.col("executed_us") / 1000).alias("start_time"),
         F.col("premium").alias("total_premium"), F.col("strike").cast("double").alias("strike"), (F.col("direction") == 1).alias("has_sweep"),
     )
-    found = tables.alert_payload(payload(tape(spark, sf), item), "payload")
+    found = tables.alert_payload(payload(tape(spark, sf), item, F.hour("executed_at")), "payload")
     return found.select("id", "ticker", "expiry", F.unix_millis("start_time").alias("start_ms"), r6("total_premium").alias("premium"), "strike", "has_sweep")
 
 

@@ -95,3 +95,12 @@ def stored(frame: DataFrame, name: str = "step") -> DataFrame:
     path = scratch(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def read_addressed(spark: SparkSession, path: str) -> DataFrame:
+    """Read content below its key; content that has changed since is an error."""
+    frame = spark.read.parquet(path)
+    key = path.rstrip("/").rsplit("/", 1)[-1]
+    if content_key(frame) != key:
+        raise ValueError(f"CONTENT_CHANGED:{key}")
+    return frame
