@@ -116,3 +116,17 @@ def test_written_shards(spark, tmp_path, awkward):
 
 def test_no_documents(empty):
     assert extendible_sharding.shard(empty, 100).collect() == []
+
+
+def test_rows_of_one_key_are_parted_past_all_bits(spark, monkeypatch):
+    """Few bits for a key's rows, so that several generations of them are needed; null and repeated ids alike."""
+    monkeypatch.setattr(extendible_sharding, "STEP", 20)
+    rows = [(None, "abcdef")] * 300 + [(7, "abcdef")] * 200 + [(i, "x" * (i % 30)) for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    coded = extendible_sharding.coded
+    # rows of a key share their first bits altogether: only further generations part them
+    monkeypatch.setattr(extendible_sharding, "coded", lambda *a: coded(*a).withColumn("code", F.shiftleft(F.shiftright("code", 20), 20)))
+    placed = extendible_sharding.shard(df, 10).collect()
+    assert len(placed) == len(rows)
+    check_shards(placed, 10)
+    assert max(r.depth for r in placed) > 60

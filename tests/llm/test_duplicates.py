@@ -241,3 +241,25 @@ def test_ids_are_kept_or_dropped_either_way(spark, monkeypatch):
         monkeypatch.setattr(common, "BROADCAST_IDS", bound)
         assert sorted(r.text for r in common.by_ids(frame, "doc_id", ids, "left_semi").collect()) == ["b", "c"]
         assert sorted(r.text for r in common.by_ids(frame, "doc_id", ids, "left_anti").collect()) == ["a", "d"]
+
+
+def test_more_signs_than_two_bytes_hold(spark, monkeypatch):
+    assert embed_dedup.shape(1_000, 0.98) == (16, 24) and embed_dedup.shape(1 << 24, 0.98)[0] == 24
+    monkeypatch.setattr(embed_dedup, "LEAST_BITS", 21)
+    rows = vectors(seed=3)
+    x = np.array([r[1] for r in rows])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    labels = np.array([r[2] for r in rows])
+    near = ((x @ x.T) >= 0.98) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    got = {r.vec_key: r for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(got[i].n_links == near[i].sum() for i in range(len(rows)))
+
+
+def test_links_at_the_threshold_itself(spark):
+    """Cosines of exactly 0.6 and beside it, and repeated ids with other vectors, which share their id's links."""
+    rows = [(0, [3.0, 4.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, -1e-9], 1), (3, [0.0, 1.0], 2), (3, [0.0, -1.0], 2), (4, [0.0, 2.0], 2)]
+    got = [(r.vec_key, r.n_links, r.component_id) for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), least=0.6).collect()]
+    links = {k: n for k, n, _ in got}
+    assert links[1] == 2 and links[0] == 1 and links[2] == 1 and links[4] == 1
+    assert {c for k, _, c in got if k in (3, 4)} == {3} and {c for k, _, c in got if k < 3} == {0}

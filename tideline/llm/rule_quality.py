@@ -91,7 +91,7 @@ def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, see
     labels = labels.where("label in (0, 1) and doc_key is not null")
     share = min(1.0, sample_rows / max(1, labels.count()))
     drawn = labels.where(F.pmod(F.xxhash64("doc_key"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = common.stored(stats.join(drawn, "doc_key").select(F.col("label").cast("double").alias("label"), *STATISTICS))
+    rows = common.stored(common.by_ids(stats, "doc_key", drawn.select("doc_key", "label"), "inner").select(F.col("label").cast("double").alias("label"), *STATISTICS))
     seen = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(seen) < 2:
         return (0.0 if not seen else 4.0 if 1.0 in seen else -4.0), []
