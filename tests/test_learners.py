@@ -70,9 +70,9 @@ def plain_boost(rows, edges, loss, rounds, depth, rate, l2, least):
 @pytest.mark.parametrize("loss", ["squared", "qlike", "gamma"])
 def test_boosting_against_plain_loops(spark, sample, loss):
     rows, df = sample
-    model = learners.boost(df, ["x", "z"], "y", loss, held_out="held", rounds=6, depth=2, bins=8, rate=0.3, least=20, patience=6, keep=2)
-    trees, history = plain_boost(rows, [e.tolist() for e in model.edges], loss, 6, 2, 0.3, 1.0, 20)
-    assert np.allclose(model.history, history[: len(model.history)], rtol=1e-9) and len(model.history) == 6
+    model = learners.boost(df, ["x", "z"], "y", loss, held_out="held", rounds=4, depth=2, bins=8, rate=0.3, least=20, patience=6, keep=2)
+    trees, history = plain_boost(rows, [e.tolist() for e in model.edges], loss, 4, 2, 0.3, 1.0, 20)
+    assert np.allclose(model.history, history[: len(model.history)], rtol=1e-9) and len(model.history) == 4
     assert len(model.trees) == int(np.argmin(history)) + 1
     for got, want in zip(model.trees, trees, strict=False):
         assert got.keys() == want.keys()
@@ -92,8 +92,8 @@ def test_boosting_against_plain_loops(spark, sample, loss):
 
 def test_boosting_stops_and_takes_odd_tables(spark, sample):
     _, df = sample
-    model = learners.boost(df, ["x", "z"], "y", "qlike", held_out="held", rounds=40, patience=2, rate=0.9)
-    assert len(model.history) < 40 and model.history[len(model.trees) - 1] == min(model.history)
+    model = learners.boost(df, ["x", "z"], "y", "qlike", held_out="held", rounds=20, patience=1, rate=1.5)
+    assert len(model.history) < 20 and model.history[len(model.trees) - 1] == min(model.history)
     flat = learners.boost(df.limit(3), ["x", "z"], "y", "qlike", rounds=3)
     assert flat.trees == []
     assert learners.boost(df.where("x = -1"), ["x"], "y", "squared", rounds=2).trees == []
@@ -128,7 +128,7 @@ def test_consensus_reaches_the_quantiles(spark):
     x = np.column_stack([rnd.normal(5, 2, 1_200), rnd.random(1_200)])
     y = 3 + 2 * x[:, 0] - 4 * x[:, 1] + (1 + x[:, 1]) * rnd.standard_t(3, 1_200)
     df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, y double").repartition(3)
-    found = learners.pinball(df, ["a", "b"], "y", [0.1, 0.5, 0.9], size=150, tolerance=2e-4)
+    found = learners.pinball(df, ["a", "b"], "y", [0.1, 0.5, 0.9], size=300, tolerance=1e-3)
     design = np.column_stack([np.ones(len(x)), x])
     for c in found:
         assert c.converged, c

@@ -172,7 +172,7 @@ def conditional_wald(rows: DataFrame, difference: str, conditioner: str) -> Data
     e = F.pow(d - F.col("_a") - F.col("_b") * h, 2)
     s = rows.crossJoin(F.broadcast(line)).agg(F.count("*").alias("sessions"), F.sum(d).alias("s0"), F.sum(d * h).alias("s1"), F.sum(e).alias("m0"), F.sum(e * h).alias("m1"), F.sum(e * h * h).alias("m2"))
     s0, s1, m0, m1, m2 = (F.col(c) for c in ("s0", "s1", "m0", "m1", "m2"))
-    wald = (s0 * s0 * m2 - 2 * s0 * s1 * m1 + s1 * s1 * m0) / (m0 * m2 - m1 * m1)
+    wald = F.try_divide(s0 * s0 * m2 - 2 * s0 * s1 * m1 + s1 * s1 * m0, m0 * m2 - m1 * m1)
     return s.select(wald.alias("wald"), F.exp(-wald / 2).alias("p"), "sessions")
 
 

@@ -317,13 +317,13 @@ class Consensus(NamedTuple):
     converged: bool
 
 
-def pinball(rows: DataFrame, features: list[str], target: str, quantiles: list[float], l2: float = 0.0, rho: float = 1.0, tolerance: float = 1e-3, rounds: int = 200, size: int = BLOCK, broadcast_blocks: int = 100_000) -> list[Consensus]:
+def pinball(rows: DataFrame, features: list[str], target: str, quantiles: list[float], l2: float = 0.0, rho: float | None = None, tolerance: float = 1e-3, rounds: int = 200, size: int = BLOCK, broadcast_blocks: int = 100_000) -> list[Consensus]:
     """Linear quantile regressions, all levels in the same rounds: summed pinball loss plus ``l2`` times the squared slopes.
 
     In a round each block finds the coefficients that suit it best near the common ones; their mean, and that of the
     blocks' multipliers, give the next common ones. It stops for a level when the blocks agree, and the common ones rest,
-    within ``tolerance`` of their size, and says when it has not. ``rho`` follows the balance of the two. Features are
-    scaled by their own mean and deviation first, and weights given back in their own units, the intercept first."""
+    within ``tolerance`` of their size, and says when it has not. ``rho`` follows the balance of the two. It starts at half the rows of
+    a block. Features are scaled by their own mean and deviation first, and weights given back in their own units, the intercept first."""
     d = len(features) + 1
     blocks = blocked(rows, [*features, target], size)
     k = len(features)
@@ -335,7 +335,8 @@ def pinball(rows: DataFrame, features: list[str], target: str, quantiles: list[f
     count = blocks.count()
     levels = np.array(quantiles)
     common = np.zeros((len(levels), d))
-    weight = np.full(len(levels), rho)
+    weight = np.full(len(levels), rho or 0.5 * n / max(1, count))
+    rescale = np.ones(len(levels))
     spark = rows.sparkSession
     ddl = "block long, b array<double>, u array<double>"
     state = spark.createDataFrame([], ddl)
@@ -346,17 +347,17 @@ def pinball(rows: DataFrame, features: list[str], target: str, quantiles: list[f
         held = F.broadcast(state) if count <= broadcast_blocks else state
         met = blocks.join(held.withColumnRenamed("block", "of"), F.col("block") == F.col("of"), "left").select("block", "n", "data", "b", "u")
 
-        def step(batches: Iterable[pa.RecordBatch], common=common.copy(), weight=weight.copy(), closed=tuple(done)) -> Iterator[pa.RecordBatch]:
+        def step(batches: Iterable[pa.RecordBatch], common=common.copy(), weight=weight.copy(), rescale=rescale.copy(), closed=tuple(done)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 olds = zip(batch.column("b").to_pylist(), batch.column("u").to_pylist(), strict=True)
                 for (block, m), (b, u) in zip(_matrices(batch, k + 1), olds, strict=True):
                     x = np.column_stack([np.ones(len(m)), (m[:, :k] - mean[:k]) / scale[:k]])
                     y = (m[:, k] - mean[k]) / scale[k]
                     b = np.zeros_like(common) if b is None else np.array(b).reshape(common.shape)
-                    u = np.zeros_like(common) if u is None else np.array(u).reshape(common.shape) + b - common
+                    u = np.zeros_like(common) if u is None else (np.array(u).reshape(common.shape) + b - common) * rescale[:, None]
                     for i, q in enumerate(levels):
                         if i not in closed:
-                            b[i] = pinball_near(x, y, q, common[i] - u[i], weight[i])
+                            b[i] = pinball_near(x, y, q, common[i] - u[i], weight[i], rounds=100)
                     yield pa.record_batch([[block], [b.ravel().tolist()], [u.ravel().tolist()]], schema=pa.schema([("block", pa.int64()), ("b", pa.list_(pa.float64())), ("u", pa.list_(pa.float64()))]))
 
         state = files.stored(met.mapInArrow(step, ddl), "consensus")
@@ -378,6 +379,8 @@ def pinball(rows: DataFrame, features: list[str], target: str, quantiles: list[f
                 done[i] = Consensus(quantiles[i], common[i].copy(), turn, float(primal[i]), float(dual[i]), True)
             if i in done:
                 common[i] = done[i].weights
+        rescale = np.where(primal > 5 * dual, 0.5, np.where(dual > 5 * primal, 2.0, 1.0))
+        weight = weight / rescale
     out = []
     for i, q in enumerate(quantiles):
         c = done.get(i) or Consensus(q, common[i], min(rounds, turn) if count else 0, float(primal[i]) if count else 0.0, float(dual[i]) if count else 0.0, False)

@@ -190,10 +190,10 @@ def trend(rows: DataFrame, key: str, order: str, value: str, draws: int, ahead:
     of = W.partitionBy(key)
     placed = rows.withColumns({"_i": F.row_number().over(of.orderBy(order)) - 1, "_n": F.count("*").over(of), "_e": F.col(value) - F.avg(value).over(of)})
     placed = placed.withColumn("_x", F.col("_i") - (F.col("_n") - 1) / 2)
-    line = placed.groupBy(key).agg(F.avg(value).alias("_level"), (F.sum(F.col("_x") * F.col(value)) / F.sum(F.col("_x") * F.col("_x"))).alias("slope"), F.sum(F.col("_x") * F.col("_x")).alias("_xx"), F.max("_n").alias("_n"))
+    line = placed.groupBy(key).agg(F.avg(value).alias("_level"), F.try_divide(F.sum(F.col("_x") * F.col(value)), F.sum(F.col("_x") * F.col("_x"))).alias("slope"), F.sum(F.col("_x") * F.col("_x")).alias("_xx"), F.max("_n").alias("_n"))
     sign = F.when(resample.number("trend", F.col("draw"), F.col("_i")) % 2 == 0, 1.0).otherwise(-1.0)
     drawn = placed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).groupBy(key, "draw").agg(F.abs(F.sum(sign * F.col("_e") * F.col("_x"))).alias("_s"))
-    p = drawn.join(line, key).groupBy(key).agg(((F.count_if(F.col("_s") / F.col("_xx") >= F.abs("slope")) + 1) / F.lit(draws + 1.0)).alias("p"))
+    p = drawn.join(line, key).groupBy(key).agg(((F.count_if(F.try_divide("_s", "_xx") >= F.abs("slope")) + 1) / F.lit(draws + 1.0)).alias("p"))
     steps = line.join(p, key).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(ahead))))
     at = F.col("_n") - 1 + F.col("step") - (F.col("_n") - 1) / 2
     return steps.select(key, "slope", "p", "step", (F.col("_level") + F.col("slope") * at).alias("forecast"))
@@ -217,16 +217,15 @@ def garch_fit(rows: DataFrame, key: str, segment: str, order: str, value: str, c
     def pairs_of(name, grid):
         return grid.get(name, grid.get(None))
 
-    for _ in range(closer):
-
-        def reduced(pdf: pd.DataFrame, *, grid=grid) -> pd.DataFrame:
+    def passes(grid: dict):
+        def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
             a, b = pairs_of(pdf[key].iloc[0], grid).T
             level, total = pdf["_level"].iloc[0], np.zeros(len(a))
             for x in pdf.sort_values(order)["_x"].to_numpy():
                 total = b * total + level * (1 - a - b) + a * x
             return pd.DataFrame({key: [pdf[key].iloc[0]], segment: [pdf[segment].iloc[0]], "_f": [(b ** len(pdf)).tolist()], "_t": [total.tolist()], "_level": [level]})
 
-        def carried(pdf: pd.DataFrame, *, grid=grid) -> pd.DataFrame:
+        def carried(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(segment)
             state, out = np.full(len(pairs_of(pdf[key].iloc[0], grid)), pdf["_level"].iloc[0]), []
             for f, t in zip(pdf["_f"], pdf["_t"], strict=True):
@@ -234,7 +233,7 @@ def garch_fit(rows: DataFrame, key: str, segment: str, order: str, value: str, c
                 state = np.asarray(f) * state + np.asarray(t)
             return pdf[[key, segment]].assign(_start=out)
 
-        def judged(pdf: pd.DataFrame, *, grid=grid) -> pd.DataFrame:
+        def judged(pdf: pd.DataFrame) -> pd.DataFrame:
             a, b = pairs_of(pdf[key].iloc[0], grid).T
             level, h, cost = pdf["_level"].iloc[0], np.array(pdf["_start"].iloc[0]), np.zeros(len(a))
             for x in pdf.sort_values(order)["_x"].to_numpy():
@@ -242,6 +241,10 @@ def garch_fit(rows: DataFrame, key: str, segment: str, order: str, value: str, c
                 h = np.maximum(level * (1 - a - b) + a * x + b * h, 1e-12)
             return pd.DataFrame({key: pdf[key].iloc[0], "at": np.arange(len(a)), "cost": np.where((a >= 0) & (b >= 0) & (a + b < 0.999), cost, np.inf)})
 
+        return reduced, carried, judged
+
+    for _ in range(closer):
+        reduced, carried, judged = passes(grid)
         parts = squares.groupBy(key, segment).applyInPandas(reduced, f"{head}, `{segment}` {kinds[segment]}, _f array<double>, _t array<double>, _level double")
         starts = parts.groupBy(key).applyInPandas(carried, f"{head}, `{segment}` {kinds[segment]}, _start array<double>")
         costs = squares.join(starts, [key, segment]).groupBy(key, segment).applyInPandas(judged, f"{head}, at int, cost double").groupBy(key, "at").agg(F.sum("cost").alias("cost"))

@@ -105,10 +105,10 @@ def wild(spark: SparkSession, series: DataFrame, value: str, kind: str, draws: i
     """One row: ``p`` of a zero mean, from the t statistics of the centred series under random weights. Fewer than three sessions,
     or one value in all of them, give 1."""
     whole = series.agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s"))
-    seen = whole.select("n", "s", F.abs(F.col("m") / F.col("s") * F.sqrt("n")).alias("t"))
+    seen = whole.select("n", "s", F.abs(F.try_divide("m", "s") * F.sqrt("n")).alias("t"))
     centred = series.select("i", (F.col(value) - F.avg(value).over(W.partitionBy(F.lit(0)))).alias("e"))  # a row a session
     drawn = draws_of(spark, draws).crossJoin(F.broadcast(centred)).withColumn("x", weight(kind, number(seed, F.col("draw"), F.col("i"))) * F.col("e"))
-    stats = drawn.groupBy("draw").agg((F.abs(F.avg("x")) / F.stddev_samp("x") * F.sqrt(F.count("x"))).alias("t_drawn"))
+    stats = drawn.groupBy("draw").agg((F.try_divide(F.abs(F.avg("x")), F.stddev_samp("x")) * F.sqrt(F.count("x"))).alias("t_drawn"))
     hits = stats.crossJoin(F.broadcast(seen)).agg(F.count_if(F.col("t_drawn") >= F.col("t")).alias("hits"), F.max("n").alias("n"), F.max("s").alias("s"))
     return hits.select(F.when((F.col("n") < 3) | (F.col("s") == 0), 1.0).otherwise((F.col("hits") + 1) / F.lit(draws + 1.0)).alias("p"))
 
@@ -124,8 +124,8 @@ def superior(means: DataFrame, drawn: DataFrame, n: int, draws: int) -> DataFram
 
     bound = sqrt(2 * log(log(max(n, 3))))
     about = about.withColumn("centre", F.when(F.col("mean") >= -bound * F.col("s"), F.col("mean")).otherwise(0.0))
-    best = about.agg(F.max_by("model", F.struct("mean", "model")).alias("best"), F.max("mean").alias("gain"), F.greatest(F.max(F.col("mean") / F.col("s")), F.lit(0.0)).alias("t"))
-    tops = drawn.join(F.broadcast(about), "model").groupBy("draw").agg(F.greatest(F.max((F.col("x") - F.col("centre")) / F.col("s")), F.lit(0.0)).alias("student"), F.max(F.col("x") - F.col("mean")).alias("plain"))
+    best = about.agg(F.max_by("model", F.struct("mean", "model")).alias("best"), F.max("mean").alias("gain"), F.greatest(F.max(F.try_divide("mean", "s")), F.lit(0.0)).alias("t"))
+    tops = drawn.join(F.broadcast(about), "model").groupBy("draw").agg(F.greatest(F.max(F.try_divide(F.col("x") - F.col("centre"), "s")), F.lit(0.0)).alias("student"), F.max(F.col("x") - F.col("mean")).alias("plain"))
     met = tops.crossJoin(F.broadcast(best)).groupBy("best", "gain").agg(F.count_if(F.col("student") >= F.col("t")).alias("a"), F.count_if(F.col("plain") >= F.col("gain")).alias("b"))
     share = lambda c: (F.col(c) + 1) / F.lit(draws + 1.0)
     return met.select("best", "gain", share("a").alias("spa_p"), share("b").alias("reality_p"))
