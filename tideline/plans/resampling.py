@@ -11,7 +11,7 @@ from statistics import NormalDist
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import normal_cdf, normal_cdf_sql
+from ..functions.numeric import normal_cdf, normal_cdf_sql, normal_density
 from ..operators import evaluate, models
 from ..operators import resample as rs
 from ..sources import files
@@ -221,7 +221,7 @@ def fixed_sequence(spark, sf):
 _SIZES = (30, 60, 120)
 #: What the best of four trials leads by through luck, in standard errors, at most.
 _LUCK = sqrt(2 * log(4))
-_ERRORS = {"a": normal_cdf_sql("t - 1.959963984540054"), "b": normal_cdf_sql("-1.959963984540054 - t")}
+_ERRORS = {"a": normal_cdf_sql("t - 1.959963984540054"), "b": normal_cdf_sql("-1.959963984540054 - t"), "m": "(exp(-((t - 1.959963984540054) ** 2) / 2) + exp(-((t + 1.959963984540054) ** 2) / 2)) / 2.5066282746310002"}
 
 
 def _power_sql(size: int) -> str:
@@ -230,20 +230,22 @@ def _power_sql(size: int) -> str:
 
 
 @query("power_study", f"""WITH {_SERIES}, w AS (SELECT avg(d) AS mean, stddev_samp(d) / sqrt(count(*)) AS se FROM x), fx AS (SELECT mean, se, abs(mean) / se AS t, sign(mean) * greatest(abs(mean) - {_LUCK} * se, 0.0) AS effect FROM w),
-  c AS (SELECT i, d - mean AS e, mean AS effect FROM x, fx), g AS ({' UNION ALL '.join(_power_sql(k) for k in _SIZES)}), q AS (SELECT effect, t, {_ERRORS['a']} AS right_sign, {_ERRORS['b']} AS wrong FROM fx)
-  SELECT sessions::INTEGER AS sessions, {s6('power')} AS power, {s6('size')} AS size, {s6('effect')} AS effect, {s6('right_sign + wrong')} AS power_now, {s6('wrong / (right_sign + wrong)')} AS wrong_sign FROM g, q""")
+  c AS (SELECT i, d - mean AS e, mean AS effect FROM x, fx), g AS ({' UNION ALL '.join(_power_sql(k) for k in _SIZES)}), q AS (SELECT effect, t, {_ERRORS['a']} AS right_sign, {_ERRORS['b']} AS wrong, {_ERRORS['m']} AS bump FROM fx)
+  SELECT sessions::INTEGER AS sessions, {s6('power')} AS power, {s6('size')} AS size, {s6('effect')} AS effect, {s6('right_sign + wrong')} AS power_now, {s6('wrong / (right_sign + wrong)')} AS wrong_sign, {s6('(right_sign - wrong + bump / t) / (right_sign + wrong)')} AS exaggeration FROM g, q""")
 def power_study(spark, sf):
     """Power by the number of sessions, drawn in blocks from the centred series with its own mean for the effect; the effect less what
-    the best of four trials leads by through luck; power now, and the chance that a significant estimate has the wrong sign."""
+    the best of four trials leads by through luck; power now, the chance that a significant estimate has the wrong sign, and by how much one
+    exaggerates on average."""
     x, n = series(spark, sf)
     se = F.stddev_samp("difference") / F.sqrt(F.count("difference"))
     whole = x.agg(F.avg("difference").alias("effect"), se.alias("se"))
     centred = x.crossJoin(F.broadcast(whole)).select("i", (F.col("difference") - F.col("effect")).alias("e"), "effect")
     t = F.abs("effect") / F.col("se")
     right, wrong = normal_cdf(t - 1.959963984540054), normal_cdf(-1.959963984540054 - t)
-    errors = whole.select((F.signum("effect") * F.greatest(F.abs("effect") - _LUCK * F.col("se"), F.lit(0.0))).alias("shrunk"), (right + wrong).alias("power_now"), (wrong / (right + wrong)).alias("wrong_sign"))
+    bump = normal_density(t - 1.959963984540054) + normal_density(t + 1.959963984540054)
+    errors = whole.select((F.signum("effect") * F.greatest(F.abs("effect") - _LUCK * F.col("se"), F.lit(0.0))).alias("shrunk"), (right + wrong).alias("power_now"), (wrong / (right + wrong)).alias("wrong_sign"), ((right - wrong + F.try_divide(bump, t)) / (right + wrong)).alias("exaggeration"))
     found = rs.power(spark, files.stored(centred), "effect", n, list(_SIZES), DRAWS, BLOCK, "power").crossJoin(F.broadcast(errors))
-    return found.select("sessions", r6("power").alias("power"), r6("size").alias("size"), r6("shrunk").alias("effect"), r6("power_now").alias("power_now"), r6("wrong_sign").alias("wrong_sign"))
+    return found.select("sessions", r6("power").alias("power"), r6("size").alias("size"), r6("shrunk").alias("effect"), r6("power_now").alias("power_now"), r6("wrong_sign").alias("wrong_sign"), r6("exaggeration").alias("exaggeration"))
 
 
 @query("effect_posterior", f"""WITH {_SERIES}, w AS (SELECT avg(d) AS m, var_samp(d) / count(*) AS v FROM x), p AS (SELECT m * 0.25 / (0.25 + v) AS mean, sqrt(0.25 * v / (0.25 + v)) AS se FROM w) SELECT {s6('mean')} AS mean, {s6('se')} AS se, {s6(normal_cdf_sql('mean / se'))} AS positive FROM p""")
