@@ -263,3 +263,12 @@ def test_links_at_the_threshold_itself(spark):
     links = {k: n for k, n, _ in got}
     assert links[1] == 2 and links[0] == 1 and links[2] == 1 and links[4] == 1
     assert {c for k, _, c in got if k in (3, 4)} == {3} and {c for k, _, c in got if k < 3} == {0}
+
+
+def test_a_head_that_many_choose_is_met_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(hyperminhash, "HEAD", 3)
+    text = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(text[:k] + [f"own{i}"] + text[k:])) for i, k in enumerate(range(0, 200, 5))]
+    docs += [(100 + i, " ".join(f"o{i}-{j}" for j in range(30))) for i in range(5)]
+    got = {r.doc_key: r for r in hyperminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=5, percent=80).collect()}
+    assert {got[i].component_id for i in range(40)} == {0} and all(got[100 + i].component_id == 100 + i for i in range(5))

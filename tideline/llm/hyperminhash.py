@@ -30,6 +30,8 @@ _EMPTY = 0xFFFF
 ERRORS = 4.0
 #: Members of a bucket that one block holds, and about how many shingles, whose texts meet in one task.
 BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+#: Classes that one copy of their head's sketch and text meets.
+HEAD = 4_096
 #: Rows and shingles of small buckets, on average, that one task takes together; pairs that it looks at together.
 SHELF, SHELF_SHINGLES, _PAIRS = 1_000, 500_000, 20_000
 _LONGS = ("row_file", "row_at", "doc_key", "n_shingles", "set_a", "set_b")
@@ -273,14 +275,26 @@ def _grouped(docs: DataFrame, words: int, percent: int, id_column: str, text_col
     named = common.by_ids(texts, ["row_file", "row_at"], steps(met.select("row_file", "row_at", "doc")), "inner")
     zipped = steps(named.select("doc", "text").mapInArrow(_zipped, "doc long, zipped binary"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        zx, zy = zipped.toDF("x", "zx"), zipped.toDF("y", "zy")
-        return steps(pairs.join(zx, "x").join(zy, "y").mapInArrow(_confirmed(words, percent), "x long, y long"))
-
     first = shared.where("head <> doc").groupBy(F.col("doc").alias("y"), F.col("head").alias("x")).count()
-    first = first.groupBy("y").agg(F.max_by("x", F.struct("count", -F.col("x"))).alias("x"))
-    first = first.join(sized.toDF("x", "nx", "rx"), "x").join(sized.toDF("y", "ny", "ry"), "y")
-    links = confirmed(first.mapInArrow(_chosen(least), "x long, y long"))
+    first = steps(first.groupBy("y").agg(F.max_by("x", F.struct("count", -F.col("x"))).alias("x")))
+    # a head that many classes choose meets them in parts, to each of which its sketch and text go once
+    hot = steps(first.groupBy("x").count().where(F.col("count") > HEAD).select(F.col("x").alias("of"), F.ceil(F.col("count") / F.lit(HEAD)).cast("int").alias("parts")))
+    few = hot.count() <= common.BROADCAST_IDS
+
+    def parted(frame: DataFrame, part) -> DataFrame:
+        met = frame.join(F.broadcast(hot) if few else hot, F.col("x") == F.col("of"), "left")
+        return met.withColumn("part", part(F.coalesce("parts", F.lit(1)))).drop("of", "parts")
+
+    def dealt(pairs: DataFrame) -> DataFrame:
+        return parted(pairs, lambda n: F.pmod(F.xxhash64("y"), n).cast("int"))
+
+    def every(heads: DataFrame) -> DataFrame:
+        return parted(heads, lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
+
+    chosen = dealt(first).join(every(sized.toDF("x", "nx", "rx")), ["x", "part"]).drop("part").join(sized.toDF("y", "ny", "ry"), "y")
+    chosen = steps(chosen.mapInArrow(_chosen(least), "x long, y long"))
+    pairs = dealt(chosen).join(every(zipped.toDF("x", "zx")), ["x", "part"]).drop("part").join(zipped.toDF("y", "zy"), "y")
+    links = steps(pairs.mapInArrow(_confirmed(words, percent), "x long, y long"))
     found = components.components(links)
 
     placed = shared.select("band", "doc").distinct().join(found, F.col("doc") == F.col("node"), "left")
