@@ -1,12 +1,10 @@
 """Forecast losses, calibration, and tests over session series.
 
-Losses and series are Spark aggregations; what reaches the driver is one number per session at most (a session
-series has a few hundred rows), for the resampling tests.
+Losses and series are Spark aggregations; nothing is collected.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F

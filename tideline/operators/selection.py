@@ -14,12 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def session_matrix(losses: DataFrame, session: str, model: str, loss: str, models: list[str]) -> np.ndarray:
-    """Mean loss per session (rows, in order) and model (columns); sessions that lack a model are left out."""
-    wide = losses.groupBy(session).pivot(model, models).agg(F.avg(loss)).na.drop(subset=models).orderBy(session)
-    return np.array([[r[m] for m in models] for r in wide.collect()], float)
-
-
 def condition_number(gram: np.ndarray) -> float:
     """Of the standardised design, from its Gram matrix."""
     d = np.sqrt(np.diag(gram))

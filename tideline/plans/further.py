@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, joins, models, normalize, options, quantiles, selection, windows
+from ..operators import joins, models, normalize, options, quantiles, selection, windows
 from ..sources.tables import table, tape
-from .evaluation import _LOSS, _PAIRED, forecasts, losses, paired
+from .evaluation import _LOSS, _PAIRED, forecasts, paired
 from .registry import BARS, GRID, TAPE, query, r6, s6
-from .windowed import KEYS, bars, over, returns
+from .windowed import KEYS, bars, returns
 
 HOUR = 3_600_000_000
 _TRAIN = "session_date < DATE '2024-01-19'"

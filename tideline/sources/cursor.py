@@ -45,7 +45,7 @@ class CursorReader(DataSourceStreamReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.schema = schema
         self.path = options["path"].rstrip("/")
-        #: Pages of one asset that one task reads, and those beyond the last offset that one poll takes.
+        #: Pages of one asset that one task reads.
         self.pages_per_task = int(options.get("pagesPerTask", 16))
         self.clock = options.get("clock")
         self.low, self.high = (int(options[k]) if k in options else None for k in ("from", "until"))
