@@ -1,8 +1,4 @@
-"""The matrix of session losses that models are chosen by, and strategy economics.
-
-The matrix has one row per session and one column per model, so it is small whatever the size of the forecasts;
-the aggregation that makes it is the Spark job (``session_matrix``).
-"""
+"""Condition of a design, and strategy economics."""
 
 from __future__ import annotations
 
