@@ -100,6 +100,16 @@ def test_realized_measures_by_hand(spark):
     assert got[3].rv is None and got[2].rv is not None
 
 
+def test_prices_of_zero_have_infinite_logs(spark):
+    data = [("a", 0, 2.0, 2.0, 1.0), ("a", 1, 0.0, 3.0, 0.0), ("a", 2, 0.0, 0.0, 0.0), ("a", 3, 2.0, 2.0, 1.0), ("a", 4, 4.0, 4.0, 4.0)]
+    g = grid.with_returns(spark.createDataFrame(data, "k string, bar int, close double, high double, low double"), ["k"], "bar")
+    range_ = realized.parkinson(F.col("high"), F.col("low"), W.partitionBy("k").orderBy("bar"), 1)
+    got = g.select("r", range_.alias("p")).orderBy("bar").collect()
+    inf = math.inf
+    assert [r.r if r.r is None or r.r == r.r else "nan" for r in got] == [None, -inf, "nan", inf, math.log(2)]
+    assert [r.p if r.p == r.p else "nan" for r in got[1:]] == [inf, "nan", got[0].p, 0.0] and math.isclose(got[0].p, math.log(2) / 4)
+
+
 def test_robust_prior_is_strictly_prior(spark):
     days = [dt.date(2024, 1, 1) + dt.timedelta(d) for d in range(30)]
     values = [float((7 * d) % 11) for d in range(30)]

@@ -46,6 +46,13 @@ def log_positive(x: Column) -> Column:
     return F.when(x > 0, F.log(x))
 
 
+def log_quotient(a: Column, b: Column) -> Column:
+    """ln(a / b) as doubles have it: infinite where one of the two is zero, NaN where both are or the signs differ."""
+    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
+    quotient = F.when(b != 0, a / b).when(b == 0, a * inf)
+    return F.when(quotient > 0, F.log(quotient)).when(quotient == 0, -inf).when(quotient < 0, nan)
+
+
 def signed_log(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
 

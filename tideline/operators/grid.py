@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numeric import log_quotient
 from . import windows
 
 
@@ -30,7 +31,7 @@ def filled(grid: DataFrame, keys: list[str], slot: str) -> DataFrame:
 
 def with_returns(grid: DataFrame, keys: list[str], slot: str) -> DataFrame:
     over = W.partitionBy(*keys).orderBy(slot)
-    return grid.withColumn("r", F.log(F.col("close") / F.lag("close").over(over)))
+    return grid.withColumn("r", log_quotient(F.col("close"), F.lag("close").over(over)))
 
 
 def origins(sessions: DataFrame, slot: str, first: Column | int, last: Column | int, step: int = 1) -> DataFrame:

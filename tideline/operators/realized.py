@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numeric import log_quotient
 from . import windows
 
 
@@ -33,7 +34,7 @@ def backward(value: Column, keys: list[str], slot: str, length: int) -> Column:
 
 def parkinson(high: Column, low: Column, over: W, length: int) -> Column:
     """Range variance over the ``length`` bars that end at the row."""
-    ratio = F.log(high / low)
+    ratio = log_quotient(high, low)
     return windows.gap_aware_sum(ratio * ratio, over, -length + 1, 0) / F.lit(4 * log(2) * length)
 
 

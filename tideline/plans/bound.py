@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import any_of, nan_to_null, transformed
+from ..functions.numeric import any_of, log_quotient, nan_to_null, transformed
 from ..operators import joins, models
 from ..sources import files
 from ..sources.tables import tape
@@ -90,7 +90,7 @@ def pilot_trace(spark, sf):
     w = W.partitionBy(*KEYS).orderBy("bar")
     c = bars(spark, sf).select(*KEYS, "bar", "close", F.lead("close", 1).over(w).alias("c1"), F.lead("close", 2).over(w).alias("c2"), F.lead("bar", 2).over(w).alias("last"))
     events = tape(spark, sf).groupBy(*KEYS, F.hour("executed_at").alias("bar")).agg(F.max((F.col("premium") > 100).cast("int")).alias("event"))
-    square = lambda a, b: F.pow(F.log(F.col(b) / F.col(a)), 2)
+    square = lambda a, b: F.pow(log_quotient(F.col(b), F.col(a)), 2)
     o = c.join(events, [*KEYS, "bar"], "left").withColumn("reason", F.when(F.col("last").isNull(), "end_of_session").when(F.col("last") != F.col("bar") + 2, "gap"))
     o = o.withColumn("rv", F.when(F.col("reason").isNull(), square("close", "c1") + square("c1", "c2")))
     a = o.groupBy("asset").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import log_quotient
 from ..operators import asof, grid, quantiles, windows
 from ..operators.joins import checked_join, exact_lag, join_new_columns
 from ..sources.tables import table, tape
@@ -98,7 +99,7 @@ def join_band_forward(spark, sf):
 @query("exact_lag_change", f"""WITH {BARS} SELECT a.asset, a.session_date, a.bar::INTEGER AS bar, {s6('ln(a.close / b.close)')} AS change FROM bars a LEFT JOIN bars b ON a.asset = b.asset AND a.session_date = b.session_date AND b.bar = a.bar - 2""", dates=["session_date"])
 def exact_lag_change(spark, sf):
     bars = grid.bars(tape(spark, sf).withColumn("bar", F.hour("executed_at")), ["asset", "session_date", "bar"], "premium", "executed_us").select("asset", "session_date", "bar", "close")
-    return exact_lag(bars, ["asset", "session_date"], "bar", 2, ["close"], "_then").select("asset", "session_date", "bar", r6(F.log(F.col("close") / F.col("close_then"))).alias("change"))
+    return exact_lag(bars, ["asset", "session_date"], "bar", 2, ["close"], "_then").select("asset", "session_date", "bar", r6(log_quotient(F.col("close"), F.col("close_then"))).alias("change"))
 
 
 @query("asof_latest_per_key", f"""WITH {TAPE}, p AS (SELECT seq, contract, executed_us FROM tape WHERE asset = 'purchase'), v AS (SELECT seq AS v_seq, contract, executed_us, premium FROM tape WHERE asset = 'view')

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import normal_cdf_sql
+from ..functions.numeric import log_quotient, normal_cdf_sql
 from ..operators import flow, grid, latency, options, realized, windows
 from ..sources.tables import tape, widened
 from ..sources.tables import table as read
@@ -156,7 +156,7 @@ def strict_window_features(spark, sf):
     g = g.withColumn("status", status)
     when = lambda x: F.when(F.col("status") == "OK", r6(x))
     return g.select(
-        *KEYS, "bar", "status", when(F.log(F.col("close") / F.col("start"))).alias("momentum"),
+        *KEYS, "bar", "status", when(log_quotient(F.col("close"), F.col("start"))).alias("momentum"),
         when(F.sum(F.col("r") * F.col("r")).over(inner)).alias("rv"), when(F.max("high").over(frame) - F.min("low").over(frame)).alias("span"),
     )
 
