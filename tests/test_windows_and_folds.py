@@ -162,3 +162,21 @@ def test_state_outlives_restarts_and_timers_let_go(spark, tmp_path):
     assert told == [("a", 50), ("b", 70), ("a", 40), ("c", 1), ("a", 45)]
     assert counts == [2, 2, 1, 1]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("HDFSBackedStateStoreProvider") or "Rocks" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+
+
+def test_first_receipts_are_held_by_buckets(spark, tmp_path):
+    source, rnd = str(tmp_path / "in"), random.Random(5)
+    schema = spark.createDataFrame([], "k long, a string, received_us long, seq long, at timestamp").schema
+    rows = [(rnd.choice([None, *range(2**60, 2**60 + 40)]), rnd.choice([None, "x", "y"]), rnd.randrange(50), seq, "2024-01-01") for seq in range(600)]
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], "k long, a string, received_us long, seq long, at string").withColumn("at", F.to_timestamp("at")).write.mode("append").parquet(source)
+        frame = stateful.first_receipts(live.source(spark, source, schema), ["k", "a"], "at", "1 day", 10 * 86_400_000, buckets=2)
+        query = stateful.run_updates(frame, str(tmp_path / "out"), str(tmp_path / "progress"))
+    want = {}
+    for k, a, received, seq, _ in rows:
+        want[k, a] = min(want.get((k, a), (received, seq)), (received, seq))
+    got = stateful.latest(spark, str(tmp_path / "out"), frame, ["k", "a"]).collect()
+    assert len(got) == len(want) and {(r.k, r.a): (r.received_us, r.seq) for r in got} == want
+    # each bucket has one value and one timer, which is kept under two orders
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert state and max(state) <= 3 * 2

@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -20,6 +21,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Buckets of keys that hold first receipts.
+BUCKETS = 1_024
+
 
 @contextmanager
 def rocks_state(spark: SparkSession) -> Iterator[None]:
@@ -35,36 +39,72 @@ def rocks_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_PROVIDER, before)
 
 
-class FirstReceipt(StatefulProcessor):
-    """The earliest (receipt, sequence) of each key; a key is given out whenever that falls, and forgotten once the watermark
-    is ``hold_ms`` beyond the latest row of the batch that saw it last."""
+class FirstReceipts(StatefulProcessor):
+    """The earliest (receipt, sequence) of each key in a bucket of keys; a key is given out whenever that falls, and forgotten
+    once the watermark is ``hold_ms`` beyond the latest row of the batch that saw it last. A bucket has one value in
+    state, an Arrow table with a row a key, and one timer, that of the key to be forgotten first."""
 
-    def __init__(self, keys: list[str], clock: str, hold_ms: int):
+    def __init__(self, keys: list[str], hold_ms: int):
         self.keys = keys
-        self.clock = clock
         self.hold_ms = hold_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "received_us long, seq long")
+        self.held = handle.getValueState("held", "firsts binary, timer_ms long")
+
+    def _firsts(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        """One row a key: its earliest receipt, and its latest time."""
+        groups = pd.concat(parts, ignore_index=True).sort_values(["received_us", "seq"]).groupby(self.keys, dropna=False, sort=False)
+        return groups.agg(received_us=("received_us", "first"), seq=("seq", "first"), until_ms=("until_ms", "max")).reset_index()
+
+    def _keep(self, firsts: pd.DataFrame, timer_ms: int | None) -> None:
+        """Put the bucket into state, and its timer where that changes."""
+        until = int(firsts["until_ms"].min()) if len(firsts) else None
+        if until != timer_ms:
+            if timer_ms is not None:
+                self.handle.deleteTimer(timer_ms)
+            if until is not None:
+                self.handle.registerTimer(until)
+        if until is None:
+            self.held.clear()
+            return
+        table, sink = pa.Table.from_pandas(firsts, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.held.update((sink.getvalue().to_pybytes(), until))
+
+    def _known(self) -> tuple[pd.DataFrame | None, int | None]:
+        if not self.held.exists():
+            return None, None
+        firsts, timer_ms = self.held.get()
+        return pa.ipc.open_stream(bytes(firsts)).read_pandas(), timer_ms
 
     def handleInputRows(self, key: Any, rows: Iterable[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = self.first.get() if self.first.exists() else None
-        best, latest_ms = held, 0
-        for part in rows:
-            latest_ms = max(latest_ms, int(part[self.clock].max().timestamp() * 1000))
-            low = part.sort_values(["received_us", "seq"]).iloc[0]
-            one = (int(low.received_us), int(low.seq))
-            best = one if best is None else min(tuple(best), one)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.handle.registerTimer(latest_ms + self.hold_ms)
-        if best is not None and (held is None or tuple(best) != tuple(held)):
-            self.first.update(tuple(best))
-            yield pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key, strict=True)}, "received_us": [best[0]], "seq": [best[1]]})
+        columns = [*self.keys, "received_us", "seq", "until_ms"]
+        fresh = self._firsts([self._firsts([part[columns]]) for part in rows])
+        fresh["until_ms"] += self.hold_ms
+        known, timer_ms = self._known()
+        if known is None:
+            changed = firsts = fresh
+        else:
+            met = fresh.merge(known, "left", self.keys, suffixes=("", "_known"), indicator="_in")
+            new = met["_in"] == "left_only"
+            earlier = new | (met["received_us"] < met["received_us_known"]) | ((met["received_us"] == met["received_us_known"]) & (met["seq"] < met["seq_known"]))
+            changed = met.loc[earlier, columns]
+            # what is seen again keeps the earlier receipt and takes the later batch's time
+            both = self._firsts([fresh, known]).drop(columns="until_ms")
+            again = pd.concat([fresh, known], ignore_index=True).drop_duplicates(self.keys)[[*self.keys, "until_ms"]]
+            firsts = both.merge(again, "left", self.keys)
+        self._keep(firsts, timer_ms)
+        if len(changed):
+            yield pd.DataFrame({c: changed[c].to_numpy(object) for c in columns[:-1]})  # plain objects: texts may lie in several chunks
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.first.clear()
+        known, timer_ms = self._known()
+        if known is not None:
+            past = max(expiredTimerInfo.getExpiryTimeInMs() + 1, timerValues.getCurrentWatermarkInMs())
+            fired = expiredTimerInfo.getExpiryTimeInMs() == timer_ms  # the engine takes it away itself
+            self._keep(known[known["until_ms"] >= past].reset_index(drop=True), None if fired else timer_ms)
         yield from ()
 
     def close(self) -> None:
@@ -97,12 +137,19 @@ class Histogram(StatefulProcessor):
         pass
 
 
-def first_receipts(stream: DataFrame, keys: list[str], clock: str, delay: str, hold_ms: int) -> DataFrame:
-    """``keys, received_us, seq``: changes of the first receipt of each key. The stream has these columns and ``clock``."""
+def first_receipts(stream: DataFrame, keys: list[str], clock: str, delay: str, hold_ms: int, buckets: int = BUCKETS) -> DataFrame:
+    """``keys, received_us, seq``: changes of the first receipt of each key. The stream has these columns and ``clock``;
+    rows without a receipt or a sequence are none.
+
+    State is held by hashed buckets of keys, whose number a checkpoint fixes: calls from Python to the state store grow
+    with the buckets, not with the keys. Keys pass Python as text, where numbers beside nulls would be rounded."""
     types = dict(stream.dtypes)
-    ddl = ", ".join(f"{k} {types[k]}" for k in keys) + ", received_us long, seq long"
-    grouped = stream.withWatermark(clock, delay).groupBy(*keys)
-    return grouped.transformWithStateInPandas(FirstReceipt(keys, clock, hold_ms), ddl, "Update", "EventTime")
+    ddl = ", ".join(f"{k} string" for k in keys) + ", received_us long, seq long"
+    known = stream.withWatermark(clock, delay).where("received_us is not null and seq is not null")
+    until, bucket = F.coalesce(F.unix_millis(clock), F.lit(0)).alias("until_ms"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket")
+    rows = known.select(*[F.col(k).cast("string").alias(k) for k in keys], "received_us", "seq", clock, until, bucket)
+    out = rows.groupBy("_bucket").transformWithStateInPandas(FirstReceipts(keys, hold_ms), ddl, "Update", "EventTime")
+    return out.select(*[F.col(k).cast(types[k]).alias(k) for k in keys], "received_us", "seq")
 
 
 def histograms(stream: DataFrame, keys: list[str]) -> DataFrame:
