@@ -354,3 +354,21 @@ def test_no_rank_sorts_a_key_in_one_task(spark, sf):
         plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         windows = [line for line in plan.splitlines() if "Window [" in line]
         assert windows and all("_part" in line or "sum(_n" in line for line in windows), name
+
+
+def test_grouping_sets_multiply_only_cells_of_wanted_ranks(spark):
+    from tideline.operators import quantiles
+
+    rnd = random.Random(6)
+    rows = [(g, f, rnd.choice([rnd.gauss(0, 1), math.inf, 0.5]), 1) for g in "ab" for f in "xy" for _ in range(2_000)] + [("a", "z", math.inf, 1)]
+    df = spark.createDataFrame(rows, "g string, _f string, _v double, _n long")
+    counts = df.groupBy("g", "_f", "_v").agg(F.sum("_n").alias("_n"))
+    few = quantiles._narrowed(counts, ["g"], [["g"], []], [0.1, 0.3], 64)
+    assert few.agg(F.sum("_n")).first()[0] == len(rows) and few.count() * 2 < counts.count()
+    got = quantiles.exact(df.where("_f = 'x'"), ["g"], "_v", [0.1, 0.3], sets=[["g"], []], small=10, shared=64).collect()
+    want = {(g, q): sorted(r[2] for r in rows if r[1] == "x" and g in (None, r[0])) for g in ("a", "b", None) for q in (0.1, 0.3)}
+    assert len(got) == 6
+    for r in got:
+        at = r.q * (len(want[r.g, r.q]) - 1)
+        low, high = want[r.g, r.q][int(at)], want[r.g, r.q][int(at) + 1]
+        assert math.isclose(r.quantile, low + (high - low) * (at - int(at)), abs_tol=1e-9)

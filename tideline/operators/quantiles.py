@@ -1,6 +1,7 @@
 """Exact quantiles of groups of any size, under grouping sets too: no task holds a group's values.
 
-The input is read once: equal values are counted, and these counts are stored. A group of few distinct values is ranked
+The input is read once: equal values are counted, and these counts are stored. Cells that all groups share are summed first,
+and a cell in which no group has a wanted rank stays one sum, so that grouping sets multiply little. A group of few counts is ranked
 as it is. A larger one is cut into cells at bounds that a mergeable sketch of its distinct values gives; cells are
 summed, and only those that hold a wanted rank are kept and cut again, until they are small.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,9 @@ from ..sources import files
 #: Distinct values that one task ranks, cells that a larger group is cut into, and nodes whose bounds are broadcast (some 10 MB).
 SMALL, CELLS, BROADCAST_NODES = 100_000, 64, 20_000
 
+#: Cells of each column that all groups share.
+SHARED_CELLS = 1_024
+
 
 def _met(left: DataFrame, right: DataFrame, names: list[str], few: bool) -> DataFrame:
     """``left`` with the other columns of ``right``, which has one row for each of ``names``; null is a name."""
@@ -58,7 +63,30 @@ def _cut(open_: DataFrame, node: list[str], qs: list[float], cells: int) -> Data
     return files.stored(kept.select(open_.columns))
 
 
-def exact(rows: DataFrame, group: list[str], value: str | dict[str, Column], qs: list[float], sets: list[list[str]] | None = None, cells: int = CELLS, small: int = SMALL) -> DataFrame:
+def _narrowed(counts: DataFrame, group: list[str], sets: list[list[str]], qs: list[float], cells: int) -> DataFrame:
+    """The counts of those cells, shared by all groups, that hold a wanted rank of any group of any grouping set, and the sums of
+    the other cells, each at its smallest value. Only the cells' bounds reach the driver."""
+    shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    cell = F.lit(None).cast("int")
+    placed = counts
+    for i, (f, bounds) in enumerate(counts.groupBy("_f").agg(F.percentile_approx("_v", shares, F.lit(10 * cells))).collect()):
+        splits = [float("-inf"), *(sorted({b for b in bounds if abs(b) != float("inf")}) or [0.0]), float("inf")]
+        placed = Bucketizer(splits=splits, inputCol="_v", outputCol=f"_cell{i}").transform(placed)
+        cell = F.when(F.col("_f") == f, F.col(f"_cell{i}").cast("int")).otherwise(cell)
+    placed = placed.withColumn("_cell", cell).select(*group, "_f", "_v", "_n", "_cell")
+    sums = files.stored(placed.groupBy(*group, "_f", "_cell").agg(F.min("_v").alias("_v"), F.sum("_n").alias("_n")))
+    wholes = [[*map(F.col, s), F.col("_f"), F.col("_cell")] for s in sets]
+    cubed = sums.groupingSets(wholes, *group, "_f", "_cell").agg(F.sum("_n").alias("_n"), F.grouping_id().alias("_set"))
+    of_group = W.partitionBy(*group, "_set", "_f")
+    start = F.sum("_n").over(of_group.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    ranked = cubed.withColumns({"_start": start, "_total": F.sum("_n").over(of_group)})
+    wanted = files.stored(ranked.where(F.exists(_targets(qs, F.col("_total")), lambda t: _inside(t, F.col("_start"), F.col("_n")))).select("_f", "_cell").distinct())
+    wanted = F.broadcast(wanted)  # as many as there are cells at most
+    columns = [*group, "_f", "_v", "_n"]
+    return placed.join(wanted, ["_f", "_cell"], "left_semi").select(columns).unionByName(sums.join(wanted, ["_f", "_cell"], "left_anti").select(columns))
+
+
+def exact(rows: DataFrame, group: list[str], value: str | dict[str, Column], qs: list[float], sets: list[list[str]] | None = None, cells: int = CELLS, small: int = SMALL, shared: int = SHARED_CELLS) -> DataFrame:
     """``group, q, quantile, n`` by linear interpolation between the two values whose ranks enclose ``q * (n - 1)``.
 
     ``value`` may name several columns; then ``_f`` tells them apart. With ``sets`` there is a row for each group of each
@@ -68,11 +96,13 @@ def exact(rows: DataFrame, group: list[str], value: str | dict[str, Column], qs:
     listed = F.explode(F.array(*[F.struct(F.lit(n).alias("f"), c.cast("double").alias("v")) for n, c in values.items()])).alias("_one")
     known = rows.select(*group, listed).select(*group, F.col("_one.f").alias("_f"), F.col("_one.v").alias("_v")).where("_v is not null and not isnan(_v)")
     counts = known.groupBy(*group, "_f", "_v").agg(F.count("*").alias("_n"))
+    counts = files.stored(counts)
+    if counts.count() > small:
+        counts = files.stored(_narrowed(counts, group, [group] if sets is None else sets, qs, shared))
     if sets is not None:
         wholes = [[*map(F.col, s), F.col("_f"), F.col("_v")] for s in sets]
-        cubed = files.stored(counts).groupingSets(wholes, *group, "_f", "_v").agg(F.sum("_n").alias("_n"), F.shiftright(F.grouping_id(), 2).alias("_set"))
-        counts, group = cubed, [*group, "_set"]
-    counts = files.stored(counts)
+        cubed = counts.groupingSets(wholes, *group, "_f", "_v").agg(F.sum("_n").alias("_n"), F.shiftright(F.grouping_id(), 2).alias("_set"))
+        counts, group = files.stored(cubed), [*group, "_set"]
     of_group = [*group, "_f"]
     sizes = counts.groupBy(*of_group).agg(F.count("*").alias("_rows"), F.sum("_n").alias("_total"))
     large = sizes.where(F.col("_rows") > small).count()
