@@ -372,3 +372,11 @@ def test_grouping_sets_multiply_only_cells_of_wanted_ranks(spark):
         at = r.q * (len(want[r.g, r.q]) - 1)
         low, high = want[r.g, r.q][int(at)], want[r.g, r.q][int(at) + 1]
         assert math.isclose(r.quantile, low + (high - low) * (at - int(at)), abs_tol=1e-9)
+
+
+def test_rows_are_dealt_to_as_many_tasks_as_they_ask_for(spark):
+    df = spark.range(1_000).select((F.col("id") % 300).alias("k"), "id")
+    parts = joins.dealt(df, ["k"], task_rows=100).withColumn("part", F.spark_partition_id())
+    assert parts.rdd.getNumPartitions() == 10 and joins.dealt(df, ["k"], task_rows=10_000).rdd.getNumPartitions() == 1
+    assert parts.groupBy("k").agg(F.countDistinct("part").alias("n")).where("n > 1").isEmpty()
+    assert joins.dealt(df.limit(0), ["k"]).groupBy("k").count().collect() == []

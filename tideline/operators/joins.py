@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of one task that groups by keys which few rows share: some 100 MB in hash maps.
+TASK_ROWS = 250_000
+
+
+def dealt(frame: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """The rows dealt out by their keys to as many tasks as their number asks for, so that what a task holds does not grow with
+    the input. Counting the rows of Parquet reads its footers only."""
+    return frame.repartition(max(1, -(-frame.count() // task_rows)), *keys)
+
+
 def repeated_keys(frame: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with their counts."""
     return frame.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

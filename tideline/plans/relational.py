@@ -118,7 +118,8 @@ def duplicate_keys(spark, sf):
 @query("conflicting_duplicates", """SELECT l_orderkey, l_linenumber, count(*) AS n, count(DISTINCT l_partkey) AS variants, count(DISTINCT l_partkey) > 1 AS conflict
   FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
 def conflicting_duplicates(spark, sf):
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("variants"))
+    keys = ["l_orderkey", "l_linenumber"]
+    rows = joins.dealt(table(spark, sf, "lineitem").select(*keys, "l_partkey"), keys).groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("variants"))
     return rows.where("n > 1").withColumn("conflict", F.col("variants") > 1)
 
 
