@@ -160,3 +160,12 @@ def test_first_fit_decreasing_is_first_fit(sizes):
             free.append(64)
         assert (bins[i], offsets[i]) == (k, 64 - free[k])
         free[k] -= sizes[i]
+
+
+def test_words_of_letters_are_one_pretoken():
+    common = [chr(c) for c in range(0x180) if not pretokens.UNCOMMON.search(chr(c))]
+    assert all(c.isalpha() == (packing._CUT("a" + c) == ["a" + c]) for c in common)
+    encoder = packing._Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Straße ÀÉŒ naïve it's a1b2 ªº foo_bar don't", "".join(c for c in common if c.isalpha()), " ".join(common)]
+    assert list(encoder(texts)) == [np.array(encoder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert not {"straße", "naïve"} & encoder.pretokens[0].keys()  # remembered once, among the words

@@ -10,6 +10,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from . import common, pretokens
 
 _CUT = regex.compile(pretokens.WORD_LEVEL).findall
 #: Words whose ids a Python worker keeps, of those seen last and of those before them.
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 400_000
 #: Documents of each random group, and whole pieces of each further one; a group is packed in one task.
 GROUP_ROWS, GROUP_WHOLE = 4_096, 1_024
 #: Groups of whole pieces are numbered from here on.
@@ -53,6 +54,8 @@ class _Encoder:
         return array("I", [t.id for t in self.model.tokenize(one if one.isascii() else one.translate(self.mapped))]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isalpha():  # one pre-token, which the words remember
+            return self._pretoken(word)
         young, old = self.pretokens
         out = []
         for one in _CUT(word):
@@ -69,7 +72,7 @@ class _Encoder:
         if len(self.pretokens[0]) > _CACHE_WORDS:
             self.pretokens = ({}, self.pretokens[0])
         young, old = self.words
-        for word in set().union(*cut) - young.keys():
+        for word in set(chain.from_iterable(cut)).difference(young):
             ids = old.get(word)
             young[word] = self._word(word) if ids is None else ids
         for text, words, p in zip(texts, cut, plain, strict=True):
